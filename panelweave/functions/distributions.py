@@ -100,6 +100,8 @@ def t_quantile(p: float, df: float) -> float:
 def f_upper(f: float, df1: float, df2: float) -> float:
     if df1 <= 0 or df2 <= 0 or math.isnan(f):
         return float("nan")
+    if math.isinf(f):
+        return 0.0
     return beta_regularised(df2 / (df2 + df1 * f), df2 / 2.0, df1 / 2.0) if f > 0 else 1.0
 
 

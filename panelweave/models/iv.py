@@ -19,6 +19,13 @@ def _rss(m: Moments, y: str, x: Sequence[str]) -> float:
     return float(m.block([y], [y])[0, 0] - sxy @ (inverse(m.block(x, x)) @ sxy))
 
 
+def _f(restricted: float, free: float, q: int, df: int) -> float:
+    """F statistic of q restrictions; infinite where the free model fits exactly."""
+    if df <= 0 or free != free:
+        return float("nan")
+    return ((restricted - free) / q) / (free / df) if free > 0 else float("inf")
+
+
 def two_stage(
     m: Moments,
     y: str,
@@ -74,7 +81,7 @@ def diagnostics(
     q, df2 = len(instruments), m.n - len(z) - c
     for e in endog:
         r0, r1 = _rss(m, e, list(exog)) if exog else float(m.block([e], [e])[0, 0]), _rss(m, e, z)
-        f = ((r0 - r1) / q) / (r1 / df2)
+        f = _f(r0, r1, q, df2)
         name = "weak_instruments" if len(endog) == 1 else f"weak_instruments_{e}"
         out.append((name, float(q), float(df2), f, dist.f_upper(f, q, df2)))
 
@@ -88,7 +95,7 @@ def diagnostics(
         residuals.append(f"__v_{e}")
     r0, r1 = _rss(aug, y, x), _rss(aug, y, [*x, *residuals])
     k, df2 = len(endog), m.n - len(x) - len(endog) - c
-    f = ((r0 - r1) / k) / (r1 / df2)
+    f = _f(r0, r1, k, df2)
     out.append(("wu_hausman", float(k), float(df2), f, dist.f_upper(f, k, df2)))
 
     over = len(z) - len(x)

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import distributions as dist, missing
+from ..operators import aggregate
 from ..session import materialise
 from .moments import Moments, moment_aggregates, moments, pairs, symmetric
 
@@ -129,13 +130,10 @@ def ols(df: DataFrame, y: str, x: Sequence[str]) -> Fit:
 
 
 def residual_quantiles(df: DataFrame, residual: str = "residual") -> DataFrame:
-    """Minimum, quartiles and maximum of a residual column.
-
-    The quartiles come from a mergeable sketch with rank error below one in a million, so no task
-    holds all residuals.
-    """
-    q = F.percentile_approx(residual, [0.0, 0.25, 0.5, 0.75, 1.0], 1000000)
-    return df.agg(q.alias("q")).select(*[F.col("q")[i].alias(n) for i, n in enumerate(["min", "q1", "median", "q3", "max"])])
+    """Minimum, quartiles and maximum of a residual column, exact and without a global sort."""
+    names = ["min", "q1", "median", "q3", "max"]
+    out = aggregate.quantiles(df.select(F.lit(1).alias("g"), residual), ["g"], [residual], [0.0, 0.25, 0.5, 0.75, 1.0])
+    return out.select(*[F.col(residual)[i].alias(n) for i, n in enumerate(names)])
 
 
 # Heteroskedasticity-robust covariance --------------------------------------------------------

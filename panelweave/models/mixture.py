@@ -16,7 +16,7 @@ from .moments import moments
 
 
 def mixture_classes(
-    df: DataFrame, features: Sequence[str], classes: Iterable[int] = (1, 2, 3), seed: int = 42, max_iter: int = 50
+    df: DataFrame, features: Sequence[str], classes: Iterable[int] = (1, 2, 3), seed: int = 42, max_iter: int = 25
 ) -> tuple[DataFrame, list[tuple[int, float]]]:
     """Most likely class per row under the mixture with the lowest BIC, and the BIC of each size.
 

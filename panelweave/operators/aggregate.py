@@ -86,56 +86,75 @@ def median_bounded(df: DataFrame, by: Sequence[str], columns: Sequence[str]) ->
     return df.groupBy(*by).agg(*[F.median(c).alias(c) for c in columns])
 
 
-def median(df: DataFrame, by: Sequence[str], columns: Sequence[str], accuracy: int = 10000) -> DataFrame:
-    """Exact interpolated medians for groups of any size, without gathering a group.
+def quantiles(
+    df: DataFrame, by: Sequence[str], columns: Sequence[str], probs: Sequence[float], accuracy: int = 10000
+) -> DataFrame:
+    """Exact interpolated quantiles for groups of any size, without gathering a group.
 
-    A mergeable sketch with a proven rank error brackets the middle of each group. Values below the
-    bracket are only counted; the few inside are counted per distinct value and ranked exactly. A
-    bracket that misses the middle rank stops the job rather than give a wrong value.
+    One row per group; column ``c`` holds an array with one value per probability. A mergeable sketch
+    with rank error n / accuracy brackets each wanted rank. Values below a bracket are only counted;
+    the few inside are counted per distinct value and ranked exactly. Groups of fewer rows than
+    ``accuracy`` need no bracket. A bracket that misses its rank stops the job rather than give a
+    wrong value.
     """
-    gap = 2.0 / accuracy
-    sketch = []
+    gap = 4.0 / accuracy
+    items = [(c, j) for c in columns for j in range(len(probs))]
     clean = df.select(
         *by,
         *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns],
     )
+    sketch = []
     for c in columns:
-        q = F.percentile_approx(c, [0.5 - gap, 0.5 + gap], accuracy)
-        sketch += [q[0].alias(f"__lo_{c}"), q[1].alias(f"__hi_{c}"), F.count(c).alias(f"__n_{c}")]
+        ends = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-gap, gap)]
+        sketch += [F.percentile_approx(c, ends, accuracy).alias(f"__q_{c}"), F.count(c).alias(f"__n_{c}")]
     brackets = clean.groupBy(*[F.col(k).alias(f"__{k}") for k in by]).agg(*sketch)
     placed = clean.join(brackets, _same(by, "__"), "inner")
+    few = lambda c: F.col(f"__n_{c}") < accuracy
     cells = F.array(
         *[
             F.struct(
-                F.lit(c).alias("c"),
+                F.lit(i).alias("i"),
                 # Values under the bracket share one cell; values over it play no part.
-                F.when(F.col(c) >= F.col(f"__lo_{c}"), F.col(c)).alias("v"),
+                F.when(few(c) | (F.col(c) >= F.col(f"__q_{c}")[2 * j]), F.col(c)).alias("v"),
                 F.col(f"__n_{c}").alias("n"),
-                (F.col(c) <= F.col(f"__hi_{c}")).alias("ok"),
+                (F.col(c).isNotNull() & (few(c) | (F.col(c) <= F.col(f"__q_{c}")[2 * j + 1]))).alias("ok"),
             )
-            for c in columns
+            for i, (c, j) in enumerate(items)
         ]
     )
     cell = placed.select(*by, F.explode(cells).alias("e")).filter("e.ok")
-    counted = cell.groupBy(*by, F.col("e.c").alias("c"), F.col("e.v").alias("v")).agg(
+    counted = cell.groupBy(*by, F.col("e.i").alias("i"), F.col("e.v").alias("v")).agg(
         F.count(F.lit(1)).alias("k"), F.max("e.n").alias("n")
     )
-    running = F.sum("k").over(Window.partitionBy(*by, "c").orderBy(F.col("v").asc_nulls_first()))
-    ranked = counted.withColumn("upto", running)
-    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    running = F.sum("k").over(Window.partitionBy(*by, "i").orderBy(F.col("v").asc_nulls_first()))
+    prob = F.array(*[F.lit(float(probs[j])) for _, j in items])[F.col("i")]
+    ranked = counted.withColumn("upto", running).withColumn("h", (F.col("n") - 1) * prob + 1)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("upto") - F.col("k") < rank) & (rank <= F.col("upto")), F.col("v")))
 
-    picked = ranked.groupBy(*by, "c").agg(at(low).alias("a"), at(high).alias("b"))
-    miss = F.raise_error(F.lit("median bracket missed the middle rank; raise accuracy")).cast("double")
-    value = F.when(F.col("a").isNull() | F.col("b").isNull(), miss).otherwise((F.col("a") + F.col("b")) / 2)
-    wide = picked.groupBy(*by).agg(*[F.max(F.when(F.col("c") == c, value)).alias(c) for c in columns])
+    picked = ranked.groupBy(*by, "i").agg(
+        at(F.floor("h")).alias("a"), at(F.ceil("h")).alias("b"), F.max(F.col("h") - F.floor("h")).alias("w")
+    )
+    miss = F.raise_error(F.lit("quantile bracket missed its rank; raise accuracy")).cast("double")
+    value = F.when(F.col("a").isNull() | F.col("b").isNull(), miss).otherwise(
+        F.col("a") + (F.col("b") - F.col("a")) * F.col("w")
+    )
+    at_item = lambda i: F.max(F.when(F.col("i") == i, value))
+    wide = picked.groupBy(*by).agg(
+        *[F.array(*[at_item(i) for i, (d, _) in enumerate(items) if d == c]).alias(c) for c in columns]
+    )
     keyed = wide.withColumnsRenamed({k: f"__m_{k}" for k in by})
     groups = brackets.select(*[F.col(f"__{k}").alias(k) for k in by])
     return groups.join(keyed, _same(by, "__m_"), "left").select(*by, *columns)
 
 
+def median(df: DataFrame, by: Sequence[str], columns: Sequence[str], accuracy: int = 10000) -> DataFrame:
+    """Exact medians for groups of any size (see ``quantiles``)."""
+    out = quantiles(df, by, columns, [0.5], accuracy)
+    return out.select(*by, *[F.col(c)[0].alias(c) for c in columns])
+
+
 def distinct_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys).distinct()
 

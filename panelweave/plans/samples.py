@@ -37,14 +37,13 @@ def skipped_sector() -> Column:
 
 
 def industry_differences(df: DataFrame, without: Sequence[int] = (2001,), mode: str = ROW) -> DataFrame:
-    """Differences and log differences by (zone, sector)."""
+    """Differences and log differences by (zone, sector), of those measures the panel has."""
     kept = _sector_years(df, None, without).filter(positive("EMPL", "est", "LABOR_SHARE", "PAYROLL_SHARE", "HHI_labor"))
     p = Panel(kept, [ZONE, SECTOR], YEAR)
     level = ["LABOR_SHARE", "PAYROLL_SHARE", "est_per_worker", "HHI_labor", "capital_cost_index"]
     logs = ["est", "union_memb", "unempl_rate"]
-    return p.with_columns(
-        {**{f"D_{c}": p.diff(c, mode) for c in level}, **{f"D_{c}": p.log_diff(c, mode) for c in logs}}
-    ).df
+    cols = {f"D_{c}": p.diff(c, mode) for c in level if c in df.columns}
+    return p.with_columns(cols | {f"D_{c}": p.log_diff(c, mode) for c in logs if c in df.columns}).df
 
 
 def industry_coefficients(

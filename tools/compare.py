@@ -60,7 +60,7 @@ if __name__ == "__main__":
         try:
             ok, text = compare(session, con, folder, n, QUERIES[n], ORACLE.get(n))
         except Exception as e:  # a broken query must not hide the others
-            ok, text = False, f"{type(e).__name__}: {str(e)[:1500]}"
+            ok, text = False, f"{type(e).__name__}: {str(e)[:600]}"
         bad += not ok
         print("ok  " if ok else "FAIL", n, text, flush=True)
     print("failed:", bad)
