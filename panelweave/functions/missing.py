@@ -21,8 +21,13 @@ def col(c: str | Column) -> Column:
 
 
 def to_number(c: str | Column) -> Column:
-    """Text to double; anything that is not a number becomes NULL."""
-    return col(c).try_cast("double")
+    """Text to double; anything that is not a number becomes NULL.
+
+    Most non-numbers are marks such as (D) or N. They are told by their first character, because a
+    failing cast is far dearer than a comparison when many cells are suppressed.
+    """
+    text = F.ltrim(col(c).cast("string"))
+    return F.when(F.ascii(text).between(ord("+"), ord("9")), text.try_cast("double"))
 
 
 def ratio(num: str | Column, den: str | Column) -> Column:

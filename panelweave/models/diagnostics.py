@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import distributions as dist, missing
 from ..operators.panel import Panel
-from .moments import moment_aggregates, pairs
+from .moments import group, pairs
 from .panel_models import RandomFit, random_effects
 
 # Response surface of MacKinnon (1994) for the unit-root t statistic with intercept.
@@ -56,14 +56,11 @@ def adf_by_entity(panel: Panel, c: str, pmax: int = 4) -> DataFrame:
     aggs = []
     for order in range(pmax + 1):
         cols = ["dy", "y1", *[f"d{k}" for k in range(1, order + 1)]]
-        ok = F.lit(True)
-        for n in cols:
-            ok = ok & F.col(n).isNotNull()
-        aggs.append(F.count(F.when(ok, 1)).alias(f"n{order}"))
-        masked = [F.when(ok, F.col(n)) for n in cols]
+        ok = " AND ".join(f"{n} IS NOT NULL" for n in cols)
+        aggs.append(f"count_if({ok}) AS n{order}")
         for i, j in pairs(len(cols)):
-            aggs.append(F.regr_sxy(masked[i], masked[j]).alias(f"s{order}_{i}_{j}"))
-    table = rows.groupBy(*panel.entity).agg(*aggs)
+            aggs.append(f"regr_sxy({cols[i]}, {cols[j]}) FILTER (WHERE {ok}) AS s{order}_{i}_{j}")
+    table = group(rows, panel.entity, aggs)
     keys = table.select(*panel.entity).schema.fields
     schema = T.StructType(
         keys

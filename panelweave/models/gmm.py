@@ -16,13 +16,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from ..functions import distributions as dist
 from ..operators.panel import Panel
 from ..session import materialise
 from .linear import Fit
-from .moments import gram
+from .moments import gram, group, number
 from .panel_models import INDIVIDUAL, TWOWAYS, check_effect, periods_of
 
 Term = str | tuple[str, int]
@@ -73,7 +73,7 @@ class _System:
     """Row table with stacked equations: columns d_*/l_* and instruments per equation."""
 
     rows: DataFrame
-    entity: list[str]
+    panel: Panel
     terms: list[str]
     zd: list[str]
     zl: list[str]
@@ -86,9 +86,9 @@ class _System:
             out.append((self.zl, "l_y", [f"l_{i}" for i in range(k)]))
         return out
 
-
-def _zero(c: Column, when: Column) -> Column:
-    return F.when(when, F.coalesce(c, F.lit(0.0))).otherwise(F.lit(0.0))
+    def over(self, frame: str) -> str:
+        entity = ", ".join(f"`{c}`" for c in self.panel.entity)
+        return f"OVER (PARTITION BY {entity} ORDER BY `{self.panel.time}` RANGE BETWEEN {frame})"
 
 
 def _build(
@@ -102,179 +102,151 @@ def _build(
     effect: str,
 ) -> _System:
     a, b = gmm_lags
-    first, last = min(times := periods_of(panel)), max(times)
+    times = periods_of(panel)
+    first, last = min(times), max(times)
     b = min(b, last - first)
-    t = F.col(panel.time)
-    used = dict.fromkeys([y, *[_term(v)[0] for v in [*x, *instruments]]])
-    base = panel.on(panel.df.select(*panel.entity, panel.time, *[F.col(c).cast("double").alias(c) for c in used]))
+    keys = [f"`{c}`" for c in (*panel.entity, panel.time)]
+    t = f"`{panel.time}`"
+    s = _System(panel.df, panel, [], [], [], system)
 
     # 1. Calendar lags of the source columns: one exchange and one sort.
     need: dict[tuple[str, int], None] = {(y, k): None for k in range(0, max(a, b, 2) + 1)}
     for name, k in map(_term, [*x, *instruments]):
         need[(name, k)] = need[(name, k + 1)] = None
-    lag = {(n, k): f"v_{n}_{k}" for n, k in need}
-    rows = base.df.select(*panel.entity, panel.time, *[base.calendar_lag(n, k).alias(c) for (n, k), c in lag.items()])
-    v = lambda n, k=0: F.col(lag[(n, k)])
+    lag = {(n, k): f"`v_{n}_{k}`" for n, k in need}
+
+    def lagged(name: str, k: int) -> str:
+        source = f"CAST(`{name}` AS DOUBLE)"
+        return source if k == 0 else f"first({source}) " + s.over(f"{k} PRECEDING AND {k} PRECEDING")
 
-    # 2. Equations. NULL propagates: an equation exists where all its terms do.
+    rows = panel.df.selectExpr(*keys, *[f"{lagged(n, k)} AS {c}" for (n, k), c in lag.items()])
+    v = lambda n, k=0: lag[(n, k)]
+
+    # 2. Equations. An equation exists where all its terms do.
     reg = [(y, 1), *map(_term, x)]
-    terms = [f"lag({y},1)", *map(_label, x)]
+    s.terms = [f"lag({y},1)", *map(_label, x)]
     ivs = list(map(_term, instruments))
-    dcols = {"d_y": v(y) - v(y, 1)}
-    lcols = {"l_y": v(y)}
-    for i, (n, k) in enumerate(reg):
-        dcols[f"d_{i}"] = v(n, k) - v(n, k + 1)
-        lcols[f"l_{i}"] = v(n, k)
-    ivd = [v(n, k) - v(n, k + 1) for n, k in ivs]
+    dcols = {"d_y": f"{v(y)} - {v(y, 1)}"} | {f"d_{i}": f"{v(n, k)} - {v(n, k + 1)}" for i, (n, k) in enumerate(reg)}
+    lcols = {"l_y": v(y)} | {f"l_{i}": v(n, k) for i, (n, k) in enumerate(reg)}
+    ivd = [f"{v(n, k)} - {v(n, k + 1)}" for n, k in ivs]
     ivl = [v(n, k) for n, k in ivs]
+    exists = lambda cols: " AND ".join(f"({c}) IS NOT NULL" for c in cols)
+    rows = rows.selectExpr("*", f"{exists([*dcols.values(), *ivd])} AS in_d", f"{exists([*lcols.values(), *ivl])} AS in_l")
 
-    def exists(columns: Sequence[Column]) -> Column:
-        out = F.lit(True)
-        for c in columns:
-            out = out & c.isNotNull()
-        return out
+    # 3. Instruments. Missing lags count as zero.
+    where = lambda c, flag: f"CASE WHEN {flag} THEN coalesce({c}, 0D) ELSE 0D END"
+    zd: list[str] = []
+    zl: list[str] = []
 
-    in_d, in_l = exists([*dcols.values(), *ivd]), exists([*lcols.values(), *ivl])
+    def instrument(d: str = "0D", l: str = "0D") -> None:
+        zd.append(d)
+        zl.append(l)
 
-    # 3. Instruments. Missing lags count as zero.
-    zd: list[Column] = []
-    zl: list[Column] = []
-    nil = F.lit(0.0)
     if collapse:
         for k in range(a, b + 1):
-            zd.append(_zero(v(y, k), in_d))
-            zl.append(nil)
+            instrument(d=where(v(y, k), "in_d"))
     else:
         for p in times:
-            if p < first + 2:
-                continue
             for k in range(a, min(b, p - first) + 1):
-                zd.append(_zero(v(y, k), in_d & (t == p)))
-                zl.append(nil)
+                instrument(d=where(v(y, k), f"in_d AND {t} = {p}"))
     if system:
-        step = v(y, a - 1) - v(y, a)
+        step = f"{v(y, a - 1)} - {v(y, a)}"
         if collapse:
-            zd.append(nil)
-            zl.append(_zero(step, in_l))
+            instrument(l=where(step, "in_l"))
         else:
             for p in times:
                 if p >= first + a:
-                    zd.append(nil)
-                    zl.append(_zero(step, in_l & (t == p)))
+                    instrument(l=where(step, f"in_l AND {t} = {p}"))
     for cd, cl in zip(ivd, ivl):
-        zd.append(_zero(cd, in_d))
-        zl.append(_zero(cl, in_l))
+        instrument(where(cd, "in_d"), where(cl, "in_l"))
 
     # 4. Period effects: regressors that are their own instruments.
     if effect == TWOWAYS:
         for p in times:
             if p < first + (1 if system else 2):
                 continue
-            flag = F.when(t == p, 1.0).otherwise(0.0)
-            prev = F.when(t - 1 == p, 1.0).otherwise(0.0)
-            i = len(terms)
-            dcols[f"d_{i}"] = flag - prev if system else flag
-            lcols[f"l_{i}"] = flag
-            zd.append(_zero(flag - prev if system else flag, in_d))
-            zl.append(_zero(flag, in_l))
-            terms.append(f"period_{p}")
-
-    out = {n: F.when(in_d, c) for n, c in dcols.items()}
+            level = f"CAST({t} = {p} AS DOUBLE)"
+            change = f"({level} - CAST({t} - 1 = {p} AS DOUBLE))" if system else level
+            i = len(s.terms)
+            dcols[f"d_{i}"], lcols[f"l_{i}"] = change, level
+            instrument(where(change, "in_d"), where(level, "in_l"))
+            s.terms.append(f"period_{p}")
+
+    out = [f"CASE WHEN in_d THEN {c} END AS {n}" for n, c in dcols.items()]
+    out += [f"{c} AS zd_{j}" for j, c in enumerate(zd)]
     if system:
-        out |= {n: F.when(in_l, c) for n, c in lcols.items()}
-    names_d = [f"zd_{j}" for j in range(len(zd))]
-    names_l = [f"zl_{j}" for j in range(len(zl))]
-    out |= dict(zip(names_d, zd))
-    if system:
-        out |= dict(zip(names_l, zl))
-    built = rows.select(*panel.entity, panel.time, *[c.alias(n) for n, c in out.items()])
-    return _System(materialise(built), list(panel.entity), terms, names_d, names_l, system)
+        out += [f"CASE WHEN in_l THEN {c} END AS {n}" for n, c in lcols.items()]
+        out += [f"{c} AS zl_{j}" for j, c in enumerate(zl)]
+    s.zd, s.zl = [f"zd_{j}" for j in range(len(zd))], [f"zl_{j}" for j in range(len(zl))]
+    s.rows = materialise(rows.selectExpr(*keys, *out))
+    return s
 
 
-def _first_weight(s: _System, panel: Panel, full: bool) -> np.ndarray:
+def _first_weight(s: _System, full: bool) -> np.ndarray:
     """Gram matrix of q_s (see the module text); ``full`` keeps the cross-equation covariance."""
-    over = Panel(s.rows, s.entity, panel.time)
-    ahead = over.window.rangeBetween(1, 1)
-    zs = s.rows.withColumn("nx", F.first(F.array(*s.zd)).over(ahead))
-    q = [F.col(c) - F.coalesce(F.col("nx")[j], F.lit(0.0)) for j, c in enumerate(s.zd)]
+    ahead = f"first(array({', '.join(s.zd)})) {s.over('1 FOLLOWING AND 1 FOLLOWING')} AS nx"
+    q = [f"{c} - coalesce(nx[{j}], 0D)" for j, c in enumerate(s.zd)]
     if s.system and full:
-        q = [c + F.col(l) for c, l in zip(q, s.zl)]
-    flat = zs.select(*[c.alias(f"q_{j}") for j, c in enumerate(q)], *(s.zl if s.system else []))
-    cols = [F.col(f"q_{j}") for j in range(len(q))]
-    h = gram(flat, cols, cols)
+        q = [f"{c} + {l}" for c, l in zip(q, s.zl)]
+    levels = s.zl if s.system else []
+    flat = s.rows.selectExpr(*s.zd, *levels, ahead).selectExpr(*[f"{c} AS q_{j}" for j, c in enumerate(q)], *levels)
+    names = [f"q_{j}" for j in range(len(q))]
+    terms = [(names, names)]
     if s.system and not full:
-        levels = [F.col(c) for c in s.zl]
-        h = h + gram(flat, levels, levels)
-    return h
+        terms.append((s.zl, s.zl))
+    return gram(flat, *terms)
 
 
 def _cross(s: _System) -> tuple[np.ndarray, np.ndarray, int]:
     """Z'X, Z'y and the number of equation rows."""
-    zx = np.zeros((len(s.zd), len(s.terms)))
-    zy = np.zeros(len(s.zd))
-    for z, y, x in s.equations():
-        right = [F.coalesce(F.col(c), F.lit(0.0)) for c in [y, *x]]
-        g = gram(s.rows, [F.col(c) for c in z], right)
-        zy += g[:, 0]
-        zx += g[:, 1:]
-    n = s.rows.agg(*[F.count(y).alias(y) for _, y, _ in s.equations()]).first()
-    return zx, zy, int(sum(n))
-
-
-def _residual(y: str, x: Sequence[str], beta: np.ndarray) -> Column:
-    out = F.col(y)
-    for c, b in zip(x, beta):
-        out = out - F.lit(float(b)) * F.col(c)
-    return F.coalesce(out, F.lit(0.0))
-
-
-def _scores(s: _System, beta: np.ndarray, extra: dict[str, Column] | None = None, with_x: bool = False) -> DataFrame:
-    """One row per entity: u_j = Z'u, optionally x_j_k = Z'x_k and further sums."""
-    pre = s.rows.withColumns(
-        {f"__u{i}": _residual(y, x, beta) for i, (_, y, x) in enumerate(s.equations())}
-    )
-    aggs = []
-    for j in range(len(s.zd)):
-        total = sum((F.col(z[j]) * F.col(f"__u{i}") for i, (z, _, _) in enumerate(s.equations())), F.lit(0.0))
-        aggs.append(F.sum(total).alias(f"u_{j}"))
+    g = gram(s.rows, *[([*z, "1D"], [y, *x, f"CAST({y} IS NOT NULL AS DOUBLE)"]) for z, y, x in s.equations()])
+    return g[:-1, 1:-1], g[:-1, 0], int(round(g[-1, -1]))
+
+
+def _residual(y: str, x: Sequence[str], beta: np.ndarray) -> str:
+    return y + "".join(f" - {number(b)} * {c}" for c, b in zip(x, beta))
+
+
+def _scores(s: _System, rows: DataFrame, beta: np.ndarray, extra: Sequence[str] = (), with_x: bool = False) -> DataFrame:
+    """One row per entity: u_j = Z'u, optionally x_k_j = Z'x_k and further sums."""
+    eqs = s.equations()
+    rows = rows.selectExpr("*", *[f"{_residual(y, x, beta)} AS u{i}" for i, (_, y, x) in enumerate(eqs)])
+    total = lambda parts: "sum(" + " + ".join(f"coalesce({z} * {c}, 0D)" for z, c in parts) + ")"
+    aggs = [f"{total([(z[j], f'u{i}') for i, (z, _, _) in enumerate(eqs)])} AS u_{j}" for j in range(len(s.zd))]
     if with_x:
         for k in range(len(s.terms)):
-            for j in range(len(s.zd)):
-                total = F.lit(0.0)
-                for z, _, x in s.equations():
-                    total = total + F.col(z[j]) * F.coalesce(F.col(x[k]), F.lit(0.0))
-                aggs.append(F.sum(total).alias(f"x_{k}_{j}"))
-    aggs += [c.alias(n) for n, c in (extra or {}).items()]
-    return pre.groupBy(*s.entity).agg(*aggs)
+            aggs += [f"{total([(z[j], x[k]) for z, _, x in eqs])} AS x_{k}_{j}" for j in range(len(s.zd))]
+    aggs.append(" + ".join(f"count({y})" for _, y, _ in eqs) + " AS n_eq")
+    return group(rows, s.panel.entity, [*aggs, *extra])
 
 
-def _ar_test(
-    s: _System, panel: Panel, order: int, beta: np.ndarray, gain: np.ndarray, vcov: np.ndarray
-) -> tuple[str, float, float, float]:
-    """Arellano-Bond test for serial correlation of the differenced residuals.
+def _ar_tests(
+    s: _System, orders: Sequence[int], beta: np.ndarray, gain: np.ndarray, vcov: np.ndarray
+) -> list[tuple[str, float, float, float]]:
+    """Arellano-Bond tests for serial correlation of the differenced residuals.
 
-    ``gain`` maps Z'u to the estimation error of beta.
+    ``gain`` maps Z'u to the estimation error of beta. All orders share one pass.
     """
+    if not orders:
+        return []
     _, y, x = s.equations()[0]
-    over = Panel(s.rows, s.entity, panel.time)
-    u = _residual(y, x, beta)
-    rows = s.rows.withColumn("__e", F.when(F.col(y).isNotNull(), u))
-    lagged = F.coalesce(F.first("__e").over(over.window.rangeBetween(-order, -order)), F.lit(0.0))
-    rows = rows.withColumn("__w", F.when(F.col(y).isNotNull(), lagged).otherwise(F.lit(0.0)))
-    w = F.col("__w")
-    lagged_sys = _System(rows, s.entity, s.terms, s.zd, s.zl, s.system)
-    cols = {"c": F.sum(w * F.coalesce(F.col("__e"), F.lit(0.0)))}
-    cols |= {f"a_{k}": F.sum(w * F.coalesce(F.col(c), F.lit(0.0))) for k, c in enumerate(x)}
-    per_entity = _scores(lagged_sys, beta, cols)
-    left = [F.col("c"), F.lit(1.0)]
-    right = [F.col("c"), *[F.col(f"a_{k}") for k in range(len(x))], *[F.col(f"u_{j}") for j in range(len(s.zd))]]
-    g = gram(per_entity, left, right)
-    total, square = g[1, 0], g[0, 0]
-    a = g[1, 1 : 1 + len(x)]
-    zc = g[0, 1 + len(x) :]
-    var = square - 2.0 * a @ (gain @ zc) + a @ vcov @ a
-    stat = float(total / np.sqrt(var)) if var > 0 else float("nan")
-    return (f"ar{order}", stat, float("nan"), dist.normal_two_sided(stat))
+    rows = s.rows.selectExpr("*", f"{_residual(y, x, beta)} AS e")
+    back = [f"first(e) {s.over(f'{o} PRECEDING AND {o} PRECEDING')} AS w_{o}" for o in orders]
+    rows = rows.selectExpr("*", *back)
+    sums = [f"sum(coalesce(w_{o} * e, 0D)) AS c_{o}" for o in orders]
+    sums += [f"sum(coalesce(w_{o} * {c}, 0D)) AS a_{o}_{k}" for o in orders for k, c in enumerate(x)]
+    per_entity = _scores(s, rows, beta, sums)
+    k, n = len(x), len(orders)
+    right = [f"c_{o}" for o in orders] + [f"a_{o}_{i}" for o in orders for i in range(k)] + [f"u_{j}" for j in range(len(s.zd))]
+    g = gram(per_entity, (["1D", *[f"c_{o}" for o in orders]], right))
+    out = []
+    for i, o in enumerate(orders):
+        a = g[0, n + i * k : n + (i + 1) * k]
+        zc = g[i + 1, n + n * k :]
+        var = g[i + 1, i] - 2.0 * a @ (gain @ zc) + a @ vcov @ a
+        stat = float(g[0, i] / np.sqrt(var)) if var > 0 else float("nan")
+        out.append((f"ar{o}", stat, float("nan"), dist.normal_two_sided(stat)))
+    return out
 
 
 def gmm(
@@ -311,7 +283,7 @@ def gmm(
     s = _build(panel, y, list(x), gmm_lags, ivs, system, collapse, effect)
     zx, zy, nobs = _cross(s)
     used = np.abs(zx).sum(axis=1) + np.abs(zy) > 0
-    w1, _ = _pinv(_first_weight(s, panel, first_step == "full"))
+    w1, _ = _pinv(_first_weight(s, first_step == "full"))
 
     def estimate(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         bread, _ = _pinv(zx.T @ weight @ zx)
@@ -321,20 +293,19 @@ def gmm(
     b1, bread1, gain1 = estimate(w1)
     k, l = len(s.terms), len(s.zd)
     windmeijer = steps == 2 and robust
-    entities = _scores(s, b1, with_x=windmeijer)
-    u = [F.col(f"u_{j}") for j in range(l)]
-    right = u + ([F.col(f"x_{i}_{j}") for i in range(k) for j in range(l)] if windmeijer else [])
-    if windmeijer:
-        entities = materialise(entities)
-    g = gram(entities, u, right)
+    entities = _scores(s, s.rows, b1, with_x=windmeijer)
+    u = [f"u_{j}" for j in range(l)]
+    right = u + ([f"x_{i}_{j}" for i in range(k) for j in range(l)] if windmeijer else [])
+    g = gram(entities, ([*u, "1D"], [*right, "CAST(n_eq > 0 AS DOUBLE)"]))
+    n_entities = int(round(g[-1, -1]))
+    g = g[:-1, :-1]
     omega = g[:, :l]
     v1 = gain1 @ omega @ gain1.T
     w2, rank = _pinv(omega)
     if steps == 1:
-        beta, vcov, gain = b1, v1, gain1
-        classical = bread1 * _one_step_variance(s, b1, nobs, k)
-        if not robust:
-            vcov = classical
+        beta, gain = b1, gain1
+        classical = v1 if robust else bread1 * _one_step_variance(s, b1, nobs, k)
+        vcov = classical
     else:
         beta, classical, gain = estimate(w2)
         vcov = classical
@@ -347,13 +318,11 @@ def gmm(
                 d[:, i] = -(gain @ slope @ w2 @ moment)
             vcov = classical + d @ classical + classical @ d.T + d @ v1 @ d.T
     moment = zy - zx @ beta
-    n_entities = s.rows.filter(F.coalesce(*[F.col(e[1]) for e in s.equations()]).isNotNull()).select(*s.entity).distinct().count()
     fit = Fit(f"gmm_{transformation}_{steps}step", y, s.terms, beta, vcov, nobs, nobs - k, float("nan"), float("nan"), normal=True, intercept=False)
     out = GmmFit(fit, b1, v1, classical, n_entities, int(used.sum()), rank)
     j, over = float(moment @ w2 @ moment), int(used.sum()) - k
     out.tests.append(("sargan", j, float(over), dist.chi2_upper(j, over)))
-    for order in ar_orders:
-        out.tests.append(_ar_test(s, panel, order, beta, gain, vcov))
+    out.tests += _ar_tests(s, ar_orders, beta, gain, vcov)
     slopes = [i for i, n in enumerate(s.terms) if not n.startswith("period_")]
     periods = [i for i in range(k) if i not in slopes]
     for name, idx in (("wald_coefficients", slopes), ("wald_periods", periods)):
@@ -366,8 +335,6 @@ def gmm(
 
 def _one_step_variance(s: _System, beta: np.ndarray, nobs: int, k: int) -> float:
     """Error variance for the classical one-step covariance; differenced errors carry it twice."""
-    total = 0.0
-    for i, (_, y, x) in enumerate(s.equations()):
-        ssr = s.rows.agg(F.sum(F.pow(_residual(y, x, beta), F.lit(2.0)))).first()[0] or 0.0
-        total += ssr / (2.0 if i == 0 else 1.0)
-    return total / max(nobs - k, 1)
+    squares = [f"sum(power({_residual(y, x, beta)}, 2))" for _, y, x in s.equations()]
+    ssr = [v or 0.0 for v in s.rows.selectExpr(*squares).first()]
+    return (ssr[0] / 2.0 + sum(ssr[1:])) / max(nobs - k, 1)

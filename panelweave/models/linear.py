@@ -7,12 +7,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import distributions as dist, missing
 from ..operators import aggregate
 from ..session import materialise
-from .moments import Moments, moment_aggregates, moments, pairs, symmetric
+from .moments import Moments, group, moment_sql, moments, number, pairs, symmetric
 
 INTERCEPT = "(Intercept)"
 TIDY = "term string, estimate double, std_error double, statistic double, p_value double"
@@ -92,15 +92,14 @@ class Fit:
             "f_p_value": dist.f_upper(f, k, self.df_resid),
         }
 
-    def fitted(self) -> Column:
+    def fitted_sql(self) -> str:
         """Fitted value as an expression over the model columns (pooled models)."""
-        out = F.lit(0.0)
-        for t, b in zip(self.terms, self.beta):
-            out = out + (F.lit(float(b)) if t == INTERCEPT else F.lit(float(b)) * F.col(t))
-        return out
+        return " + ".join(
+            number(b) if t == INTERCEPT else f"{number(b)} * `{t}`" for t, b in zip(self.terms, self.beta)
+        )
 
     def with_residuals(self, df: DataFrame, name: str = "residual") -> DataFrame:
-        return df.withColumn(name, F.col(self.y) - self.fitted())
+        return df.withColumn(name, F.expr(f"`{self.y}` - ({self.fitted_sql()})"))
 
 
 def with_intercept(m: Moments, x: Sequence[str], y: str, slopes: np.ndarray, vs: np.ndarray, sigma2: float):
@@ -139,18 +138,18 @@ def residual_quantiles(df: DataFrame, residual: str = "residual") -> DataFrame:
 # Heteroskedasticity-robust covariance --------------------------------------------------------
 
 
-def _centred(x: Sequence[str], mean: Sequence[float]) -> list[Column]:
-    return [F.col(c) - F.lit(float(v)) for c, v in zip(x, mean)]
+def _meat_sql(residual: str, centred: Sequence[str]) -> list[str]:
+    z = ["1D", *centred]
+    return [f"sum({residual} * {residual} * {z[i]} * {z[j]}) AS g_{i}_{j}" for i, j in pairs(len(z))]
 
 
 def hc1(df: DataFrame, fit: Fit, m: Moments) -> np.ndarray:
     """White covariance scaled by n / (n - k): a second aggregate of squared residual products."""
     x = [t for t in fit.terms if t != INTERCEPT]
     kept = missing.finite_cases(df, [fit.y, *x])
-    z = [F.lit(1.0), *_centred(x, m.mean[m.at(x)])]
-    e2 = F.pow(F.col(fit.y) - fit.fitted(), F.lit(2.0))
-    p = len(z)
-    row = kept.agg(*[F.sum(e2 * z[i] * z[j]).alias(f"g_{i}_{j}") for i, j in pairs(p)]).first().asDict()
+    centred = [f"(`{c}` - {number(v)})" for c, v in zip(x, m.mean[m.at(x)])]
+    p = len(x) + 1
+    row = group(kept, (), _meat_sql(f"(`{fit.y}` - ({fit.fitted_sql()}))", centred)).first().asDict()
     return sandwich(symmetric(row, p, "g_"), m, x, m.n / (m.n - p))
 
 
@@ -199,7 +198,7 @@ def grouped_ols(
     names = [y, *x]
     k = len(x) + 1
     frame = missing.finite_cases(df, names).filter(" AND ".join(f"`{b}` IS NOT NULL" for b in by)).select(*by, *names)
-    table = frame.groupBy(*by).agg(*moment_aggregates(names)).filter(F.col("n") > k)
+    table = group(frame, by, moment_sql(names)).filter(F.col("n") > k)
     keys = table.select(*by).schema.fields
     if robust:
         b_names = [f"b_{i}" for i in range(k)]
@@ -216,13 +215,8 @@ def grouped_ols(
             *by, F.array(*b_names).alias("beta"), *[F.col(f"m_{i + 1}").alias(f"c_{i}") for i in range(k - 1)]
         )
         rows = frame.join(solved, by)
-        e = F.col(y) - F.col("beta")[0]
-        for i, c in enumerate(x):
-            e = e - F.col("beta")[i + 1] * F.col(c)
-        z = [F.lit(1.0)] + [F.col(c) - F.col(f"c_{i}") for i, c in enumerate(x)]
-        meat = rows.withColumn("__e2", e * e).groupBy(*by).agg(
-            *[F.sum(F.col("__e2") * z[i] * z[j]).alias(f"g_{i}_{j}") for i, j in pairs(k)]
-        )
+        e = f"(`{y}` - beta[0]" + "".join(f" - beta[{i + 1}] * `{c}`" for i, c in enumerate(x)) + ")"
+        meat = group(rows, by, _meat_sql(e, [f"(`{c}` - c_{i})" for i, c in enumerate(x)]))
         table = table.join(meat, by)
 
     def solve(rec):

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import missing
 
@@ -24,15 +24,24 @@ def pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
 
 
-def moment_aggregates(columns: Sequence[str]) -> list[Column]:
+def moment_sql(columns: Sequence[str]) -> list[str]:
     """n, means m_i and centred cross-products s_i_j; merged with a stable updating formula."""
-    out = [F.count(F.lit(1)).alias("n")]
-    out += [F.avg(c).alias(f"m_{i}") for i, c in enumerate(columns)]
+    out = ["count(1) AS n"] + [f"avg(`{c}`) AS m_{i}" for i, c in enumerate(columns)]
     for i, j in pairs(len(columns)):
-        out.append(F.regr_sxy(F.col(columns[i]), F.col(columns[j])).alias(f"s_{i}_{j}"))
+        out.append(f"regr_sxy(`{columns[i]}`, `{columns[j]}`) AS s_{i}_{j}")
     return out
 
 
+def group(df: DataFrame, by: Sequence[str], aggregates: Sequence[str]) -> DataFrame:
+    """GROUP BY with aggregates given as SQL."""
+    return df.groupBy(*by).agg(*[F.expr(a) for a in aggregates]) if by else df.selectExpr(*aggregates)
+
+
+def number(v: float) -> str:
+    """A double as SQL literal."""
+    return f"({float(v)!r}D)" if np.isfinite(v) else f"CAST('{float(v)}' AS DOUBLE)"
+
+
 def symmetric(values: dict, p: int, prefix: str = "s_") -> np.ndarray:
     out = np.zeros((p, p))
     for i, j in pairs(p):
@@ -75,42 +84,43 @@ class Moments:
 def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
     """Moments over complete, finite rows."""
     names = list(dict.fromkeys(columns))
-    row = missing.finite_cases(df, names).agg(*moment_aggregates(names)).first().asDict()
+    row = group(missing.finite_cases(df, names), (), moment_sql(names)).first().asDict()
     return Moments.of_row(names, row)
 
 
-def gram(df: DataFrame, left: Sequence[Column], right: Sequence[Column]) -> np.ndarray:
-    """Sum over rows of left times right transposed.
+def gram(df: DataFrame, *terms: tuple[Sequence[str], Sequence[str]]) -> np.ndarray:
+    """Sum over rows, and over the (left, right) terms, of left times right transposed.
 
-    Few products are plain JVM sums. Many are accumulated per task in a matrix product over Arrow
-    batches, and the partial matrices are added by a grouped sum; the result is bounded by its
-    dimension, whatever the number of rows.
+    Sides are lists of SQL expressions; NULL counts as zero. Few products are plain JVM sums. Many
+    are accumulated per task in a matrix product over Arrow batches, and the partial matrices are
+    added by a grouped sum; the result is bounded by its dimension, whatever the number of rows.
     """
-    a, b = len(left), len(right)
+    a, b = len(terms[0][0]), len(terms[0][1])
     if max(a, b) > MAX_DENSE:
         raise ValueError(f"moment matrix of {a} x {b} is too wide; collapse the instruments")
-    if a * b <= JVM_PRODUCTS:
-        cells = [F.sum(x * y).alias(f"g_{i}_{j}") for i, x in enumerate(left) for j, y in enumerate(right)]
-        row = df.agg(*cells).first()
-        return np.array([0.0 if v is None else float(v) for v in row]).reshape(a, b)
+    if a * b * len(terms) <= JVM_PRODUCTS:
+        cells = []
+        for i in range(a):
+            for j in range(b):
+                total = " + ".join(f"coalesce(({l[i]}) * ({r[j]}), 0D)" for l, r in terms)
+                cells.append(f"sum({total}) AS g_{i}_{j}")
+        return np.array([0.0 if v is None else float(v) for v in df.selectExpr(*cells).first()]).reshape(a, b)
 
     def partial(batches):
         total = np.zeros((a, b))
         for batch in batches:
             if batch.num_rows:
-                l = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, a)
-                r = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, b)
-                total += l.T @ r
+                for k in range(0, batch.num_columns, 2):
+                    l = batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(-1, a)
+                    r = batch.column(k + 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, b)
+                    total += l.T @ r
         i, j = np.nonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j], pa.float64())], ["i", "j", "v"]
         )
 
-    zero = F.lit(0.0)
-    arrays = df.select(
-        F.array(*[F.coalesce(x.cast("double"), zero) for x in left]).alias("l"),
-        F.array(*[F.coalesce(x.cast("double"), zero) for x in right]).alias("r"),
-    )
+    dense = lambda side: "array(" + ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0D)" for c in side) + ")"
+    arrays = df.selectExpr(*[f"{dense(s)} AS s{k}_{n}" for k, t in enumerate(terms) for n, s in enumerate(t)])
     cells = arrays.mapInArrow(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
     out = np.zeros((a, b))
     for r in cells.collect():

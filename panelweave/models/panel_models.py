@@ -17,7 +17,7 @@ from ..functions import missing
 from ..operators.panel import CALENDAR, Panel
 from ..session import materialise
 from .linear import INTERCEPT, Fit, inverse, least_squares
-from .moments import Moments, moment_aggregates, moments, pairs, symmetric
+from .moments import Moments, group, moment_sql, moments, number, pairs, symmetric
 
 INDIVIDUAL, TWOWAYS = "individual", "twoways"
 MAX_PERIODS = 1000
@@ -32,7 +32,7 @@ def check_effect(effect: str) -> str:
 def entity_moments(panel: Panel, columns: Sequence[str]) -> DataFrame:
     """One row per entity: n, m_i and s_i_j of the columns over complete rows."""
     kept = missing.finite_cases(panel.df, columns)
-    return kept.groupBy(*panel.entity).agg(*moment_aggregates(columns))
+    return group(kept, panel.entity, moment_sql(columns))
 
 
 @dataclass
@@ -73,11 +73,11 @@ class PanelMoments:
 def pool(entities: DataFrame, names: Sequence[str]) -> PanelMoments:
     """Add entity moments up by entity length (at most as many rows as there are periods)."""
     p = len(names)
-    aggs = [F.count(F.lit(1)).alias("c")]
-    aggs += [F.sum(f"s_{i}_{j}").alias(f"s_{i}_{j}") for i, j in pairs(p)]
-    aggs += [F.sum(f"m_{i}").alias(f"m_{i}") for i in range(p)]
-    aggs += [F.sum(F.col(f"m_{i}") * F.col(f"m_{j}")).alias(f"q_{i}_{j}") for i, j in pairs(p)]
-    table = entities.groupBy("n").agg(*aggs).orderBy("n").limit(MAX_PERIODS + 1).collect()
+    aggs = ["count(1) AS c"]
+    aggs += [f"sum(s_{i}_{j}) AS s_{i}_{j}" for i, j in pairs(p)]
+    aggs += [f"sum(m_{i}) AS m_{i}" for i in range(p)]
+    aggs += [f"sum(m_{i} * m_{j}) AS q_{i}_{j}" for i, j in pairs(p)]
+    table = group(entities, ["n"], aggs).orderBy("n").limit(MAX_PERIODS + 1).collect()
     if len(table) > MAX_PERIODS:
         raise ValueError(f"more than {MAX_PERIODS} entity lengths: the key is no panel key")
     rows = [r.asDict() for r in table]
@@ -124,36 +124,31 @@ def time_effects(panel: Panel, columns: Sequence[str]) -> tuple[list, np.ndarray
     has and its means: sums of presence / T and presence * mean. Returns periods and a
     [period, column] array, the first period being zero.
     """
-    times = periods_of(panel)
-    names = list(columns)
-    t = F.col(panel.time)
-    here = [F.max(F.when(t == p, 1.0).otherwise(0.0)).alias(f"p_{i}") for i, p in enumerate(times)]
-    per_entity = panel.df.groupBy(*panel.entity).agg(
-        F.count(F.lit(1)).alias("n"), *here, *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(names)]
-    )
+    names, t = list(columns), panel.time
+    sums = [f"sum(`{c}`) AS t_{j}" for j, c in enumerate(names)]
+    per_time = group(panel.df, [t], ["count(1) AS n", *sums]).limit(MAX_PERIODS + 1).collect()
+    if len(per_time) > MAX_PERIODS:
+        raise ValueError(f"more than {MAX_PERIODS} periods")
+    per_time.sort(key=lambda r: r[t])
+    times = [r[t] for r in per_time]
+    here = [f"max(CASE WHEN `{t}` = {p!r} THEN 1D ELSE 0D END) AS p_{i}" for i, p in enumerate(times)]
+    means = [f"avg(`{c}`) AS m_{j}" for j, c in enumerate(names)]
+    per_entity = group(panel.df, panel.entity, ["count(1) AS n", *here, *means])
     k, q = len(times), len(names)
-    aggs = [F.sum(F.col(f"p_{i}") * F.col(f"p_{j}") / F.col("n")).alias(f"s_{i}_{j}") for i, j in pairs(k)]
-    aggs += [F.sum(F.col(f"p_{i}") * F.col(f"m_{j}")).alias(f"u_{i}_{j}") for i in range(k) for j in range(q)]
-    row = per_entity.agg(*aggs).first().asDict()
-    per_time = {
-        r[panel.time]: r.asDict()
-        for r in panel.df.groupBy(panel.time)
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"t_{j}") for j, c in enumerate(names)])
-        .collect()
-    }
-    lhs = np.diag([float(per_time[p]["n"]) for p in times]) - symmetric(row, k)
-    rhs = np.array(
-        [[per_time[p][f"t_{j}"] - row[f"u_{i}_{j}"] for j in range(q)] for i, p in enumerate(times)]
-    )
+    aggs = [f"sum(p_{i} * p_{j} / n) AS s_{i}_{j}" for i, j in pairs(k)]
+    aggs += [f"sum(p_{i} * m_{j}) AS u_{i}_{j}" for i in range(k) for j in range(q)]
+    row = per_entity.selectExpr(*aggs).first().asDict()
+    lhs = np.diag([float(r["n"]) for r in per_time]) - symmetric(row, k)
+    rhs = np.array([[r[f"t_{j}"] - row[f"u_{i}_{j}"] for j in range(q)] for i, r in enumerate(per_time)])
     effects = np.zeros((k, q))
     # Least squares with the first effect at zero; periods cut off from the rest stay at zero.
     effects[1:] = np.linalg.lstsq(lhs[1:, 1:], rhs[1:], rcond=1e-12)[0]
     return times, effects
 
 
-def _by_time(panel: Panel, times: list, values: Sequence[float]) -> Column:
-    table = F.create_map(*[F.lit(v) for p, e in zip(times, values) for v in (p, float(e))])
-    return table[F.col(panel.time)]
+def _net_of_time(panel: Panel, column: str, times: list, effects: Sequence[float]) -> str:
+    cases = " ".join(f"WHEN {p!r} THEN {number(e)}" for p, e in zip(times, effects))
+    return f"`{column}` - CASE `{panel.time}` {cases} END AS `{column}`"
 
 
 def remove_time_effects(panel: Panel, columns: Sequence[str]) -> tuple[Panel, int]:
@@ -162,8 +157,9 @@ def remove_time_effects(panel: Panel, columns: Sequence[str]) -> tuple[Panel, in
     kept = materialise(missing.finite_cases(panel.df, columns).select(*panel.entity, panel.time, *columns))
     base = panel.on(kept)
     times, effects = time_effects(base, columns)
-    net = {c: F.col(c) - _by_time(panel, times, effects[:, j]) for j, c in enumerate(columns)}
-    return base.with_columns(net), len(times) - 1
+    net = [_net_of_time(panel, c, times, effects[:, j]) for j, c in enumerate(columns)]
+    keys = [f"`{c}`" for c in (*panel.entity, panel.time)]
+    return base.on(kept.selectExpr(*keys, *net)), len(times) - 1
 
 
 @dataclass
@@ -185,16 +181,10 @@ class WithinFit:
         beta = self.fit.beta
         score = []
         for i in range(1, k + 1):
-            s = F.col(f"s_0_{i}")
-            for j in range(1, k + 1):
-                s = s - F.lit(float(beta[j - 1])) * F.col(f"s_{min(i, j)}_{max(i, j)}")
-            score.append(s)
-        row = (
-            self.entities.select(*[s.alias(f"v_{i}") for i, s in enumerate(score)])
-            .agg(*[F.sum(F.col(f"v_{i}") * F.col(f"v_{j}")).alias(f"g_{i}_{j}") for i, j in pairs(k)])
-            .first()
-            .asDict()
-        )
+            terms = [f"{number(b)} * s_{min(i, j)}_{max(i, j)}" for j, b in enumerate(beta, 1)]
+            score.append(f"s_0_{i} - ({' + '.join(terms)}) AS v_{i}")
+        meat = [f"sum(v_{i + 1} * v_{j + 1}) AS g_{i}_{j}" for i, j in pairs(k)]
+        row = self.entities.selectExpr(*score).selectExpr(*meat).first().asDict()
         bread = self.fit.extra["bread"]
         n = self.fit.nobs
         return (n / (n - k) if scale == "hc1" else 1.0) * bread @ symmetric(row, k, "g_") @ bread
@@ -217,7 +207,7 @@ def within(panel: Panel, y: str, x: Sequence[str], effect: str = INDIVIDUAL) ->
     free = 0
     if effect == TWOWAYS:
         panel, free = remove_time_effects(panel, names)
-    entities = materialise(entity_moments(panel, names))
+    entities = entity_moments(panel, names)
     pm = pool(entities, names)
     m = pm.within_moments()
     sxx, sxy, syy = m.block(x, x), m.block(x, [y])[:, 0], m.block([y], [y])[0, 0]

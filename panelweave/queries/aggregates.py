@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import codes
+from ..functions import codes, missing
 from ..operators import aggregate
 from ..operators.panel import Panel
 from ..plans.trade_panel import MEMBER, SUPER_SEGMENT, Tables, lines, order_year
@@ -19,7 +19,7 @@ def sum_list(t: Tables):
         "l_suppkey",
         F.col("l_quantity").alias("q"),
         F.when(F.col("l_tax") > 0.07, F.col("l_extendedprice")).alias("high"),
-        F.col("l_returnflag").try_cast("double").alias("none"),
+        missing.to_number("l_returnflag").alias("none"),
     )
     return rounded(aggregate.sum_list(li, ["l_suppkey"], ["q", "high", "none"]), 2)
 

@@ -203,10 +203,10 @@ def test_iv_within_equals_dummies(panel, data, effect):
 
 
 def test_gram_paths_agree(panel):
-    cols = [F.col(c) for c in ("y", "x", "w")]
-    wide = [F.col("z1") * F.lit(float(i)) + F.col("z2") for i in range(150)]
-    big = gram(panel.df, cols, wide)
-    close(big[:, :20], gram(panel.df, cols, wide[:20]))
+    cols = ["y", "x", "w"]
+    wide = [f"z1 * {i} + z2" for i in range(150)]
+    big = gram(panel.df, (cols, wide))
+    close(big[:, :20], gram(panel.df, (cols, wide[:20])))
 
 
 # GMM by dense matrices, one entity at a time. ----------------------------------------------------
