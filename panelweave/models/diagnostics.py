@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import distributions as dist, missing
 from ..operators.panel import Panel
+from ..session import materialise
 from .moments import group, pairs
 from .panel_models import RandomFit, random_effects
 
@@ -30,17 +31,57 @@ def adf_p_value(stat: float) -> float:
     return dist.normal_cdf(sum(c * stat**i for i, c in enumerate(surface)))
 
 
-def durbin_watson(panel: Panel, y: str, x: Sequence[str]) -> tuple[float, RandomFit]:
-    """Durbin-Watson statistic of random-effects residuals, differences taken inside entities."""
+def _boundary_squares(rows: Panel) -> float:
+    """Sum of squared steps from the last residual of each entity to the first of the next one.
+
+    Entities are range-partitioned and sorted; every task adds up its own steps and reports its
+    first and last value, so that only the steps between tasks are left for the driver.
+    """
+    entity = rows.entity
+    ends = rows.df.groupBy(*entity).agg(
+        F.min_by("residual", rows.time).alias("head"), F.max_by("residual", rows.time).alias("tail")
+    )
+    ordered = ends.repartitionByRange(*entity).sortWithinPartitions(*entity)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        first, last, total = None, None, 0.0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            head, tail = pdf["head"].to_numpy(), pdf["tail"].to_numpy()
+            if first is None:
+                first = pdf.iloc[:1].copy()
+            else:
+                total += float((head[0] - last) ** 2)
+            total += float(((head[1:] - tail[:-1]) ** 2).sum())
+            last = tail[-1]
+        if first is not None:
+            yield first.assign(tail=last, total=total)
+
+    schema = T.StructType(ends.schema.fields + [T.StructField("total", T.DoubleType())])
+    parts = ordered.mapInPandas(walk, schema).orderBy(*entity).collect()
+    between = sum((b["head"] - a["tail"]) ** 2 for a, b in zip(parts, parts[1:]))
+    return float(sum(p["total"] for p in parts) + between)
+
+
+def durbin_watson(panel: Panel, y: str, x: Sequence[str], across_entities: bool = False) -> tuple[float, RandomFit]:
+    """Durbin-Watson statistic of random-effects residuals.
+
+    Differences are taken inside entities, or along the whole sorted frame with
+    ``across_entities``, which also counts the step from one entity to the next.
+    """
     re = random_effects(panel, y, x)
     rows = panel.on(re.transformed_residuals(panel))
+    if across_entities:
+        rows = rows.on(materialise(rows.df))
     e = F.col("residual")
     row = (
         rows.with_columns({"__d": rows.row_lag("residual")})
         .df.agg(F.sum(F.pow(e - F.col("__d"), F.lit(2.0))), F.sum(e * e))
         .first()
     )
-    return float(row[0] / row[1]), re
+    steps = (row[0] or 0.0) + (_boundary_squares(rows) if across_entities else 0.0)
+    return float(steps / row[1]), re
 
 
 def adf_by_entity(panel: Panel, c: str, pmax: int = 4) -> DataFrame:

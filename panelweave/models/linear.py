@@ -131,7 +131,7 @@ def ols(df: DataFrame, y: str, x: Sequence[str]) -> Fit:
 def residual_quantiles(df: DataFrame, residual: str = "residual") -> DataFrame:
     """Minimum, quartiles and maximum of a residual column, exact and without a global sort."""
     names = ["min", "q1", "median", "q3", "max"]
-    out = aggregate.quantiles(df.select(F.lit(1).alias("g"), residual), ["g"], [residual], [0.0, 0.25, 0.5, 0.75, 1.0])
+    out = aggregate.quantiles(df, [], [residual], [0.0, 0.25, 0.5, 0.75, 1.0])
     return out.select(*[F.col(residual)[i].alias(n) for i, n in enumerate(names)])
 
 
@@ -198,6 +198,9 @@ def grouped_ols(
     names = [y, *x]
     k = len(x) + 1
     frame = missing.finite_cases(df, names).filter(" AND ".join(f"`{b}` IS NOT NULL" for b in by)).select(*by, *names)
+    if robust:
+        # Moments and residual products are two passes over the same rows.
+        frame = materialise(frame)
     table = group(frame, by, moment_sql(names)).filter(F.col("n") > k)
     keys = table.select(*by).schema.fields
     if robust:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import missing
 
 MAX_DENSE = 4000
-JVM_PRODUCTS = 300
+JVM_PRODUCTS = 120
 
 
 def pairs(p: int) -> list[tuple[int, int]]:

@@ -87,14 +87,15 @@ def median_bounded(df: DataFrame, by: Sequence[str], columns: Sequence[str]) ->
 
 
 def quantiles(
-    df: DataFrame, by: Sequence[str], columns: Sequence[str], probs: Sequence[float], accuracy: int = 10000
+    df: DataFrame, by: Sequence[str], columns: Sequence[str], probs: Sequence[float], accuracy: int = 100000
 ) -> DataFrame:
     """Exact interpolated quantiles for groups of any size, without gathering a group.
 
     One row per group; column ``c`` holds an array with one value per probability. A mergeable sketch
     with rank error n / accuracy brackets each wanted rank. Values below a bracket are only counted;
     the few inside are counted per distinct value and ranked exactly. Groups of fewer rows than
-    ``accuracy`` need no bracket. A bracket that misses its rank stops the job rather than give a
+    ``accuracy`` need no bracket. What is ranked in one task is therefore at most 8 / accuracy of a
+    group, or ``accuracy`` values. A bracket that misses its rank stops the job rather than give a
     wrong value.
     """
     gap = 4.0 / accuracy
@@ -108,7 +109,12 @@ def quantiles(
         ends = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-gap, gap)]
         sketch += [F.percentile_approx(c, ends, accuracy).alias(f"__q_{c}"), F.count(c).alias(f"__n_{c}")]
     brackets = clean.groupBy(*[F.col(k).alias(f"__{k}") for k in by]).agg(*sketch)
-    placed = clean.join(brackets, _same(by, "__"), "inner")
+    if by:
+        placed = clean.join(brackets, _same(by, "__"), "inner")
+    else:
+        # One group: its brackets are a handful of numbers, used as literals.
+        known = brackets.first().asDict()
+        placed = clean.withColumns({k: F.lit(v) for k, v in known.items()})
     few = lambda c: F.col(f"__n_{c}") < accuracy
     cells = F.array(
         *[
@@ -144,12 +150,14 @@ def quantiles(
     wide = picked.groupBy(*by).agg(
         *[F.array(*[at_item(i) for i, (d, _) in enumerate(items) if d == c]).alias(c) for c in columns]
     )
+    if not by:
+        return wide
     keyed = wide.withColumnsRenamed({k: f"__m_{k}" for k in by})
     groups = brackets.select(*[F.col(f"__{k}").alias(k) for k in by])
     return groups.join(keyed, _same(by, "__m_"), "left").select(*by, *columns)
 
 
-def median(df: DataFrame, by: Sequence[str], columns: Sequence[str], accuracy: int = 10000) -> DataFrame:
+def median(df: DataFrame, by: Sequence[str], columns: Sequence[str], accuracy: int = 100000) -> DataFrame:
     """Exact medians for groups of any size (see ``quantiles``)."""
     out = quantiles(df, by, columns, [0.5], accuracy)
     return out.select(*by, *[F.col(c)[0].alias(c) for c in columns])
@@ -167,10 +175,9 @@ def panel_dimensions(df: DataFrame, entity: Sequence[str], time: str) -> DataFra
         F.sum("t").alias("n_obs"),
         F.min("t").alias("t_min"),
         F.max("t").alias("t_max"),
-    ).withColumn("one", F.lit(1))
-    periods = df.select(time).distinct().agg(F.count(F.lit(1)).alias("n_periods")).withColumn("one", F.lit(1))
-    return (
-        sizes.join(periods, "one")
-        .drop("one")
-        .withColumn("balanced", (F.col("t_min") == F.col("t_max")) & (F.col("t_max") == F.col("n_periods")))
     )
+    periods = df.select(time).distinct().agg(F.count(F.lit(1)).alias("n_periods"))
+    # Two one-row results side by side: stacked, then reduced to the values that are present.
+    both = sizes.unionByName(periods, allowMissingColumns=True)
+    out = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    return out.withColumn("balanced", (F.col("t_min") == F.col("t_max")) & (F.col("t_max") == F.col("n_periods")))

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import codes
-from ..operators import metrics
-from .regional_panel import SECTOR, YEAR, ZONE, zone_panel
+from ..operators import aggregate, joins, metrics
+from .regional_panel import SECTOR, YEAR, ZONE, zone_metrics, zone_panel
 
 # Quantity classes (closed intervals), and their upper bounds for concentration.
 QUANTITY_CLASSES = {"n1_4": (1, 4), "n5_9": (5, 9), "n10_19": (10, 19), "n20_49": (20, 49), "n50": (50, 50)}
@@ -112,5 +112,6 @@ def trade_zone_panel(t: Tables, merged: bool = False, capital: bool = False) ->
     walk = members(t)
     if not capital:
         return zone_panel(base, walk, {MEMBER: MEMBER}, SUMS, MEANS[:3], coarse, CLASS_UPPER)
-    located = base.join(walk, MEMBER).join(capital_cost(t), [SECTOR, YEAR], "left")
-    return zone_panel(located.drop(ZONE, SECTOR), walk, {MEMBER: MEMBER}, SUMS, MEANS, coarse, CLASS_UPPER)
+    located = joins.enrich(base.join(walk, MEMBER), capital_cost(t), [SECTOR, YEAR])
+    rolled = aggregate.two_stage_roll_up(located, [YEAR, ZONE, SECTOR], {SECTOR: coarse}, SUMS, MEANS)
+    return zone_metrics(rolled, CLASS_UPPER)

@@ -117,7 +117,8 @@ _AR_SQL = " UNION ALL ".join(
 )
 def gmm_ar_test(t: Tables):
     """Arellano-Bond tests for first- and second-order serial correlation."""
-    return statistics(t, [(n, ab(t, 1).test(n)[0]) for n in ("ar1", "ar2")])
+    fit = ab(t, 1)
+    return statistics(t, [(n, fit.test(n)[0]) for n in ("ar1", "ar2")])
 
 
 @query(f"WITH {MEMBERS}, {GMM_SQL} SELECT 'lag(LABOR_SHARE,1)' AS term, round(rho2, 8) AS estimate, round(sqrt(varw), 8) AS std_error FROM gz")
@@ -147,6 +148,19 @@ def durbin_watson_panel(t: Tables):
     return statistics(t, [("durbin_watson", stat)])
 
 
+@query(
+    f"""WITH {MEMBERS}, {RANDOM_SQL},
+      rr AS (SELECT cust, year, ({Y} - th*my) - a*(1 - th) - b*({X1} - th*mx) AS r
+        FROM (SELECT mp.*, my, mx, a, b, 1 - sqrt(s2e / (t*s2u + s2e)) AS th FROM mp JOIN e USING (cust) CROSS JOIN rs)),
+      dw AS (SELECT r, r - lag(r) OVER (ORDER BY cust, year) AS d FROM rr)
+      SELECT 'durbin_watson' AS statistic, round(sum(d*d) / sum(r*r), 6) AS value FROM dw"""
+)
+def durbin_watson_pooled(t: Tables):
+    """The same statistic along the whole sorted frame."""
+    stat, _ = diagnostics.durbin_watson(customers(t, Y, X1), Y, [X1], across_entities=True)
+    return statistics(t, [("durbin_watson", stat)])
+
+
 @query(
     f"""WITH {MEMBERS}, l AS (SELECT cust, {Y} - lag({Y}) OVER c AS dy, lag({Y}) OVER c AS y1 FROM mp WINDOW c AS (PARTITION BY cust ORDER BY year)),
       s AS (SELECT cust, count(*) AS n, regr_sxx(dy, y1) AS sxx, regr_sxy(dy, y1) AS sxy, regr_syy(dy, y1) AS syy FROM l WHERE dy IS NOT NULL GROUP BY 1 HAVING count(*) > 2),

@@ -3,30 +3,34 @@
 from pyspark.sql import functions as F
 
 from ..operators import aggregate, joins
-from ..plans.trade_panel import Tables, order_year
+from ..plans.regional_panel import YEAR, ZONE
+from ..plans.trade_panel import MEMBER, Tables, lines, members, order_year
 from .registry import query, rounded
 
-_LINE_SUMS = """SELECT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS year, {} FROM lineitem WHERE {} GROUP BY 1, 2"""
-
-
 @query(
-    """SELECT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS year, round(sum(l_extendedprice), 2) AS gdp,
-        round(sum(l_extendedprice * (1 - l_discount)), 4) AS comp, sum(l_quantity) AS empl, round(sum(l_tax), 2) AS tax, count(*) AS n
-      FROM lineitem GROUP BY 1, 2"""
+    """WITH o AS (SELECT c_nationkey AS nation, year(o_orderdate) AS y, sum(o_totalprice) AS ordered FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+      b AS (SELECT c_nationkey AS nation, year(o_orderdate) AS y, sum(l_extendedprice) AS bought FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+      s AS (SELECT s_nationkey AS nation, year(l_shipdate) AS y, sum(l_extendedprice) AS sold, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)
+      SELECT nation, CAST(y AS INTEGER) AS year, round(ordered, 2) AS ordered, round(bought, 2) AS bought, round(sold, 2) AS sold, n
+      FROM o JOIN b USING (nation, y) JOIN s USING (nation, y)"""
 )
 def nway_key_join(t: Tables):
-    """Five measure tables on one composite key; the aggregates' partitioning serves all four joins."""
-    key = ["l_suppkey", "year"]
-    base = t.lineitem.withColumn("year", F.year("l_shipdate").cast("int"))
-    measures = {
-        "gdp": F.sum("l_extendedprice"),
-        "comp": F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))),
-        "empl": F.sum("l_quantity"),
-        "tax": F.sum("l_tax"),
-        "n": F.count(F.lit(1)),
-    }
-    frames = [base.groupBy(*key).agg(c.alias(n)) for n, c in measures.items()]
-    return rounded(joins.join_all(frames, key), 2, comp=4)
+    """Measure tables from three sources on one composite key; the aggregates' partitioning serves the joins."""
+    key = ["nation", YEAR]
+    where = members(t).select(MEMBER, F.col(ZONE).alias("nation"))
+    orders = t.orders.groupBy(F.col("o_custkey").alias(MEMBER), order_year().alias(YEAR)).agg(F.sum("o_totalprice").alias("v"))
+    bought = lines(t).groupBy(MEMBER, YEAR).agg(F.sum("l_extendedprice").alias("v"))
+    sold = t.lineitem.groupBy("l_suppkey", F.year("l_shipdate").cast("int").alias(YEAR)).agg(
+        F.sum("l_extendedprice").alias("v"), F.count(F.lit(1)).alias("n")
+    )
+    supplier = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
+    frames = [
+        orders.join(where, MEMBER).groupBy(*key).agg(F.sum("v").alias("ordered")),
+        bought.join(where, MEMBER).groupBy(*key).agg(F.sum("v").alias("bought")),
+        sold.join(supplier, "l_suppkey").groupBy(*key).agg(F.sum("v").alias("sold"), F.sum("n").alias("n")),
+    ]
+    return rounded(joins.join_all(frames, key), 2)
 
 
 @query(

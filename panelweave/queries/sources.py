@@ -13,10 +13,13 @@ from .registry import query, rounded
 )
 def stack_year_files(t: Tables):
     """Three yearly layouts (plain, upper-case names, renamed text column) brought to one and stacked."""
-    o = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"), order_year().alias("year"))
-    plain = o.filter("year < 1997")
-    upper = o.filter("year BETWEEN 1997 AND 1998").toDF("O_ORDERKEY", "STATUS", "TOTAL", "YEAR")
-    text = o.filter("year > 1998").select("o_orderkey", "status", F.col("total").cast("string").alias("n.5"), "year")
+    columns = ["o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"), order_year().alias("year")]
+    # Date ranges reach the scans, so that each layout reads only its own row groups.
+    at = lambda condition: t.orders.filter(condition).select(*columns)
+    plain = at("o_orderdate < TIMESTAMP_NTZ '1997-01-01'")
+    upper = at("o_orderdate >= TIMESTAMP_NTZ '1997-01-01' AND o_orderdate < TIMESTAMP_NTZ '1999-01-01'")
+    upper = upper.toDF("O_ORDERKEY", "STATUS", "TOTAL", "YEAR")
+    text = at("o_orderdate >= TIMESTAMP_NTZ '1999-01-01'").select("o_orderkey", "status", F.col("total").cast("string").alias("n.5"), "year")
     frames = [readers.harmonise(f, {"n.5": "total"}, ["total"], ["total"]) for f in (plain, upper, text)]
     out = readers.stack(frames).groupBy("year", "status").agg(
         F.count(F.lit(1)).alias("n_orders"), F.sum("total").alias("total")

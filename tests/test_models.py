@@ -156,6 +156,8 @@ def test_durbin_watson(panel):
     res = re.transformed_residuals(panel).toPandas().sort_values(["id", "t"])
     d = res.groupby("id").residual.diff().dropna()
     close(stat, (d**2).sum() / (res.residual**2).sum())
+    pooled, _ = diagnostics.durbin_watson(panel, "y", ["x", "w"], across_entities=True)
+    close(pooled, (res.residual.diff().dropna() ** 2).sum() / (res.residual**2).sum())
 
 
 def np_2sls(y, x, z):
