@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import distributions as dist, missing
 from ..operators.panel import Panel
-from ..session import materialise
+from ..session import materialise, ship_package
 from .moments import group, pairs
 from .panel_models import RandomFit, random_effects
 
@@ -38,6 +38,7 @@ def _boundary_squares(rows: Panel) -> float:
     first and last value, so that only the steps between tasks are left for the driver.
     """
     entity = rows.entity
+    ship_package(rows.df.sparkSession)
     ends = rows.df.groupBy(*entity).agg(
         F.min_by("residual", rows.time).alias("head"), F.max_by("residual", rows.time).alias("tail")
     )
@@ -91,16 +92,20 @@ def adf_by_entity(panel: Panel, c: str, pmax: int = 4) -> DataFrame:
     regressions are then solved in batches over entity rows. Entities too short for any order give
     no row.
     """
+    ship_package(panel.df.sparkSession)
     base = panel.on(missing.finite_cases(panel.df.select(*panel.entity, panel.time, F.col(c).cast("double").alias("v")), ["v"]))
-    p1 = base.on(base.df.withColumns({"y1": base.row_lag("v"), "dy": base.diff("v")}))
+    # Levels relative to the first observation keep the sums of products well conditioned.
+    origin = F.first("v").over(base.window)
+    p1 = base.on(base.df.withColumns({"y1": base.row_lag("v") - origin, "dy": base.diff("v")}))
     rows = p1.df.withColumns({f"d{k}": p1.row_lag("dy", k) for k in range(1, pmax + 1)})
     aggs = []
     for order in range(pmax + 1):
         cols = ["dy", "y1", *[f"d{k}" for k in range(1, order + 1)]]
-        ok = " AND ".join(f"{n} IS NOT NULL" for n in cols)
+        # The longest lag is known exactly where all terms of this order are.
+        ok = f"{cols[-1] if order else 'dy'} IS NOT NULL"
         aggs.append(f"count_if({ok}) AS n{order}")
-        for i, j in pairs(len(cols)):
-            aggs.append(f"regr_sxy({cols[i]}, {cols[j]}) FILTER (WHERE {ok}) AS s{order}_{i}_{j}")
+        aggs += [f"sum(CASE WHEN {ok} THEN {c} END) AS t{order}_{i}" for i, c in enumerate(cols)]
+        aggs += [f"sum(CASE WHEN {ok} THEN {cols[i]} * {cols[j]} END) AS s{order}_{i}_{j}" for i, j in pairs(len(cols))]
     table = group(rows, panel.entity, aggs)
     keys = table.select(*panel.entity).schema.fields
     schema = T.StructType(
@@ -126,8 +131,10 @@ def adf_by_entity(panel: Panel, c: str, pmax: int = 4) -> DataFrame:
                 if not len(at):
                     continue
                 s = np.zeros((len(at), k + 1, k + 1))
+                sums = [pdf[f"t{order}_{i}"].to_numpy(dtype=float)[at] for i in range(k + 1)]
                 for i, j in pairs(k + 1):
-                    s[:, i, j] = s[:, j, i] = pdf[f"s{order}_{i}_{j}"].to_numpy(dtype=float)[at]
+                    raw = pdf[f"s{order}_{i}_{j}"].to_numpy(dtype=float)[at]
+                    s[:, i, j] = s[:, j, i] = raw - sums[i] * sums[j] / n[at]
                 sxx, sxy = s[:, 1:, 1:], s[:, 1:, 0]
                 d = np.sqrt(np.einsum("bii->bi", sxx))
                 good = np.all(d > 0, axis=1)

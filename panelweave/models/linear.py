@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import distributions as dist, missing
 from ..operators import aggregate
-from ..session import materialise
+from ..session import materialise, ship_package
 from .moments import Moments, group, moment_sql, moments, number, pairs, symmetric
 
 INTERCEPT = "(Intercept)"
@@ -195,6 +195,7 @@ def grouped_ols(
     the coefficients are joined back for the HC1 aggregate. Groups with too few rows give no rows.
     """
     x, by = list(x), list(by)
+    ship_package(df.sparkSession)
     names = [y, *x]
     k = len(x) + 1
     frame = missing.finite_cases(df, names).filter(" AND ".join(f"`{b}` IS NOT NULL" for b in by)).select(*by, *names)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import missing
+from ..session import ship_package
 
 MAX_DENSE = 4000
 JVM_PRODUCTS = 120
@@ -106,6 +107,8 @@ def gram(df: DataFrame, *terms: tuple[Sequence[str], Sequence[str]]) -> np.ndarr
                 cells.append(f"sum({total}) AS g_{i}_{j}")
         return np.array([0.0 if v is None else float(v) for v in df.selectExpr(*cells).first()]).reshape(a, b)
 
+    ship_package(df.sparkSession)
+
     def partial(batches):
         total = np.zeros((a, b))
         for batch in batches:

@@ -61,18 +61,15 @@ def lines(t: Tables) -> DataFrame:
 def capital_cost(t: Tables) -> DataFrame:
     """Value of lines by segment and year at current prices over list prices.
 
-    Quantities collapse to part x segment x year before the list price is looked up.
+    Orders learn their segment before they meet the lines, so lines move once per large join and a
+    customer with very many orders is never joined at line level.
     """
-    sold = (
-        lines(t)
-        .select("l_partkey", MEMBER, YEAR, "l_quantity", "l_extendedprice")
-        .join(members(t).select(MEMBER, SECTOR), MEMBER)
-        .groupBy("l_partkey", SECTOR, YEAR)
-        .agg(F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("v"))
-    )
+    orders = t.orders.select("o_orderkey", F.col("o_custkey").alias(MEMBER), order_year().alias(YEAR))
+    placed = orders.join(members(t).select(MEMBER, SECTOR), MEMBER).drop(MEMBER)
+    sold = t.lineitem.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
     priced = sold.join(t.part.select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
     return priced.groupBy(SECTOR, YEAR).agg(
-        (F.sum("v") / F.sum(F.col("q") * F.col("p_retailprice"))).alias("capital_cost_index")
+        (F.sum("l_extendedprice") / F.sum(F.col("l_quantity") * F.col("p_retailprice"))).alias("capital_cost_index")
     )
 
 

@@ -11,6 +11,7 @@ from ..plans.regional_panel import SECTOR, YEAR, ZONE
 from ..plans.trade_panel import (
     CLASS_UPPER, MEANS, MEMBER, QUANTITY_CLASSES, SUMS, SUPER_SEGMENT, Tables, lines, member_panel, members, trade_zone_panel,
 )
+from ..session import materialise
 from .registry import LINES, MEMBERS, query, rounded, zones_sql
 from .shape import _SPLIT_SQL, _STOCK_SQL, _stocks, YEARS
 
@@ -60,18 +61,22 @@ def industry_shares(t: Tables):
 )
 def import_exposure(t: Tables):
     """Returned value over total value by detailed code, combined with quantity weights per nation."""
-    cells = t.lineitem.groupBy("l_partkey", "l_suppkey", F.year("l_shipdate").cast("int").alias("year")).agg(
-        F.sum("l_extendedprice").alias("va"),
-        F.sum(F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(0.0)).alias("import"),
-        F.sum("l_quantity").alias("emp"),
-    )
-    brand = t.part.select(F.col("p_partkey").alias("l_partkey"), F.substring("p_brand", 7, 9).cast("int").alias("code"))
+    code = F.substring("p_brand", 7, 9).cast("int")
+    brand = t.part.select(F.col("p_partkey").alias("l_partkey"), code.alias("code"))
     nation = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
-    coded = cells.join(brand, "l_partkey")
-    national = coded.groupBy("code", "year").agg(F.sum("va").alias("value_added"), F.sum("import").alias("import"))
-    national = national.withColumnRenamed("code", "sector_no")
-    walk = t.part.select(F.substring("p_brand", 7, 9).cast("int").alias("code")).distinct().withColumn("sector_no", F.col("code"))
-    employment = coded.join(nation, "l_suppkey").groupBy("nation", "code", "year").agg(F.sum("emp").alias("emp"))
+    returned = F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(0.0)
+    cells = t.lineitem.join(brand, "l_partkey").groupBy("code", "l_suppkey", F.year("l_shipdate").cast("int").alias("year")).agg(
+        F.sum("l_extendedprice").alias("va"), F.sum(returned).alias("import"), F.sum("l_quantity").alias("emp")
+    )
+    by_nation = cells.join(nation, "l_suppkey").groupBy("nation", "code", "year").agg(
+        F.sum("va").alias("va"), F.sum("import").alias("import"), F.sum("emp").alias("emp")
+    )
+    by_nation = materialise(by_nation)  # nations x codes x years; read three times below
+    national = by_nation.groupBy(F.col("code").alias("sector_no"), "year").agg(
+        F.sum("va").alias("value_added"), F.sum("import").alias("import")
+    )
+    walk = t.part.select(code.alias("code")).distinct().withColumn("sector_no", F.col("code"))
+    employment = by_nation.select("nation", "code", "year", "emp")
     coarse = F.when(F.col("code") <= 9, "low").when(F.col("code") <= 19, "mid").otherwise("high")
     out = metrics.import_exposure(
         national.select("sector_no", "year", "value_added"), national.select("sector_no", "year", "import"), walk, employment, "nation", coarse

@@ -7,6 +7,7 @@ from ..operators import joins, reshape
 from ..operators.panel import Panel
 from ..plans.regional_panel import SECTOR, YEAR, ZONE
 from ..plans.trade_panel import MEMBER, QUANTITY_CLASSES, SUPER_SEGMENT, Tables, lines, members, order_year
+from ..session import materialise
 from .registry import LINES, query, rounded
 
 YEARS = [str(y) for y in range(1995, 2002)]
@@ -170,14 +171,14 @@ def transpose_row(t: Tables):
 
 def _stocks(t: Tables):
     """Part type x year at list and at current prices, as two wide tables with equal column names."""
-    year = F.year("l_shipdate")
-    by_part = t.lineitem.groupBy("l_partkey", year.alias(YEAR)).agg(F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("v"))
-    rows = by_part.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    at = lambda c: [F.sum(F.when(F.col(YEAR) == int(y), c)).alias(y) for y in YEARS]
-    return (
-        rows.groupBy("p_type").agg(*at(F.col("q") * F.col("p_retailprice"))),
-        rows.groupBy("p_type").agg(*at(F.col("v"))),
+    sold = t.lineitem.select("l_partkey", "l_quantity", "l_extendedprice", F.year("l_shipdate").alias(YEAR))
+    priced = sold.join(t.part.select("p_partkey", "p_type", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
+    long = priced.groupBy("p_type", YEAR).agg(
+        F.sum(F.col("l_quantity") * F.col("p_retailprice")).alias("hist"), F.sum("l_extendedprice").alias("curr")
     )
+    long = materialise(long)  # types x years; both wide tables read it
+    at = lambda c: [F.sum(F.when(F.col(YEAR) == int(y), F.col(c))).alias(y) for y in YEARS]
+    return long.groupBy("p_type").agg(*at("hist")), long.groupBy("p_type").agg(*at("curr"))
 
 
 _STOCK_SQL = """SELECT p_type, CAST(year(l_shipdate) AS INTEGER) AS year, sum(l_quantity * p_retailprice) AS hist,

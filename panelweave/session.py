@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -57,3 +59,20 @@ def materialise(df: DataFrame) -> DataFrame:
     if _checkpoint_ready(df.sparkSession):
         return df.checkpoint(eager=True)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per Spark context.
+
+    Functions that run inside tasks refer to it, and executors need not have it installed.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_panelweave_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="panelweave-"), "panelweave.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, os.path.join("panelweave", f.relative_to(root)))
+    sc.addPyFile(target)
+    sc._panelweave_shipped = True
