@@ -165,9 +165,14 @@ def sandwich(meat: np.ndarray, m: Moments, x: Sequence[str], scale: float) -> np
     return shift @ v @ shift.T
 
 
-def ols_robust(df: DataFrame, y: str, x: Sequence[str]) -> tuple[Fit, np.ndarray]:
-    """Fit and HC1 covariance; the model frame is computed once for both passes."""
-    frame = materialise(missing.finite_cases(df, [y, *x]).select(y, *x))
+def ols_robust(df: DataFrame, y: str, x: Sequence[str], rescan: bool = False) -> tuple[Fit, np.ndarray]:
+    """Fit and HC1 covariance in two passes.
+
+    The model frame is written once for both, unless ``rescan`` says that reading it again is
+    cheaper, as for a plain scan of stored columns.
+    """
+    frame = missing.finite_cases(df, [y, *x]).select(y, *x)
+    frame = frame if rescan else materialise(frame)
     m = moments(frame, [y, *x])
     fit = least_squares(m, y, list(x))
     return fit, hc1(frame, fit, m)
@@ -186,7 +191,13 @@ def _per_row(solve: Callable[[dict], list[dict]], names: list[str]):
 
 
 def grouped_ols(
-    df: DataFrame, by: Sequence[str], y: str, x: Sequence[str], robust: bool = True, digits: int | None = 4
+    df: DataFrame,
+    by: Sequence[str],
+    y: str,
+    x: Sequence[str],
+    robust: bool = True,
+    digits: int | None = 4,
+    rescan: bool = False,
 ) -> DataFrame:
     """One regression per group, as a tidy coefficient frame.
 
@@ -199,7 +210,7 @@ def grouped_ols(
     names = [y, *x]
     k = len(x) + 1
     frame = missing.finite_cases(df, names).filter(" AND ".join(f"`{b}` IS NOT NULL" for b in by)).select(*by, *names)
-    if robust:
+    if robust and not rescan:
         # Moments and residual products are two passes over the same rows.
         frame = materialise(frame)
     table = group(frame, by, moment_sql(names)).filter(F.col("n") > k)

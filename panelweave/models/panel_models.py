@@ -17,7 +17,7 @@ from ..functions import missing
 from ..operators.panel import CALENDAR, Panel
 from ..session import materialise
 from .linear import INTERCEPT, Fit, inverse, least_squares
-from .moments import Moments, group, moment_sql, moments, number, pairs, symmetric
+from .moments import Moments, gram, group, moment_sql, moments, number, pairs, symmetric
 
 INDIVIDUAL, TWOWAYS = "individual", "twoways"
 MAX_PERIODS = 1000
@@ -135,11 +135,9 @@ def time_effects(panel: Panel, columns: Sequence[str]) -> tuple[list, np.ndarray
     means = [f"avg(`{c}`) AS m_{j}" for j, c in enumerate(names)]
     per_entity = group(panel.df, panel.entity, ["count(1) AS n", *here, *means])
     k, q = len(times), len(names)
-    aggs = [f"sum(p_{i} * p_{j} / n) AS s_{i}_{j}" for i, j in pairs(k)]
-    aggs += [f"sum(p_{i} * m_{j}) AS u_{i}_{j}" for i in range(k) for j in range(q)]
-    row = per_entity.selectExpr(*aggs).first().asDict()
-    lhs = np.diag([float(r["n"]) for r in per_time]) - symmetric(row, k)
-    rhs = np.array([[r[f"t_{j}"] - row[f"u_{i}_{j}"] for j in range(q)] for i, r in enumerate(per_time)])
+    g = gram(per_entity, ([f"p_{i}" for i in range(k)], [*[f"p_{i} / n" for i in range(k)], *[f"m_{j}" for j in range(q)]]))
+    lhs = np.diag([float(r["n"]) for r in per_time]) - g[:, :k]
+    rhs = np.array([[r[f"t_{j}"] for j in range(q)] for r in per_time]) - g[:, k:]
     effects = np.zeros((k, q))
     # Least squares with the first effect at zero; periods cut off from the rest stay at zero.
     effects[1:] = np.linalg.lstsq(lhs[1:, 1:], rhs[1:], rcond=1e-12)[0]

@@ -101,7 +101,23 @@ def within_twoway(t: Tables):
     return coefficients(t, pm.within(Panel(trade_zone_panel(t), [ZONE, SECTOR], YEAR), Y, [X1, X2], pm.TWOWAYS).fit)
 
 
-@query()
+def _projected(columns, rounds: int = 25) -> str:
+    """Two-way transform of the gapped panel by repeated demeaning, which converges to it."""
+    ctes, source = [], "mp"
+    for i in range(rounds):
+        for key in ("cust", "year"):
+            cols = ", ".join(f"{c} - avg({c}) OVER (PARTITION BY {key}) AS {c}" for c in columns)
+            ctes.append(f"w{i}{key} AS (SELECT cust, year, {cols} FROM {source})")
+            source = f"w{i}{key}"
+    return ", ".join(ctes) + f", wd AS (SELECT * FROM {source})"
+
+
+@query(
+    f"WITH {MEMBERS}, {_projected([Y, X1, X2])}, "
+    + ols2_sql("wd", Y, X1, X2, lost="(SELECT count(DISTINCT cust) + count(DISTINCT year) + 1 FROM mp)", intercept=False)
+    + " "
+    + RESULT
+)
 def within_twoway_unbalanced(t: Tables):
     """Two-way model on the gapped customer panel, exact by its normal equations."""
     return coefficients(t, pm.within(Panel(member_panel(t), MEMBER, YEAR), Y, [X1, X2], pm.TWOWAYS).fit)
