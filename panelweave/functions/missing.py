@@ -83,8 +83,7 @@ def drop_infinite(df: DataFrame, columns: Iterable[str] | None = None) -> DataFr
     names = [c for c in (columns if columns is not None else df.columns) if c in floats]
     if not names:
         return df
-    keep = [F.col(c).isNull() | (F.abs(F.col(c)) != float("inf")) for c in names]
-    return df.filter(reduce(lambda a, b: a & b, keep))
+    return df.filter(" AND ".join(f"(`{c}` IS NULL OR abs(`{c}`) <> CAST('Infinity' AS DOUBLE))" for c in names))
 
 
 def complete_cases(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:

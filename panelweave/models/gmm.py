@@ -100,6 +100,8 @@ def _build(
     system: bool,
     collapse: bool,
     effect: str,
+    full: bool,
+    ar_orders: Sequence[int],
 ) -> _System:
     a, b = gmm_lags
     times = periods_of(panel)
@@ -178,23 +180,25 @@ def _build(
         out += [f"CASE WHEN in_l THEN {c} END AS {n}" for n, c in lcols.items()]
         out += [f"{c} AS zl_{j}" for j, c in enumerate(zl)]
     s.zd, s.zl = [f"zd_{j}" for j in range(len(zd))], [f"zl_{j}" for j in range(len(zl))]
-    s.rows = materialise(rows.selectExpr(*keys, *out))
+    rows = rows.selectExpr(*keys, *out)
+
+    # 5. What later passes need from neighbouring periods, on the same partitioning and order: the
+    # next instruments for the first weight, and earlier equations for the serial-correlation tests.
+    ahead = f"first(array({', '.join(s.zd)})) {s.over('1 FOLLOWING AND 1 FOLLOWING')} AS nx"
+    back = [
+        f"first({c}) {s.over(f'{o} PRECEDING AND {o} PRECEDING')} AS b{o}_{c}" for o in ar_orders for c in dcols
+    ]
+    plus = [f" + {l}" if system and full else "" for l in s.zl]
+    q = [f"{c} - coalesce(nx[{j}], 0D){plus[j]} AS q_{j}" for j, c in enumerate(s.zd)]
+    rows = rows.selectExpr("*", ahead, *back).selectExpr("*", *q).drop("nx")
+    s.rows = materialise(rows)
     return s
 
 
 def _first_weight(s: _System, full: bool) -> np.ndarray:
     """Gram matrix of q_s (see the module text); ``full`` keeps the cross-equation covariance."""
-    ahead = f"first(array({', '.join(s.zd)})) {s.over('1 FOLLOWING AND 1 FOLLOWING')} AS nx"
-    q = [f"{c} - coalesce(nx[{j}], 0D)" for j, c in enumerate(s.zd)]
-    if s.system and full:
-        q = [f"{c} + {l}" for c, l in zip(q, s.zl)]
-    levels = s.zl if s.system else []
-    flat = s.rows.selectExpr(*s.zd, *levels, ahead).selectExpr(*[f"{c} AS q_{j}" for j, c in enumerate(q)], *levels)
-    names = [f"q_{j}" for j in range(len(q))]
-    terms = [(names, names)]
-    if s.system and not full:
-        terms.append((s.zl, s.zl))
-    return gram(flat, *terms)
+    q = [f"q_{j}" for j in range(len(s.zd))]
+    return gram(s.rows, (q, q), *([(s.zl, s.zl)] if s.system and not full else []))
 
 
 def _cross(s: _System) -> tuple[np.ndarray, np.ndarray, int]:
@@ -230,9 +234,8 @@ def _ar_tests(
     if not orders:
         return []
     _, y, x = s.equations()[0]
-    rows = s.rows.selectExpr("*", f"{_residual(y, x, beta)} AS e")
-    back = [f"first(e) {s.over(f'{o} PRECEDING AND {o} PRECEDING')} AS w_{o}" for o in orders]
-    rows = rows.selectExpr("*", *back)
+    back = [f"{_residual(f'b{o}_{y}', [f'b{o}_{c}' for c in x], beta)} AS w_{o}" for o in orders]
+    rows = s.rows.selectExpr("*", f"{_residual(y, x, beta)} AS e", *back)
     sums = [f"sum(coalesce(w_{o} * e, 0D)) AS c_{o}" for o in orders]
     sums += [f"sum(coalesce(w_{o} * {c}, 0D)) AS a_{o}_{k}" for o in orders for k, c in enumerate(x)]
     per_entity = _scores(s, rows, beta, sums)
@@ -276,14 +279,17 @@ def gmm(
     check_effect(effect)
     if transformation not in ("d", "ld"):
         raise ValueError(f"transformation must be 'd' or 'ld', not {transformation!r}")
+    if first_step not in ("full", "block"):
+        raise ValueError(f"first_step must be 'full' or 'block', not {first_step!r}")
     if steps not in (1, 2):
         raise ValueError("steps must be 1 or 2")
     system = transformation == "ld"
     ivs = list(x) if instruments is None else list(instruments)
-    s = _build(panel, y, list(x), gmm_lags, ivs, system, collapse, effect)
+    full = first_step == "full"
+    s = _build(panel, y, list(x), gmm_lags, ivs, system, collapse, effect, full, ar_orders)
     zx, zy, nobs = _cross(s)
     used = np.abs(zx).sum(axis=1) + np.abs(zy) > 0
-    w1, _ = _pinv(_first_weight(s, first_step == "full"))
+    w1, _ = _pinv(_first_weight(s, full))
 
     def estimate(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         bread, _ = _pinv(zx.T @ weight @ zx)

@@ -81,7 +81,10 @@ class Fit:
         r2 = 1.0 - self.rss / self.tss if self.tss else float("nan")
         total_df = self.nobs - 1
         adj = 1.0 - (1.0 - r2) * total_df / self.df_resid if self.df_resid > 0 else float("nan")
-        f = ((self.tss - self.rss) / k) / self.sigma2 if k and self.df_resid > 0 else float("nan")
+        # Wald form over the slopes: the classical F for least squares, and valid for 2SLS too.
+        slopes = slice(1, None) if self.intercept else slice(None)
+        b, v = self.beta[slopes], self.vcov[slopes, slopes]
+        f = float(b @ inverse(v) @ b) / k if k and self.df_resid > 0 else float("nan")
         return {
             "nobs": self.nobs,
             "df_resid": self.df_resid,

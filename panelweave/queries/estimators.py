@@ -63,6 +63,22 @@ def fd(t: Tables):
     return coefficients(t, pm.first_difference(Panel(member_panel(t), MEMBER, YEAR), Y, [X1, X2], CALENDAR))
 
 
+_LAGS = "lg AS (SELECT cust, year, {y}, first({y}) OVER {w} AS \"L_LABOR_SHARE\", first({x}) OVER {w} AS \"L_HHI_labor\" FROM mp)".format(
+    y=Y, x=X1, w="(PARTITION BY cust ORDER BY year RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)"
+)
+
+
+@query(
+    f"""WITH {MEMBERS}, {_LAGS}, {calendar_differences(Y, '"L_LABOR_SHARE"', '"L_HHI_labor"').replace('FROM mp', 'FROM lg')},
+      {ols2_sql('fd', Y, 'L_LABOR_SHARE', 'L_HHI_labor')} {RESULT}"""
+)
+def fd_dynamic(t: Tables):
+    """First-difference model with the lagged outcome and a lagged regressor."""
+    p = Panel(member_panel(t).select(MEMBER, YEAR, Y, X1), MEMBER, YEAR)
+    p = p.with_columns({"L_LABOR_SHARE": p.calendar_lag(Y), "L_HHI_labor": p.calendar_lag(X1)})
+    return coefficients(t, pm.first_difference(p, Y, ["L_LABOR_SHARE", "L_HHI_labor"], CALENDAR))
+
+
 def demeaned(*columns: str) -> str:
     cols = ", ".join(f"{c} - avg({c}) OVER (PARTITION BY cust) AS {c}" for c in columns)
     return f"wd AS (SELECT cust, year, {cols} FROM mp)"

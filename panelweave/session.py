@@ -24,6 +24,7 @@ def local_session(app: str = "panelweave", cores: str | int = "*", partitions: i
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", os.environ.get("PANELWEAVE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Call sites recorded for every column expression cost more than small queries themselves.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()

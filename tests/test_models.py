@@ -214,7 +214,7 @@ def test_gram_paths_agree(panel):
 # GMM by dense matrices, one entity at a time. ----------------------------------------------------
 
 
-def np_gmm(data, y, x, lags, ivs, system, collapse, steps, twoways=False):
+def np_gmm(data, y, x, lags, ivs, system, collapse, steps, twoways=False, block=False):
     """x and ivs are column names (current values); the first regressor is the lagged outcome."""
     t0, t1 = int(data.t.min()), int(data.t.max())
     years = range(t0, t1 + 1)
@@ -265,7 +265,7 @@ def np_gmm(data, y, x, lags, ivs, system, collapse, steps, twoways=False):
                     h[i, j] = {0: 2.0, 1: -1.0}.get(abs(s - t), 0.0)
                 elif k1 == k2 == "l":
                     h[i, j] = float(s == t)
-                else:
+                elif not block:
                     d, l = (s, t) if k1 == "d" else (t, s)
                     h[i, j] = {0: 1.0, 1: -1.0}.get(d - l, 0.0)
         ents.append((z, r[:, 0], r[:, 1:], h, eqs))
@@ -309,6 +309,7 @@ CASES = [
     dict(lags=(2, 20), ivs=["x", "w"], system=True, collapse=True, steps=2),
     dict(lags=(2, 4), ivs=["x", "w"], system=True, collapse=False, steps=1, twoways=True),
     dict(lags=(2, 3), ivs=["x", "w"], system=False, collapse=True, steps=1, twoways=True),
+    dict(lags=(2, 5), ivs=["x", "w"], system=True, collapse=True, steps=1, block=True),
 ]
 
 
@@ -317,7 +318,7 @@ def test_gmm_equals_dense_matrices(panel, data, case):
     beta, vcov, j, ar = np_gmm(data, "y", ["x", "w"], **case)
     fit = gm.gmm(
         panel, "y", ["x", "w"], case["lags"], case["ivs"], "ld" if case["system"] else "d", case["steps"], case["collapse"],
-        "twoways" if case.get("twoways") else "individual",
+        "twoways" if case.get("twoways") else "individual", first_step="block" if case.get("block") else "full",
     )
     close(fit.fit.beta, beta, 1e-6)
     close(fit.fit.vcov, vcov, 1e-6)
