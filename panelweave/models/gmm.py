@@ -118,7 +118,8 @@ def _build(
     lag = {(n, k): f"`v_{n}_{k}`" for n, k in need}
 
     def lagged(name: str, k: int) -> str:
-        source = f"CAST(`{name}` AS DOUBLE)"
+        # NaN and infinite values count as missing.
+        source = f"CASE WHEN abs(CAST(`{name}` AS DOUBLE)) < CAST('Infinity' AS DOUBLE) THEN CAST(`{name}` AS DOUBLE) END"
         return source if k == 0 else f"first({source}) " + s.over(f"{k} PRECEDING AND {k} PRECEDING")
 
     rows = panel.df.selectExpr(*keys, *[f"{lagged(n, k)} AS {c}" for (n, k), c in lag.items()])

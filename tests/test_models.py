@@ -333,6 +333,19 @@ def test_gmm_recovers_known_coefficients(spark):
     close(fit.beta[:3], [0.5, 1.0, -0.5], 0.15)
 
 
+def test_gmm_treats_nan_and_infinity_as_missing(spark, data):
+    bad = data.copy()
+    bad.loc[bad.index[5], "y"], bad.loc[bad.index[40], "x"] = np.nan, np.inf
+    gone = bad.replace(np.inf, np.nan).astype(object).where(lambda d: d.notna(), None)
+    schema = "id long, t long, y double, x double, w double, z1 double, z2 double"
+    fits = [
+        gm.gmm(Panel(spark.createDataFrame([tuple(r) for r in d.itertuples(index=False)], schema), "id", "t"), "y", ["x"], (2, 3), ar_orders=()).fit
+        for d in (bad.astype(object), gone)
+    ]
+    assert np.isfinite(fits[0].beta).all() and fits[0].nobs < len(data)
+    close(fits[0].beta, fits[1].beta)
+
+
 def test_gmm_rejects_unknown_options(panel):
     for kw in (dict(transformation="x"), dict(steps=3), dict(effect="two")):
         with pytest.raises(ValueError):
