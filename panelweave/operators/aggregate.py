@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import missing
+from .joins import small_side
 
 
 def sum_list(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -54,13 +55,15 @@ def _same(keys: Sequence[str], prefix: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
 
 
-def attach_group(df: DataFrame, by: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
+def attach_group(df: DataFrame, by: Sequence[str], stats: Mapping[str, Column], few: bool = False) -> DataFrame:
     """Group statistics on every row, as an aggregate joined back.
 
     Unlike a window this never brings a whole group to one task: the totals are one small row per
-    group, broadcast when small and otherwise joined with skewed partitions split.
+    group, broadcast when small and otherwise joined with skewed partitions split. ``few`` computes
+    the totals at once and, if the count bears it out, spares ``df`` the shuffle.
     """
     totals = df.groupBy(*[F.col(k).alias(f"__{k}") for k in by]).agg(*[c.alias(n) for n, c in stats.items()])
+    totals = small_side(totals) if few else totals
     return df.join(totals, _same(by, "__"), "left").drop(*[f"__{k}" for k in by])
 
 
@@ -109,6 +112,8 @@ def quantiles(
         ends = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-gap, gap)]
         sketch += [F.percentile_approx(c, ends, accuracy).alias(f"__q_{c}"), F.count(c).alias(f"__n_{c}")]
     brackets = clean.groupBy(*[F.col(k).alias(f"__{k}") for k in by]).agg(*sketch)
+    if by:
+        brackets = small_side(brackets)
     if by:
         placed = clean.join(brackets, _same(by, "__"), "inner")
     else:

@@ -1,7 +1,8 @@
 """Joins.
 
-No side is hinted for broadcast. Catalyst and adaptive execution broadcast a side only when its
-measured size is under the session threshold, and split skewed partitions of a sort-merge join.
+Catalyst and adaptive execution broadcast a side only when its measured size is under the session
+threshold, and split skewed partitions of a sort-merge join. The only hint is ``small_side``, which
+counts the rows first.
 """
 
 from __future__ import annotations
@@ -11,6 +12,19 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialise
+
+
+def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """A join side computed once and, if its counted rows are few, marked for broadcast.
+
+    Worth its extra job before a large table would otherwise be shuffled to meet a few group rows:
+    adaptive execution finds out only after that shuffle has been written.
+    """
+    held = materialise(df)
+    few = held.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(held) if few else held
+
 
 def join_all(frames: Sequence[DataFrame], on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join several frames on the same composite key; the shared key keeps one partitioning throughout."""

@@ -109,6 +109,10 @@ def test_attach_group_matches_window_and_keeps_null_keys(spark):
     one = aggregate.attach_group(df, ["g"], {"t": F.sum("x")})
     two = aggregate.attach_group_window(df, ["g"], {"t": F.sum("x")})
     assert rows(one, "g", "x") == rows(two, "g", "x")
+    three = aggregate.attach_group(df, ["g"], {"t": F.sum("x")}, few=True)
+    assert rows(three, "g", "x") == rows(two, "g", "x")
+    wide = joins.small_side(spark.range(10), max_rows=3)
+    assert "broadcast" not in wide._jdf.queryExecution().analyzed().toString().lower() and wide.count() == 10
     shares = aggregate.share_of_total(df.dropna(), ["g"], {"s": "x"})
     assert abs(shares.agg(F.sum("s")).first()[0] - 1) < 1e-12
 
