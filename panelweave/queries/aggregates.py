@@ -26,25 +26,25 @@ def sum_list(t: Tables):
 
 @query(
     """SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice), 2) AS l_extendedprice, sum(l_quantity) AS l_quantity,
-        round(avg(l_discount), 6) AS l_discount, round(avg(l_tax), 6) AS l_tax FROM lineitem GROUP BY 1, 2"""
+        round(avg(l_discount), 9) AS l_discount, round(avg(l_tax), 9) AS l_tax FROM lineitem GROUP BY 1, 2"""
 )
 def mixed_rollup(t: Tables):
     """Sums of some measures and means of others in one pass."""
     out = aggregate.roll_up(t.lineitem, ["l_returnflag", "l_linestatus"], ["l_extendedprice", "l_quantity"], ["l_discount", "l_tax"])
-    return rounded(out, 6, l_extendedprice=2)
+    return rounded(out, 9, l_extendedprice=2)
 
 
 @query(
     """WITH a AS (SELECT c_nationkey, c_mktsegment, sum(c_acctbal) AS total, avg(c_acctbal) AS mean FROM customer GROUP BY 1, 2)
       SELECT c_nationkey, CASE WHEN c_mktsegment IN ('AUTOMOBILE','MACHINERY') THEN 'AUTO-MACH'
         WHEN c_mktsegment IN ('BUILDING','FURNITURE') THEN 'BUILD-FURN' ELSE c_mktsegment END AS c_mktsegment,
-        round(sum(total), 2) AS total, round(avg(mean), 6) AS mean FROM a GROUP BY 1, 2"""
+        round(sum(total), 2) AS total, round(avg(mean), 8) AS mean FROM a GROUP BY 1, 2"""
 )
 def two_stage_rollup(t: Tables):
     """Second stage averages first-stage means."""
     c = t.customer.select("c_nationkey", "c_mktsegment", F.col("c_acctbal").alias("total"), F.col("c_acctbal").alias("mean"))
     recoded = {"c_mktsegment": codes.recode("c_mktsegment", SUPER_SEGMENT)}
-    return rounded(aggregate.two_stage_roll_up(c, ["c_nationkey", "c_mktsegment"], recoded, ["total"], ["mean"]), 6, total=2)
+    return rounded(aggregate.two_stage_roll_up(c, ["c_nationkey", "c_mktsegment"], recoded, ["total"], ["mean"]), 8, total=2)
 
 
 @query(
@@ -72,11 +72,11 @@ def group_median(t: Tables):
 
 
 @query(
-    """SELECT l_suppkey, round(sum(l_quantity * l_discount) / nullif(sum(l_quantity), 0), 6) AS exposure FROM lineitem GROUP BY 1"""
+    """SELECT l_suppkey, round(sum(l_quantity * l_discount) / nullif(sum(l_quantity), 0), 9) AS exposure FROM lineitem GROUP BY 1"""
 )
 def weighted_mean(t: Tables):
     """Quantity-weighted discount."""
-    return rounded(aggregate.weighted_mean(t.lineitem, ["l_suppkey"], "l_discount", "l_quantity", "exposure"))
+    return rounded(aggregate.weighted_mean(t.lineitem, ["l_suppkey"], "l_discount", "l_quantity", "exposure"), 9)
 
 
 @query("SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")

@@ -97,7 +97,7 @@ def capital_cost_index(t: Tables):
 
 @query(
     f"""WITH {zones_sql(merged=True)} SELECT {KEYS}, round(gdp, 2) AS gdp, round(comp, 4) AS comp, empl, est,
-      round(union_memb, 6) AS union_memb, round(hhi_labor, 6) AS hhi FROM zp"""
+      round(union_memb, 9) AS union_memb, round(hhi_labor, 6) AS hhi FROM zp"""
 )
 def zone_rollup(t: Tables):
     """Members to zones, then segments to super-segments, with means of means."""
@@ -106,7 +106,7 @@ def zone_rollup(t: Tables):
         ZONE, SECTOR, YEAR, F.col("GDP").alias("gdp"), F.col("COMP").alias("comp"), F.col("EMPL").alias("empl"),
         F.col("est").cast("double").alias("est"), "union_memb", F.col("HHI_labor").alias("hhi"),
     )
-    return rounded(out, 6, gdp=2, comp=4)
+    return rounded(out, 6, gdp=2, comp=4, union_memb=9)
 
 
 _VOTES = f"""{LINES}, votes AS (SELECT c_nationkey AS zone, year, round(sum(l_extendedprice) FILTER (l_returnflag = 'R'), 2) AS candidate,
@@ -188,14 +188,14 @@ def median_series(t: Tables):
       round(e.labor_share - s.labor_share, 6) AS "D_PSI", round((e.empl - s.empl) / s.empl, 6) AS "D_EMPL",
       round(e.empl_share - s.empl_share, 6) AS "D_EMPL_SHARE", round(ln(e.hhi_labor) - ln(s.hhi_labor), 6) AS "D_HHI_LABOR",
       round((e.est - s.est) / s.est, 6) AS "D_est", round(ln(e.unempl_rate) - ln(s.unempl_rate), 6) AS "D_unempl_rate",
-      round(e.capital_cost_index - s.capital_cost_index, 6) AS "D_capital_cost_index", round(e.union_memb - s.union_memb, 6) AS "D_union_memb"
+      round(e.capital_cost_index - s.capital_cost_index, 6) AS "D_capital_cost_index", round(e.union_memb - s.union_memb, 9) AS "D_union_memb"
       FROM zp e LEFT JOIN zp s ON s.zone = e.zone AND s.sector = e.sector AND s.year = 1996 WHERE e.year = 2000 AND e.sector = '{S}'"""
 )
 def change_table(t: Tables):
     """Long changes of all measures behind the scatter figures."""
     out = figures.change_table(trade_zone_panel(t, capital=True), 1996, 2000, S)
     names = ["D_PSI", "D_EMPL", "D_EMPL_SHARE", "D_HHI_LABOR", "D_est", "D_unempl_rate", "D_capital_cost_index", "D_union_memb"]
-    return rounded(out.select(ZONE, SECTOR, *names))
+    return rounded(out.select(ZONE, SECTOR, *names), 6, D_union_memb=9)
 
 
 _ZW = "(PARTITION BY zone, sector ORDER BY year)"
@@ -208,13 +208,13 @@ _ZW = "(PARTITION BY zone, sector ORDER BY year)"
         union_memb - lag(union_memb) OVER {_ZW} AS "D_union_memb" FROM zp)
       SELECT CZ_ID, IndustryClassification, year, round("D_PSI", 6) AS "D_PSI", round("D_EMPL", 2) AS "D_EMPL", round("D_EMPL_SHARE", 6) AS "D_EMPL_SHARE",
         round("D_HHI_LABOR", 6) AS "D_HHI_LABOR", round("D_est", 6) AS "D_est", round("D_capital_cost_index", 6) AS "D_capital_cost_index",
-        round("D_union_memb", 6) AS "D_union_memb", CAST(CASE year WHEN 1997 THEN 2 WHEN 1999 THEN 3 WHEN 2001 THEN 4 ELSE 1 END AS INTEGER) AS time
+        round("D_union_memb", 9) AS "D_union_memb", CAST(CASE year WHEN 1997 THEN 2 WHEN 1999 THEN 3 WHEN 2001 THEN 4 ELSE 1 END AS INTEGER) AS time
       FROM d WHERE year <> 1995"""
 )
 def first_diff_export(t: Tables):
     """First-difference panel with a time index, as handed to another tool."""
     out = figures.difference_export(trade_zone_panel(t, capital=True), {1997: 2, 1999: 3, 2001: 4}, 1995)
-    return rounded(out, 6, D_EMPL=2)
+    return rounded(out, 6, D_EMPL=2, D_union_memb=9)
 
 
 @query(
@@ -297,21 +297,21 @@ def sample_iv(t: Tables):
 
 
 @query(
-    f"""WITH {zones_sql()} SELECT zone AS CZ_ID, year, round(labor_share, 6) AS "LABOR_SHARE", round(unempl_rate, 6) AS unempl_rate,
-      round(hhi_labor, 6) AS "HHI_labor", round(capital_cost_index, 6) AS capital_cost_index, round(union_memb, 6) AS union_memb,
+    f"""WITH {zones_sql()} SELECT zone AS CZ_ID, year, round(labor_share, 6) AS "LABOR_SHARE", round(unempl_rate, 9) AS unempl_rate,
+      round(hhi_labor, 6) AS "HHI_labor", round(capital_cost_index, 6) AS capital_cost_index, round(union_memb, 9) AS union_memb,
       round(empl_share, 6) AS "EMPL_SHARE" FROM zp WHERE sector = '{S}' AND year NOT IN (1995, 1998) AND hhi_labor > 0 AND labor_share < 1"""
 )
 def sample_single_equation(t: Tables):
-    return rounded(samples.single_equation_sample(trade_zone_panel(t, capital=True), S, (1995, 1998)))
+    return rounded(samples.single_equation_sample(trade_zone_panel(t, capital=True), S, (1995, 1998)), 6, union_memb=9, unempl_rate=9)
 
 
 @query(
-    f"""WITH {zones_sql()} SELECT zone AS CZ_ID, year, round(labor_share, 6) AS "LABOR_SHARE", round(unempl_rate, 6) AS unempl_rate,
-      round(hhi_labor, 6) AS "HHI_labor", round(capital_cost_index, 6) AS capital_cost_index, round(union_memb, 6) AS union_memb,
+    f"""WITH {zones_sql()} SELECT zone AS CZ_ID, year, round(labor_share, 6) AS "LABOR_SHARE", round(unempl_rate, 9) AS unempl_rate,
+      round(hhi_labor, 6) AS "HHI_labor", round(capital_cost_index, 6) AS capital_cost_index, round(union_memb, 9) AS union_memb,
       round(empl_share, 6) AS "EMPL_SHARE", round(import_exposure, 6) AS import_exposure FROM zp WHERE sector = '{S}' AND year <> 1995"""
 )
 def sample_multi_equation(t: Tables):
-    return rounded(samples.multi_equation_sample(trade_zone_panel(t, capital=True), S, (1995,)))
+    return rounded(samples.multi_equation_sample(trade_zone_panel(t, capital=True), S, (1995,)), 6, union_memb=9, unempl_rate=9)
 
 
 @query(f"WITH {zones_sql()} SELECT zone AS CZ_ID, year, round(labor_share, 6) AS \"LABOR_SHARE\" FROM zp WHERE sector = '{S}' AND year NOT IN (1995, 1998)")
