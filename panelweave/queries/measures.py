@@ -264,15 +264,17 @@ _Z1 = "(PARTITION BY zone ORDER BY year)"
       SELECT zone AS CZ_ID, year, round(ln(payroll_share) - lag(ln(payroll_share)) OVER {_Z1}, 6) AS "D_PSI",
         round(empl_share - lag(empl_share) OVER {_Z1}, 6) AS "D_EMPL_SHARE", round(est - lag(est) OVER {_Z1}, 2) AS "D_est",
         round(est / pop - lag(est / pop) OVER {_Z1}, 6) AS "D_est_per_capita", round(est / gdp * 1e6 - lag(est / gdp * 1e6) OVER {_Z1}, 6) AS "D_est_per_mile",
-        round(hhi_labor - lag(hhi_labor) OVER {_Z1}, 6) AS "D_HHI_labor", round(gdp / empl, 4) AS productivity
+        round(hhi_labor - lag(hhi_labor) OVER {_Z1}, 6) AS "D_HHI_labor", round(ln(gdp / empl), 6) AS productivity
       FROM w WHERE sector = '{S}' AND empl > 0 AND est > 0 AND payroll_share > 0 AND hhi_labor > 0"""
 )
 def sample_sector_differences(t: Tables):
     """One sector: changes of the payroll share and of establishments per worker, head and area."""
     base = trade_zone_panel(t).withColumn("LAND", F.col("GDP") / 1e6)
-    out = samples.sector_differences(base, S, land="LAND").withColumn("D_est", F.col("D_est").cast("double"))
+    out = samples.sector_differences(base, S, land="LAND").withColumns(
+        {"D_est": F.col("D_est").cast("double"), "productivity": missing.log("productivity")}
+    )
     names = ["D_PSI", "D_EMPL_SHARE", "D_est", "D_est_per_capita", "D_est_per_mile", "D_HHI_labor", "productivity"]
-    return rounded(out.select(ZONE, YEAR, *names), 6, D_est=2, productivity=4)
+    return rounded(out.select(ZONE, YEAR, *names), 6, D_est=2)
 
 
 @query(
