@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from panelweave.llm.common import Bounded, batch_of, id_and_text, map_arrow, rows_of
+from panelweave.llm.common import Bounded, batch_of, id_and_text, map_arrow
+from panelweave.llm.segments import TokenValues, word_tokens
 
 #: Letters, digits and white space among the first 256 code points, lower case.
 _LETTER, _DIGIT, _SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
@@ -49,8 +50,9 @@ class Bpe:
         self.library.no_padding()
         self.vocab: dict[str, int] = model["vocab"]
         pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
-        self.rank = {p: i for i, p in enumerate(pairs)}
         self.suffix = model["end_of_word_suffix"] or ""
+        self.rank = {(self.vocab[a], self.vocab[b]): i for i, (a, b) in enumerate(pairs)}
+        self.made = [self.vocab[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.name = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -61,44 +63,45 @@ class Bpe:
         if self.drops_space and lower:
             self.plain = re.compile(rf"[{_LETTER}]+|[{_DIGIT}]|'s|'t|'re|'ve|'m|'ll|'d|[^{_SPACE}{_LETTER}{_DIGIT}]+")
         self.symbols = byte_symbols()
-        self.word = Bounded(self.merge if merge == "queue" else self._library_word)
+        self.encode_word = self.merge if merge == "queue" else self._library_word
+        self.word = Bounded(self.encode_word)
         self._run = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
     def merge(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-token, given in byte symbols.
 
-        The symbols form a doubly linked list. The queue holds (rank, position, left, right); an entry
-        is stale, and skipped, once either symbol at that place has changed.
+        Symbols, as ids, form a doubly linked list. The queue holds rank and position in one number; an
+        entry is stale, and skipped, once the pair at that position has another rank.
         """
-        s = list(word)
-        s[-1] += self.suffix
-        n, rank, queue = len(s), self.rank, []
+        ids = [self.vocab[c] for c in word[:-1]]
+        ids.append(self.vocab[word[-1] + self.suffix])
+        n, rank, made = len(ids), self.rank, self.made
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for i in range(n - 1):
-            r = rank.get((s[i], s[i + 1]))
-            if r is not None:
-                queue.append((r, i, s[i], s[i + 1]))
+        now = [rank.get(pair, -1) for pair in zip(ids, ids[1:])]
+        now.append(-1)
+        queue = [r << 32 | i for i, r in enumerate(now) if r >= 0]
         heapq.heapify(queue)
         while queue:
-            _, i, left, right = heapq.heappop(queue)
-            j = after[i]
-            if s[i] != left or j >= n or s[j] != right:
+            entry = heapq.heappop(queue)
+            r, i = entry >> 32, entry & 0xFFFFFFFF
+            if now[i] != r:
                 continue
-            both = left + right
-            s[i], s[j] = both, None
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                r = rank.get((both, s[k]))
-                if r is not None:
-                    heapq.heappush(queue, (r, i, both, s[k]))
+            gone = after[i]
+            ids[i], ids[gone], now[gone] = made[r], -1, -1
+            j = after[i] = after[gone]
+            if j < n:
+                before[j] = i
+                r = now[i] = rank.get((ids[i], ids[j]), -1)
+                if r >= 0:
+                    heapq.heappush(queue, r << 32 | i)
+            else:
+                now[i] = -1
             h = before[i]
             if h >= 0:
-                r = rank.get((s[h], both))
-                if r is not None:
-                    heapq.heappush(queue, (r, h, s[h], both))
-        vocab = self.vocab
-        return tuple(vocab[x] for x in s if x is not None and x in vocab)
+                r = now[h] = rank.get((ids[h], ids[i]), -1)
+                if r >= 0:
+                    heapq.heappush(queue, r << 32 | h)
+        return tuple([i for i in ids if i >= 0])
 
     def _library_word(self, word: str) -> tuple[int, ...]:
         return tuple(t.id for t in self.library.model.tokenize(word))
@@ -106,13 +109,14 @@ class Bpe:
     def words(self, chunk: str) -> list[str]:
         """Pre-tokens of a chunk without special tokens, in byte symbols."""
         if self.plain is not None and (chunk.isascii() or max(chunk) <= "\xff"):
-            found = self.plain.findall(chunk.lower())
-            symbols = self.symbols
-            return found and [w if w.isascii() and w.isalnum() else "".join(symbols[b] for b in w.encode()) for w in found]
+            return [self.in_symbols(w) for w in self.plain.findall(chunk.lower())]
         if self.library.normalizer is not None:
             chunk = self.library.normalizer.normalize_str(chunk)
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
 
+    def in_symbols(self, word: str) -> str:
+        return word if word.isascii() and word.isalnum() else "".join([self.symbols[b] for b in word.encode()])
+
     def ids(self, chunk: str) -> list[int]:
         """Ids of a chunk; special tokens inside it become their own ids."""
         out: list[int] = []
@@ -151,8 +155,18 @@ def load(path: str, merge: str = "queue") -> Bpe:
     return Bpe(path, merge)
 
 
-def _text_of(chunk) -> str:
-    return chunk.decode() if isinstance(chunk, bytes) else chunk
+def token_values(bpe: Bpe, value: Callable[[list[int]], object]) -> Callable[[list[str]], Iterator[list]]:
+    """A function from texts to lists of ``value(ids)`` of their tokens, in order, remembered for repeated tokens."""
+    known = Bounded(lambda c: value(bpe.ids(c.decode() if isinstance(c, bytes) else c)))
+
+    def one(text: str) -> list:
+        return list(map(known.__getitem__, bpe.chunks(text)))
+
+    if bpe.plain is None:
+        return lambda texts: map(one, texts)
+    tokens = TokenValues(word_tokens, lambda w: value(bpe.encode_word(bpe.in_symbols(w))), one, lower=True)
+    special = list(bpe.special)
+    return lambda texts: tokens.of(texts, lambda t: "<" in t and any(s in t for s in special))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,15 +177,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        known = Bounded(lambda c: bpe.ids(_text_of(c)))
+        values = token_values(bpe, list)
         for b in batches:
-            rows = []
-            for i, text in rows_of(b, "doc_id", "text"):
-                ids: list[int] = []
-                for c in bpe.chunks(text):
-                    ids.extend(known[c])
-                rows.append((i, ids, bpe.decode(ids)))
-            yield batch_of(rows, [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+            found = [[i for v in vs for i in v] for vs in values(b.column("text").to_pylist())]
+            decoded = [bpe.decode(ids) for ids in found]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return map_arrow(id_and_text(docs, id_col, text_col), run, "doc_id long, ids array<int>, decoded string")
 
@@ -185,17 +195,15 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
 
-        def chunk(c) -> tuple[bytes, bytes]:
-            ids = bpe.ids(_text_of(c))
-            return " ".join(map(str, ids)).encode(), " ".join(bpe.name[i] for i in ids).encode()
+        def strings(ids) -> tuple[bytes, bytes]:
+            return " ".join(map(str, ids)).encode(), " ".join([bpe.name[i] for i in ids]).encode()
 
-        known = Bounded(chunk)
+        values = token_values(bpe, strings)
         for b in batches:
             rows = []
-            for i, text in rows_of(b, "doc_id", "text"):
-                pairs = [p for p in map(known.__getitem__, bpe.chunks(text)) if p[0]]
-                ids = b" ".join([p[0] for p in pairs])
-                decoded = b" ".join([p[1] for p in pairs])
+            for i, pairs in zip(b.column("doc_id").to_pylist(), values(b.column("text").to_pylist()), strict=True):
+                ids = b" ".join([p[0] for p in pairs if p[0]])
+                decoded = b" ".join([p[1] for p in pairs if p[0]])
                 if bpe.byte_decoder:
                     decoded = bpe.decode([int(x) for x in ids.split()]).encode()
                 n = ids.count(b" ") + 1 if ids else 0

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelweave.llm.bpe import _text_of, load
-from panelweave.llm.common import Bounded, batch_of, id_and_text, map_arrow, rows_of
+from panelweave.llm.bpe import load, token_values
+from panelweave.llm.common import batch_of, id_and_text, map_arrow
 from panelweave.session import materialise
 
 CAPACITY = 4096
@@ -37,13 +37,13 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, "library")
-        known = Bounded(lambda c: np.asarray(bpe.ids(_text_of(c)), "<u4").tobytes())
+        values = token_values(bpe, lambda ids: np.asarray(ids, "<u4").tobytes())
         end, step = np.asarray([end_id], "<u4").tobytes(), 4 * capacity
         fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]
         for b in batches:
             rows = []
-            for i, text in rows_of(b, "doc_id", "text"):
-                ids = b"".join(map(known.__getitem__, bpe.chunks(text))) + end
+            for i, words in zip(b.column("doc_id").to_pylist(), values(b.column("text").to_pylist()), strict=True):
+                ids = b"".join(words) + end
                 for at in range(0, len(ids), step):
                     piece = ids[at : at + step]
                     rows.append((i, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, *([piece] if with_ids else [])))

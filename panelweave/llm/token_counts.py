@@ -20,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from panelweave.llm.bpe import SPACE, Bpe
-from panelweave.llm.common import Bounded, batch_of, id_and_text, map_arrow, rows_of
+from panelweave.llm.common import Bounded, batch_of, id_and_text, map_arrow
+from panelweave.llm.segments import TokenValues, spaced_tokens
 
 #: Contractions that a pre-token pattern takes whole; a cut inside one leaves the quote and the letter apart.
 _CUT = ("'r", "'v", "'l")
 #: Letters, digits and white space among the first 256 code points, and the pre-token pattern over them.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
 _PLAIN = re.compile(rf" ?[{_L}]+| ?[{_N}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_RUN = re.compile(f"[{SPACE}]*")
+#: A run of white space before a word. Cut at its end it is one pre-token, though its last character goes to the word.
+_CUT_RUN = re.compile(f"[{SPACE}]{{2,}}(?=[^{SPACE}])")
 
 
 class PrefixCounter:
@@ -41,21 +43,23 @@ class PrefixCounter:
         self.longest = max(map(len, self.vocab))
         self.follows = Bounded(self._follows, 1_000_000)
         self.part = Bounded(self._part)
-        self.changes = Bounded(self._changes)
+        self.chunk = Bounded(self._chunk)
+        self.tokens = TokenValues(spaced_tokens, self._token, lambda t: list(map(self.chunk.__getitem__, self.bpe.chunks(t))), lower=False)
 
-    def _follows(self, pair: tuple[str, str]) -> bool:
-        """Whether two tokens side by side are what the merges make of their string."""
-        found = self.bpe.library.model.tokenize(pair[0] + pair[1])
-        return len(found) == 1 + bool(pair[0]) and found[-1].value == pair[1]
+    def _follows(self, pair: int) -> bool:
+        """Whether two tokens side by side are what the merges make of their string. Packed: id of the first plus one (none: 0), id of the second."""
+        before, token = pair >> 32, self.bpe.name[pair & 0xFFFFFFFF]
+        found = self.bpe.library.model.tokenize((self.bpe.name[before - 1] if before else "") + token)
+        return len(found) == 1 + bool(before) and found[-1].value == token
 
     def _word(self, word: str) -> list[int]:
         """Counts at each byte prefix of a pre-token in byte symbols."""
-        last, count, vocab, follows, longest = [""], [0], self.vocab, self.follows, self.longest
+        last, count, get, follows, longest = [0], [0], self.vocab.get, self.follows, self.longest
         for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                token = word[start:end]
-                if token in vocab and follows[last[start], token]:
-                    last.append(token)
+            for start in range(end - longest if end > longest else 0, end):
+                token = get(word[start:end])
+                if token is not None and follows[last[start] << 32 | token]:
+                    last.append(token + 1)
                     count.append(count[start] + 1)
                     break
             else:
@@ -91,14 +95,15 @@ class PrefixCounter:
             base = out[-1] if out else 0
             counts = self.part[part]
             out += [base + c for c in counts] if base else counts
-        # Cut at its end, a run of white space is one pre-token, though its last one goes to the next word.
-        run = _RUN.match(text).end()
-        if 2 <= run < len(text):
-            out[run - 1] = self.part[text[:run]][-1]
         return out
 
-    def _changes(self, chunk: str) -> bytes:
-        """Change of the count at each code point of a chunk, as native 16-bit numbers."""
+    def _token(self, text: str) -> bytes:
+        """Change of the count at each code point of a pre-token, as native 16-bit numbers."""
+        counts = self._part(text)
+        return array("h", map(sub, counts, [0, *counts])).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """The same for white space and what follows it up to the next white space, special tokens included."""
         if "<" not in chunk or not self.bpe.split_special:
             counts = self._plain(chunk)
         else:
@@ -115,10 +120,15 @@ class PrefixCounter:
                 counts += [base + c for c in self._plain(chunk[at:])]
         return array("h", map(sub, counts, [0, *counts])).tobytes()
 
-    def counts(self, text: str) -> np.ndarray:
-        """Token counts of ``text[:1]``, ``text[:2]``, ... up to the whole text."""
-        joined = b"".join(map(self.changes.__getitem__, self.bpe.chunks(text)))
-        return np.frombuffer(joined, np.int16).cumsum(dtype=np.int64)
+    def counts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """For each text, the token counts of ``text[:1]``, ``text[:2]``, ... up to the whole text."""
+        special = list(self.bpe.special)
+        alone = lambda t: "<" in t and any(s in t for s in special)
+        for text, changes in zip(texts, self.tokens.of(texts, alone), strict=True):
+            counts = np.frombuffer(b"".join(changes), np.int16).cumsum(dtype=np.int64)
+            for m in _CUT_RUN.finditer(text):
+                counts[m.end() - 1] = (counts[m.start() - 1] if m.start() else 0) + self.part[m[0]][-1]
+            yield counts
 
 
 @lru_cache(maxsize=2)
@@ -135,8 +145,8 @@ def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(path)
         for b in batches:
-            rows = [(i, counter.counts(t).astype(np.int32)) for i, t in rows_of(b, "doc_id", "text")]
-            yield batch_of(rows, [("doc_id", pa.int64()), ("prefix_tokens", pa.list_(pa.int32()))])
+            counts = [c.astype(np.int32) for c in counter.counts(b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "prefix_tokens"])
 
     return map_arrow(id_and_text(docs, id_col, text_col), run, "doc_id long, prefix_tokens array<int>")
 
@@ -151,8 +161,8 @@ def budget(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_
         counter = load(path)
         for b in batches:
             rows = []
-            for i, text in rows_of(b, "doc_id", "text"):
-                counts = counter.counts(text)
+            texts = b.column("text").to_pylist()
+            for i, text, counts in zip(b.column("doc_id").to_pylist(), texts, counter.counts(texts), strict=True):
                 n = int(counts[-1]) if len(counts) else 0
                 fit = len(text) if n <= limit else len(counts) - int(np.argmax(counts[::-1] <= limit)) if (counts <= limit).any() else 0
                 rows.append((i, len(text.encode()), n, n > limit, fit))
