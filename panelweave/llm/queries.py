@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import bpe, chat_format, packing, secret_scan, token_counts
+from panelweave.llm import bpe, chat_format, packing, secret_scan, simhash, token_counts
 from panelweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ FROM turns GROUP BY conv_id
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     found = token_counts.budget(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")
+
+
+@query
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
