@@ -68,9 +68,10 @@ def word_tokens(codes: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndar
     return _spans(new, (cls != SPACE) & (cls != BREAK))
 
 
-def letter_runs(codes: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of letter runs alone."""
-    return _spans(np.concatenate([[True], cls[1:] != cls[:-1]]), cls == LETTER)
+def space_words(codes: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs between ASCII white space."""
+    gap = (codes == 0x20) | (codes >= 9) & (codes <= 13)
+    return _spans(np.concatenate([[True], gap[1:] != gap[:-1]]), ~gap)
 
 
 def spaced_tokens(codes: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
