@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from panelweave.session import ship_package
 
@@ -15,12 +16,34 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns an operator reads, as ``doc_id`` and ``text``; a null text counts as empty."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """Only the two columns an operator reads, as ``doc_id`` and ``text``; a null text counts as empty.
 
+    Columns named in ``carry`` come along untouched in a struct ``row``, out of the way of other names.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text, *([F.struct(*carry).alias("row")] if carry else []))
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+
+def with_row(schema: str, read: DataFrame, *extra: str) -> StructType:
+    """``schema`` with the struct ``row`` of ``read``, if it has one, and ``extra`` columns before it."""
+    out = _parse_datatype_string(schema)
+    if "row" in read.columns:
+        for name in extra:
+            out = out.add(name, read.schema[name].dataType)
+        out = out.add("row", read.schema["row"].dataType)
+    return out
+
+
+def beside(batch: pa.RecordBatch, source: pa.RecordBatch, *extra: str) -> pa.RecordBatch:
+    """``batch`` with the columns ``extra`` and ``row`` of the batch it was made from, if that has ``row``."""
+    if "row" not in source.schema.names:
+        return batch
+    names = [*extra, "row"]
+    return pa.RecordBatch.from_arrays([*batch.columns, *(source.column(n) for n in names)], names=[*batch.schema.names, *names])
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with this package shipped to the Python workers."""
     ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)

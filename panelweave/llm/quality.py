@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import batch_of, id_and_text, map_arrow, rows_of
+from panelweave.llm.common import batch_of, beside, id_and_text, map_arrow, rows_of, with_row
 
 #: Fixed values of the base rules.
 SYMBOLS, WHITE = "#*$%&|<>", " \t\n\v\f\r"
@@ -158,12 +158,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_la
     return Model(weights, bias, float(slope), float(shift))
 
 
-def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """One row per document: ``doc_id``, the base counts, ``base_failed``, ``quality`` (calibrated probability), ``kept``.
 
     ``kept`` is false where the base rules fail or ``quality`` is below ``threshold``. Without a model ``quality`` is null and
     the base rules decide. A null text is empty, has no words, and fails the base rules. Repeated rows give
-    repeated rows; other columns are not read.
+    repeated rows; other columns are not read, but those named in ``carry`` come back in a struct ``row`` beside ``text``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -180,7 +180,8 @@ def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, id
                 failed = base[0] < MIN_WORDS or 100 * base[4] > MAX_REPEAT_PERCENT * base[0]
                 p = None if model is None else model.probability(features(text, hashes))
                 rows.append((i, *base, failed, p, not failed and (p is None or p >= threshold)))
-            yield batch_of(rows, fields)
+            yield beside(batch_of(rows, fields), b, "text")
 
     schema = "doc_id long, " + "".join(f"{c} long, " for c in counts) + "base_failed boolean, quality double, kept boolean"
-    return map_arrow(id_and_text(docs, id_col, text_col), run, schema)
+    read = id_and_text(docs, id_col, text_col, carry)
+    return map_arrow(read, run, with_row(schema, read, "text"))

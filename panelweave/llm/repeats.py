@@ -13,7 +13,7 @@ sampled, is it measured on the text. The statistics stream out with the columns,
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import batch_of, id_and_text, map_arrow, rows_of
+from panelweave.llm.common import batch_of, beside, id_and_text, map_arrow, rows_of, with_row
 from panelweave.session import materialise
 
 LENGTH = 200
@@ -133,9 +133,9 @@ def _surroundings(sums: np.ndarray, inverse: np.ndarray, at: np.ndarray, first:
     return _mix(content + _mix((at - first).astype(np.uint64) * np.uint64(_BASE) + (last - at).astype(np.uint64)))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
     """Rows with the hash of their text, so that rows of one id with different texts stay apart."""
-    return id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    return id_and_text(docs, id_col, text_col, carry).withColumn("text_hash", F.xxhash64("text"))
 
 
 def anchors(keyed: DataFrame, length: int, k: int) -> DataFrame:
@@ -176,9 +176,9 @@ def _packed(keyed: DataFrame) -> DataFrame:
         press = zstandard.ZstdCompressor(level=1)
         for b in batches:
             found = pa.array([press.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), found], names=["doc_id", "text_hash", "packed"])
+            yield beside(pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), found], names=["doc_id", "text_hash", "packed"]), b)
 
-    return map_arrow(keyed, run, "doc_id long, text_hash long, packed binary")
+    return map_arrow(keyed, run, with_row("doc_id long, text_hash long, packed binary", keyed))
 
 
 def _unpack(packed: bytes) -> bytes:
@@ -380,19 +380,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, group
     return spans.unionByName(whole)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, group: int = GROUP, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, group: int = GROUP, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text",
+                   carry: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``; with ``with_text`` also ``kept``.
 
     Every byte covered by a string of ``length`` bytes that also starts anywhere else, in any row, is removed; strings are
     judged on the input, and overlapping ones count. ``n_spans`` counts maximal removed runs. ``kept`` is the text left,
     without the pieces of characters that a cut leaves. Null texts are empty and lose nothing, like all texts shorter
-    than ``length``. Repeated rows are copies of each other. Other columns are not read.
+    than ``length``. Repeated rows are copies of each other. Other columns are not read, but those named in ``carry``
+    come back in a struct ``row``.
     """
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = _keyed(docs, id_col, text_col, carry)
     # A document has at most a few spans for each anchor it holds.
     spans = repeated_spans(docs, length, k, group, id_col, text_col).groupBy(*_TEXT_KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     texts, spans = _packed(keyed), _renamed(spans)
-    joined = texts.join(spans, _same_text(texts, spans), "left").select("doc_id", "packed", "spans")
+    joined = texts.join(spans, _same_text(texts, spans), "left").drop(*spans.columns[:2], "text_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
@@ -416,6 +418,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, group
                 rows.append((doc, len(text), removed, n, hashlib.sha256(left).hexdigest()))
                 kept.append(left.decode("utf-8", "ignore"))
             out = batch_of(rows, fields)
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(kept, pa.string())], names=[*out.schema.names, "kept"]) if with_text else out
+            if with_text:
+                out = pa.RecordBatch.from_arrays([*out.columns, pa.array(kept, pa.string())], names=[*out.schema.names, "kept"])
+            yield beside(out, b)
 
-    return map_arrow(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else ""))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
+    return map_arrow(joined, run, with_row(schema, joined))

@@ -10,14 +10,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from panelweave.llm.common import batch_of, id_and_text, map_arrow, rows_of
+from panelweave.llm.common import batch_of, beside, id_and_text, map_arrow, rows_of, with_row
 
 KINDS = ("assign", "access", "hex", "random")
 #: The base patterns and the least lengths of what they must hold.
@@ -90,13 +90,14 @@ def _joined(spans: Iterable[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, path: str, pattern: str, ratio: float = MAX_RATIO, known: Iterable[str] = (), id_col: str = "doc_id", text_col: str = "text",
-         mask: str | None = None) -> DataFrame:
+         mask: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """One row per document: ``doc_id``, ``n_assign``, ``n_access``, ``n_hex``, ``n_random``, ``base_sha256``, ``spans``.
 
     ``spans`` lists kind:start:end in code points by start, then kind. ``path`` and ``pattern`` give a tiktoken
     vocabulary, ``known`` strings never to report as random. With ``mask`` there is a column ``masked``: the
     text with each span's characters (overlapping spans as one) replaced by that string. A null text is
-    empty and has no spans. Repeated rows give repeated rows; other columns are not read.
+    empty and has no spans. Repeated rows give repeated rows; other columns are not read, but those named in
+    ``carry`` come back in a struct ``row``.
     """
     listed = frozenset(x.lower() for x in known)
 
@@ -111,10 +112,11 @@ def scan(docs: DataFrame, path: str, pattern: str, ratio: float = MAX_RATIO, kno
                 counts = [sum(k == kind for _, k, _ in spans) for kind in range(4)]
                 row = (i, *counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans))
                 rows.append(row if mask is None else (*row, masked(text, spans, mask)))
-            yield batch_of(rows, fields + ([] if mask is None else [("masked", pa.string())]))
+            yield beside(batch_of(rows, fields + ([] if mask is None else [("masked", pa.string())])), b)
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
-    return map_arrow(id_and_text(docs, id_col, text_col), run, schema + ("" if mask is None else ", masked string"))
+    read = id_and_text(docs, id_col, text_col, carry)
+    return map_arrow(read, run, with_row(schema + ("" if mask is None else ", masked string"), read))
 
 
 def masked(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:

@@ -19,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from panelweave.llm.common import batch_of, id_and_text, map_arrow
+from panelweave.llm.common import batch_of, beside, id_and_text, map_arrow, with_row
 from panelweave.llm.components import connected, local_components
 from panelweave.session import materialise
 
@@ -173,6 +174,13 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, group: int = GROUP) ->
     return whole
 
 
+def _classes(rows: DataFrame, max_bits: int, group: int) -> DataFrame:
+    """``fp`` and ``class``, the smallest fingerprint that it is linked with, for each fingerprint of ``rows``."""
+    distinct = rows.select("fp").distinct()
+    joined = connected(links(distinct, max_bits, group))
+    return distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", F.coalesce("component", "fp").alias("class"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``.
 
@@ -182,9 +190,33 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     but name no component. Repeated rows give repeated rows; other columns are not read.
     """
     rows = materialise(fingerprints(docs, shingle, id_col, text_col))
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    joined = connected(links(classes.select("fp"), max_bits, group))
-    named = classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("class"))
+    firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    named = _classes(rows, max_bits, group).join(firsts, "fp")
     least = named.groupBy("class").agg(F.min("first_id").alias("component_id"))
     by_fp = named.join(least, "class").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the smallest id (null last), among equal ids the smallest text hash.
+
+    All columns stay. Of rows equal in id and text, one stays.
+    """
+    # Plain keys without nulls, so that the join and the choice among repeated rows use one shuffle.
+    last = F.lit(2**63 - 1)
+    keys = [F.coalesce(F.col(id_col).cast("long"), last).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_text")]
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), *keys)
+    read = docs.select(F.struct(*keys).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield beside(pa.RecordBatch.from_arrays([pa.array(found)], names=["fp"]), b)
+
+    rows = materialise(map_arrow(read.select("text", "row"), run, with_row("fp long", read)).select("fp", "row.*"))
+    firsts = rows.groupBy("fp").agg(F.min(F.struct("_id", "_text")).alias("first"))
+    named = _classes(rows, max_bits, group).join(firsts, "fp")
+    chosen = named.groupBy("class").agg(F.min("first").alias("first")).select("first.*")
+    place = Window.partitionBy("_id", "_text").orderBy(F.lit(1))
+    one = keyed.join(chosen, ["_id", "_text"]).withColumn("_n", F.row_number().over(place)).filter("_n = 1")
+    return one.select("_row.*")
