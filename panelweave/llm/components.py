@@ -24,7 +24,7 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """``node``, ``component`` (the smallest node reachable) for every node with a link to another one.
+    """``node``, ``component`` (the smallest node reachable) for every node that reaches a smaller one.
 
     ``links`` has two columns of node ids; loops, nulls, repeated and reversed links do no harm. Each round
     links all larger neighbours of a node, then all smaller ones, to the smallest (large star, small
