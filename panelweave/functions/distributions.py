@@ -82,6 +82,9 @@ def gamma_upper(a: float, x: float) -> float:
 def t_two_sided(t: float, df: float) -> float:
     if df <= 0 or math.isnan(t):
         return float("nan")
+    if df > 1e9:
+        # The normal limit; the fraction loses digits there.
+        return normal_two_sided(t)
     return beta_regularised(df / (df + t * t), df / 2.0, 0.5)
 
 

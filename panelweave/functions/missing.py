@@ -50,6 +50,12 @@ def log(c: str | Column) -> Column:
     return F.when((x > 0) & ~F.isnan(x), F.ln(x))
 
 
+def log_inf(c: str | Column) -> Column:
+    """Natural log with -Infinity for zero and NaN for negative values."""
+    x = col(c).cast("double")
+    return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.ln(x))
+
+
 def sum0(c: str | Column) -> Column:
     """Sum over a group that is 0, not NULL, when the group holds no value."""
     return F.coalesce(F.sum(col(c)), F.lit(0))

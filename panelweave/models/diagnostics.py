@@ -16,17 +16,17 @@ from .panel_models import RandomFit, random_effects
 
 # Response surface of MacKinnon (1994) for the unit-root t statistic with intercept.
 # Normal quantile of the p-value as a polynomial in the statistic; one set below and one above the
-# switch point, p = 0 below the minimum and 1 above the maximum.
+# switch point. The surface ends at a minimum and a maximum.
 ADF_SWITCH, ADF_MIN, ADF_MAX = -1.61, -18.83, 2.74
 ADF_LOWER = (2.1659, 1.4412, 0.038269)
 ADF_UPPER = (1.7339, 0.93202, -0.12745, -0.010368)
 
 
 def adf_p_value(stat: float) -> float:
+    """p-value by the surface; 1 above its maximum, below its minimum the value it ends with (about 2e-30)."""
     if stat > ADF_MAX:
         return 1.0
-    if stat < ADF_MIN:
-        return 0.0
+    stat = max(stat, ADF_MIN)
     surface = ADF_LOWER if stat <= ADF_SWITCH else ADF_UPPER
     return dist.normal_cdf(sum(c * stat**i for i, c in enumerate(surface)))
 
@@ -90,7 +90,7 @@ def adf_by_entity(panel: Panel, c: str, pmax: int = 4) -> DataFrame:
 
     Moments for every lag order come from one grouped aggregate after one window; the small
     regressions are then solved in batches over entity rows. Entities too short for any order give
-    no row.
+    no row; ``unit_root_fisher`` counts them.
     """
     ship_package(panel.df.sparkSession)
     base = panel.on(missing.finite_cases(panel.df.select(*panel.entity, panel.time, F.col(c).cast("double").alias("v")), ["v"]))
@@ -166,11 +166,20 @@ def adf_by_entity(panel: Panel, c: str, pmax: int = 4) -> DataFrame:
 
 def unit_root_fisher(panel: Panel, c: str, pmax: int = 4) -> dict:
     """Maddala-Wu test: -2 sum ln p over entities is chi-square with two degrees each under a unit
-    root in every entity."""
+    root in every entity. Also says how many statistics lie beyond the end of the surface, and how
+    many entities have no identified regression and so take no part."""
     row = (
         adf_by_entity(panel, c, pmax)
-        .agg(F.sum(-2.0 * F.ln(F.greatest("p_value", F.lit(1e-300)))).alias("s"), F.count(F.lit(1)).alias("n"))
+        .agg(
+            F.sum(-2.0 * F.ln("p_value")).alias("s"),
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("adf") < ADF_MIN).alias("beyond"),
+        )
         .first()
     )
     stat, n = float(row["s"] or 0.0), int(row["n"])
-    return {"statistic": stat, "df": 2 * n, "p_value": dist.chi2_upper(stat, 2 * n), "entities": n}
+    every = panel.df.select(*panel.entity).distinct().count()
+    return {
+        "statistic": stat, "df": 2 * n, "p_value": dist.chi2_upper(stat, 2 * n), "entities": n,
+        "beyond_surface": int(row["beyond"]), "not_identified": every - n,
+    }

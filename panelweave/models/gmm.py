@@ -278,6 +278,7 @@ def gmm(
     first_step: weight of the system first step, "full" or "block" (no cross-equation part).
     """
     check_effect(effect)
+    panel.check()
     if transformation not in ("d", "ld"):
         raise ValueError(f"transformation must be 'd' or 'ld', not {transformation!r}")
     if first_step not in ("full", "block"):
@@ -330,7 +331,8 @@ def gmm(
     j, over = float(moment @ w2 @ moment), int(used.sum()) - k
     out.tests.append(("sargan", j, float(over), dist.chi2_upper(j, over)))
     out.tests += _ar_tests(s, ar_orders, beta, gain, vcov)
-    slopes = [i for i, n in enumerate(s.terms) if not n.startswith("period_")]
+    # The lag and the regressors come first; a regressor may bear any name.
+    slopes = list(range(1 + len(x)))
     periods = [i for i in range(k) if i not in slopes]
     for name, idx in (("wald_coefficients", slopes), ("wald_periods", periods)):
         if idx:

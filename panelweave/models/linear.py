@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import distributions as dist, missing
 from ..operators import aggregate
+from ..operators.joins import small_side
 from ..session import materialise, ship_package
 from .moments import Moments, group, moment_sql, moments, number, pairs, symmetric
 
@@ -232,7 +233,7 @@ def grouped_ols(
         solved = solved.select(
             *by, F.array(*b_names).alias("beta"), *[F.col(f"m_{i + 1}").alias(f"c_{i}") for i in range(k - 1)]
         )
-        rows = frame.join(solved, by)
+        rows = frame.join(small_side(solved), by)
         e = f"(`{y}` - beta[0]" + "".join(f" - beta[{i + 1}] * `{c}`" for i, c in enumerate(x)) + ")"
         meat = group(rows, by, _meat_sql(e, [f"(`{c}` - c_{i})" for i, c in enumerate(x)]))
         table = table.join(meat, by)

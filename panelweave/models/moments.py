@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import missing
 from ..session import ship_package
 
-MAX_DENSE = 4000
+#: Rows of a matrix product that one job accumulates; a wider one takes several jobs.
+BLOCK = 2000
 JVM_PRODUCTS = 120
 
 
@@ -97,8 +98,10 @@ def gram(df: DataFrame, *terms: tuple[Sequence[str], Sequence[str]]) -> np.ndarr
     added by a grouped sum; the result is bounded by its dimension, whatever the number of rows.
     """
     a, b = len(terms[0][0]), len(terms[0][1])
-    if max(a, b) > MAX_DENSE:
-        raise ValueError(f"moment matrix of {a} x {b} is too wide; collapse the instruments")
+    if a > BLOCK:
+        return np.vstack([gram(df, *[(l[i : i + BLOCK], r) for l, r in terms]) for i in range(0, a, BLOCK)])
+    if b > BLOCK:
+        return np.hstack([gram(df, *[(l, r[i : i + BLOCK]) for l, r in terms]) for i in range(0, b, BLOCK)])
     if a * b * len(terms) <= JVM_PRODUCTS:
         cells = []
         for i in range(a):

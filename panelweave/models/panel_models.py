@@ -17,10 +17,9 @@ from ..functions import missing
 from ..operators.panel import CALENDAR, Panel
 from ..session import materialise
 from .linear import INTERCEPT, Fit, inverse, least_squares
-from .moments import Moments, gram, group, moment_sql, moments, number, pairs, symmetric
+from .moments import Moments, group, moment_sql, moments, number, pairs, symmetric
 
 INDIVIDUAL, TWOWAYS = "individual", "twoways"
-MAX_PERIODS = 1000
 
 
 def check_effect(effect: str) -> str:
@@ -37,58 +36,28 @@ def entity_moments(panel: Panel, columns: Sequence[str]) -> DataFrame:
 
 @dataclass
 class PanelMoments:
-    """Sums over entities, kept apart by the number of rows an entity has."""
+    """Sums over entity rows: within products, and products of (1, means) under weights of the entity's length."""
 
     names: list[str]
-    lengths: np.ndarray  # rows per entity
-    count: np.ndarray  # entities of that length
-    within: np.ndarray  # [length, p, p] summed centred products
-    mean_sum: np.ndarray  # [length, p] summed means
-    mean_cross: np.ndarray  # [length, p, p] summed products of means
+    nobs: int
+    entities: int
+    within: np.ndarray  # [p, p] summed centred products
+    between: dict[str, np.ndarray]  # weight in SQL -> [p + 1, p + 1]
 
-    @property
-    def nobs(self) -> int:
-        return int((self.lengths * self.count).sum())
+    def within_moments(self) -> Moments:
+        return Moments(self.names, self.nobs, np.zeros(len(self.names)), self.within)
 
-    @property
-    def entities(self) -> int:
-        return int(self.count.sum())
 
-    def within_moments(self) -> Moments:
-        return Moments(self.names, self.nobs, np.zeros(len(self.names)), self.within.sum(axis=0))
-
-    def raw_between(self, weight) -> np.ndarray:
-        """Sum over entities of weight(T) * m m' for m = (1, means)."""
-        p = len(self.names)
-        out = np.zeros((p + 1, p + 1))
-        for t, c, s, x in zip(self.lengths, self.count, self.mean_sum, self.mean_cross):
-            block = np.zeros((p + 1, p + 1))
-            block[0, 0] = c
-            block[0, 1:] = block[1:, 0] = s
-            block[1:, 1:] = x
-            out += weight(t) * block
-        return out
-
-
-def pool(entities: DataFrame, names: Sequence[str]) -> PanelMoments:
-    """Add entity moments up by entity length (at most as many rows as there are periods)."""
+def pool(entities: DataFrame, names: Sequence[str], weights: Sequence[str] = ()) -> PanelMoments:
+    """Add entity moments up in one row. ``weights`` are SQL expressions of n, an entity's number of rows."""
     p = len(names)
-    aggs = ["count(1) AS c"]
-    aggs += [f"sum(s_{i}_{j}) AS s_{i}_{j}" for i, j in pairs(p)]
-    aggs += [f"sum(m_{i}) AS m_{i}" for i in range(p)]
-    aggs += [f"sum(m_{i} * m_{j}) AS q_{i}_{j}" for i, j in pairs(p)]
-    table = group(entities, ["n"], aggs).orderBy("n").limit(MAX_PERIODS + 1).collect()
-    if len(table) > MAX_PERIODS:
-        raise ValueError(f"more than {MAX_PERIODS} entity lengths: the key is no panel key")
-    rows = [r.asDict() for r in table]
-    return PanelMoments(
-        list(names),
-        np.array([r["n"] for r in rows]),
-        np.array([r["c"] for r in rows]),
-        np.array([symmetric(r, p) for r in rows]).reshape(-1, p, p),
-        np.array([[r[f"m_{i}"] for i in range(p)] for r in rows]).reshape(-1, p),
-        np.array([symmetric(r, p, "q_") for r in rows]).reshape(-1, p, p),
-    )
+    side = ["1D", *[f"m_{i}" for i in range(p)]]
+    aggs = ["count(1) AS c", "sum(n) AS n"] + [f"sum(s_{i}_{j}) AS s_{i}_{j}" for i, j in pairs(p)]
+    for k, w in enumerate(weights):
+        aggs += [f"sum(({w}) * {side[i]} * {side[j]}) AS b{k}_{i}_{j}" for i, j in pairs(p + 1)]
+    row = group(entities, (), aggs).first().asDict()
+    between = {w: symmetric(row, p + 1, f"b{k}_") for k, w in enumerate(weights)}
+    return PanelMoments(list(names), int(row["n"] or 0), int(row["c"]), symmetric(row, p), between)
 
 
 # First difference ----------------------------------------------------------------------------
@@ -111,33 +80,37 @@ def first_difference(panel: Panel, y: str, x: Sequence[str], lag_mode: str = CAL
 
 
 def periods_of(panel: Panel) -> list:
-    rows = panel.df.select(panel.time).distinct().limit(MAX_PERIODS + 1).collect()
-    if len(rows) > MAX_PERIODS:
-        raise ValueError(f"more than {MAX_PERIODS} periods")
-    return sorted(r[0] for r in rows)
+    """The periods of a panel in order; the unique key lets none occur twice in an entity."""
+    return sorted(r[0] for r in panel.df.select(panel.time).distinct().collect())
 
 
 def time_effects(panel: Panel, columns: Sequence[str]) -> tuple[list, np.ndarray]:
     """Period effects of each column in its two-way decomposition, for any unbalanced panel.
 
-    The normal equations of entity-demeaned period dummies need only, per entity, which periods it
-    has and its means: sums of presence / T and presence * mean. Returns periods and a
-    [period, column] array, the first period being zero.
+    The normal equations of entity-demeaned period dummies need only, per pair of periods, the sum
+    of 1 / T over entities that have both, and per period the sum of entity means. They are counted
+    in long form, so any number of periods will do; the unique key bounds an entity's list of periods.
+    Returns periods and a [period, column] array, the first period being zero.
     """
     names, t = list(columns), panel.time
     sums = [f"sum(`{c}`) AS t_{j}" for j, c in enumerate(names)]
-    per_time = group(panel.df, [t], ["count(1) AS n", *sums]).limit(MAX_PERIODS + 1).collect()
-    if len(per_time) > MAX_PERIODS:
-        raise ValueError(f"more than {MAX_PERIODS} periods")
-    per_time.sort(key=lambda r: r[t])
+    per_time = sorted(group(panel.df, [t], ["count(1) AS n", *sums]).collect(), key=lambda r: r[t])
     times = [r[t] for r in per_time]
-    here = [f"max(CASE WHEN `{t}` = {p!r} THEN 1D ELSE 0D END) AS p_{i}" for i, p in enumerate(times)]
     means = [f"avg(`{c}`) AS m_{j}" for j, c in enumerate(names)]
-    per_entity = group(panel.df, panel.entity, ["count(1) AS n", *here, *means])
-    k, q = len(times), len(names)
-    g = gram(per_entity, ([f"p_{i}" for i in range(k)], [*[f"p_{i} / n" for i in range(k)], *[f"m_{j}" for j in range(q)]]))
-    lhs = np.diag([float(r["n"]) for r in per_time]) - g[:, :k]
-    rhs = np.array([[r[f"t_{j}"] for j in range(q)] for r in per_time]) - g[:, k:]
+    per_entity = group(panel.df, panel.entity, ["count(1) AS n", f"collect_list(`{t}`) AS seen", *means])
+    first = per_entity.selectExpr("n", "seen", *[f"m_{j}" for j in range(len(names))], "explode(seen) AS a")
+    k, q, place = len(times), len(names), {p: i for i, p in enumerate(times)}
+    lhs = np.diag([float(r["n"]) for r in per_time])
+    rhs = np.array([[r[f"t_{j}"] for j in range(q)] for r in per_time], dtype=float).reshape(k, q)
+    for r in group(first, ["a"], [f"sum(m_{j}) AS m_{j}" for j in range(q)]).collect():
+        rhs[place[r["a"]]] -= [r[f"m_{j}"] for j in range(q)]
+    # A symmetric matrix: one of each two mirrored pairs is enough.
+    both = first.selectExpr("n", "a", "explode(filter(seen, s -> s <= a)) AS b")
+    for r in group(both, ["a", "b"], ["sum(1D / n) AS v"]).collect():
+        i, j = place[r["a"]], place[r["b"]]
+        lhs[i, j] -= r["v"]
+        if i != j:
+            lhs[j, i] -= r["v"]
     effects = np.zeros((k, q))
     # Least squares with the first effect at zero; periods cut off from the rest stay at zero.
     effects[1:] = np.linalg.lstsq(lhs[1:, 1:], rhs[1:], rcond=1e-12)[0]
@@ -153,7 +126,8 @@ def remove_time_effects(panel: Panel, columns: Sequence[str]) -> tuple[Panel, in
     """Panel whose columns are net of period effects; entity-demeaning it completes the two-way
     transform. Returns it with the number of free period effects."""
     kept = materialise(missing.finite_cases(panel.df, columns).select(*panel.entity, panel.time, *columns))
-    base = panel.on(kept)
+    # Two rows of one entity and period would count as one presence but two rows.
+    base = panel.on(kept).check()
     times, effects = time_effects(base, columns)
     net = [_net_of_time(panel, c, times, effects[:, j]) for j, c in enumerate(columns)]
     keys = [f"`{c}`" for c in (*panel.entity, panel.time)]
@@ -250,10 +224,11 @@ class RandomFit:
 
 def random_effects(panel: Panel, y: str, x: Sequence[str]) -> RandomFit:
     """Feasible GLS with Swamy-Arora components, in the form of Baltagi and Chang (1994) for
-    unbalanced panels. One pass over the rows, one over the entity moments."""
+    unbalanced panels. One pass over the rows, two over the entity moments."""
     names = [y, *x]
     k = len(x)
-    pm = pool(entity_moments(panel, names), names)
+    entities = materialise(entity_moments(panel, names))
+    pm = pool(entities, names, ["n", "CAST(n AS DOUBLE) * n"])
     n, big_n = pm.entities, pm.nobs
     w = pm.within_moments()
     wxx, wxy = w.block(x, x), w.block(x, [y])[:, 0]
@@ -262,16 +237,16 @@ def random_effects(panel: Panel, y: str, x: Sequence[str]) -> RandomFit:
 
     # Positions in raw between matrices: 0 the constant, 1 y, 2.. regressors.
     xi = [0, *range(2, 2 + k)]
-    b = pm.raw_between(lambda t: t)
+    b, b2 = pm.between.values()
     bxx, bxy = b[np.ix_(xi, xi)], b[xi, 1]
     binv = inverse(bxx)
     rss_b = float(b[1, 1] - bxy @ (binv @ bxy))
-    b2 = pm.raw_between(lambda t: t * t)
     trace = float(np.trace(binv @ b2[np.ix_(xi, xi)]))
     sigma2_u = max((rss_b - (n - k - 1) * sigma2_e) / (big_n - trace), 0.0)
 
     # Quasi-demeaned products: within part plus T (1 - theta)^2 times the mean products.
-    g = pm.raw_between(lambda t: t * sigma2_e / (t * sigma2_u + sigma2_e))
+    weight = f"n * {number(sigma2_e)} / (n * {number(sigma2_u)} + {number(sigma2_e)})"
+    g = pool(entities, names, [weight]).between[weight]
     g[1:, 1:] += w.cross
     gxx, gxy = g[np.ix_(xi, xi)], g[xi, 1]
     ginv = inverse(gxx)

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import missing
+from ..session import materialise
 from .joins import small_side
 
 
@@ -98,10 +99,21 @@ def quantiles(
     with rank error n / accuracy brackets each wanted rank. Values below a bracket are only counted;
     the few inside are counted per distinct value and ranked exactly. Groups of fewer rows than
     ``accuracy`` need no bracket. What is ranked in one task is therefore at most 8 / accuracy of a
-    group, or ``accuracy`` values. A bracket that misses its rank stops the job rather than give a
-    wrong value.
+    group, or ``accuracy`` values. Should a bracket miss its rank, all are widened tenfold and the
+    quantiles taken again; a bracket over the whole group cannot miss.
     """
     gap = 4.0 / accuracy
+    while True:
+        found, missed = _bracketed(df, by, columns, probs, accuracy, gap)
+        if gap >= 1.0 or not missed.first()["missed"]:
+            return found
+        gap *= 10.0
+
+
+def _bracketed(
+    df: DataFrame, by: Sequence[str], columns: Sequence[str], probs: Sequence[float], accuracy: int, gap: float
+) -> tuple[DataFrame, DataFrame]:
+    """Quantiles by brackets of width ``gap`` on each side, and one row that says whether a bracket missed."""
     items = [(c, j) for c in columns for j in range(len(probs))]
     clean = df.select(
         *by,
@@ -147,19 +159,18 @@ def quantiles(
     picked = ranked.groupBy(*by, "i").agg(
         at(F.floor("h")).alias("a"), at(F.ceil("h")).alias("b"), F.max(F.col("h") - F.floor("h")).alias("w")
     )
-    miss = F.raise_error(F.lit("quantile bracket missed its rank; raise accuracy")).cast("double")
-    value = F.when(F.col("a").isNull() | F.col("b").isNull(), miss).otherwise(
-        F.col("a") + (F.col("b") - F.col("a")) * F.col("w")
-    )
+    picked = materialise(picked)  # a row per group, column and probability
+    missed = picked.agg(F.coalesce(F.bool_or(F.col("a").isNull() | F.col("b").isNull()), F.lit(False)).alias("missed"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("w")
     at_item = lambda i: F.max(F.when(F.col("i") == i, value))
     wide = picked.groupBy(*by).agg(
         *[F.array(*[at_item(i) for i, (d, _) in enumerate(items) if d == c]).alias(c) for c in columns]
     )
     if not by:
-        return wide
+        return wide, missed
     keyed = wide.withColumnsRenamed({k: f"__m_{k}" for k in by})
     groups = brackets.select(*[F.col(f"__{k}").alias(k) for k in by])
-    return groups.join(keyed, _same(by, "__m_"), "left").select(*by, *columns)
+    return groups.join(keyed, _same(by, "__m_"), "left").select(*by, *columns), missed
 
 
 def median(df: DataFrame, by: Sequence[str], columns: Sequence[str], accuracy: int = 100000) -> DataFrame:

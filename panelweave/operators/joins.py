@@ -2,7 +2,7 @@
 
 Catalyst and adaptive execution broadcast a side only when its measured size is under the session
 threshold, and split skewed partitions of a sort-merge join. The only hint is ``small_side``, which
-counts the rows first.
+counts rows and bytes first.
 """
 
 from __future__ import annotations
@@ -15,15 +15,16 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import materialise
 
 
-def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """A join side computed once and, if its counted rows are few, marked for broadcast.
+def small_side(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """A join side computed once and, if its counted rows are few and small, marked for broadcast.
 
     Worth its extra job before a large table would otherwise be shuffled to meet a few group rows:
     adaptive execution finds out only after that shuffle has been written.
     """
     held = materialise(df)
-    few = held.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(held) if few else held
+    size = F.length(F.to_json(F.struct("*")))
+    row = held.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).first()
+    return F.broadcast(held) if row["n"] <= max_rows and (row["bytes"] or 0) <= max_bytes else held
 
 
 def join_all(frames: Sequence[DataFrame], on: Sequence[str], how: str = "inner") -> DataFrame:

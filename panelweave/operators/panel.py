@@ -67,16 +67,18 @@ class Panel:
     def diff(self, c: str | Column, mode: str = ROW) -> Column:
         return missing.col(c) - self.lag(c, 1, mode)
 
-    def log_diff(self, c: str | Column, mode: str = ROW) -> Column:
-        return missing.log(c) - missing.log(self.lag(c, 1, mode))
+    def log_diff(self, c: str | Column, mode: str = ROW, infinite: bool = False) -> Column:
+        log = missing.log_inf if infinite else missing.log
+        return log(c) - log(self.lag(c, 1, mode))
 
     def growth(self, c: str | Column, mode: str = ROW) -> Column:
         prev = self.lag(c, 1, mode)
         return missing.ratio(missing.col(c) - prev, prev)
 
-    def ratio_diff(self, num: str | Column, den: str | Column, mode: str = ROW) -> Column:
+    def ratio_diff(self, num: str | Column, den: str | Column, mode: str = ROW, infinite: bool = False) -> Column:
         """Change of num / den."""
-        return missing.ratio(num, den) - missing.ratio(self.lag(num, 1, mode), self.lag(den, 1, mode))
+        ratio = missing.ratio_inf if infinite else missing.ratio
+        return ratio(num, den) - ratio(self.lag(num, 1, mode), self.lag(den, 1, mode))
 
     # frames ----------------------------------------------------------------------------------
 
@@ -96,21 +98,24 @@ class Panel:
         levels: Mapping[str, str | Column] = {},
         logs: Mapping[str, str | Column] = {},
         growths: Mapping[str, str | Column] = {},
+        infinite: bool = False,
     ) -> DataFrame:
         """Change between two chosen periods, one row per entity observed in ``end``.
 
         Conditional aggregates do it in one exchange, without sorting or lags. An entity without the
-        start period has NULL changes.
+        start period has NULL changes. With ``infinite`` a growth from zero and the log of zero are
+        infinite (0/0 and the logs of two zeros NaN), else NULL.
         """
+        log, ratio = (missing.log_inf, missing.ratio_inf) if infinite else (missing.log, missing.ratio)
         t = F.col(self.time)
         at = lambda c, p: F.max(F.when(t == p, missing.col(c)))
         aggs = []
         for n, c in levels.items():
             aggs.append((at(c, end) - at(c, start)).alias(n))
         for n, c in logs.items():
-            aggs.append((missing.log(at(c, end)) - missing.log(at(c, start))).alias(n))
+            aggs.append((log(at(c, end)) - log(at(c, start))).alias(n))
         for n, c in growths.items():
-            aggs.append(missing.ratio(at(c, end) - at(c, start), at(c, start)).alias(n))
+            aggs.append(ratio(at(c, end) - at(c, start), at(c, start)).alias(n))
         present = F.max(F.when(t == end, F.lit(1))).alias("__end")
         return (
             self.df.filter(t.isin(start, end))

@@ -15,7 +15,7 @@ from .regional_panel import SECTOR, YEAR, ZONE
 def change_table(df: DataFrame, start: int, end: int, sector: str | None = None, log_share: bool = False) -> DataFrame:
     """Changes between two years by (zone, sector), rows with infinite values removed.
 
-    Employment shares are taken over all sectors before one sector is kept.
+    Growth from zero and logs of zero are infinite here, so such rows go. Employment shares are taken over all sectors before one sector is kept.
     """
     pair = df.filter(F.col(YEAR).isin(start, end)).withColumn("PSI", metrics.labor_share())
     pair = aggregate.share_of_total(pair.drop("EMPL_SHARE"), [ZONE, YEAR], {"EMPL_SHARE": "EMPL"}, bounded=True)
@@ -28,7 +28,7 @@ def change_table(df: DataFrame, start: int, end: int, sector: str | None = None,
     (growths if log_share else levels)["D_EMPL_SHARE"] = "EMPL_SHARE"
     if "repub_share" in df.columns:
         levels["D_repub_share"] = "repub_share"
-    out = Panel(pair, [ZONE, SECTOR], YEAR).long_difference(start, end, levels, logs, growths)
+    out = Panel(pair, [ZONE, SECTOR], YEAR).long_difference(start, end, levels, logs, growths, infinite=True)
     return missing.drop_infinite(out)
 
 
@@ -73,8 +73,8 @@ def difference_export(df: DataFrame, time_index: Mapping[int, int], first: int,
         "D_EMPL": p.diff("EMPL", mode),
         "D_EMPL_SHARE": p.diff("EMPL_SHARE", mode),
         "D_HHI_LABOR": p.diff("HHI_labor", mode),
-        "D_est": p.ratio_diff("est", "EMPL", mode),
-        "D_capital_cost_index": p.log_diff("capital_cost_index", mode),
+        "D_est": p.ratio_diff("est", "EMPL", mode, infinite=True),
+        "D_capital_cost_index": p.log_diff("capital_cost_index", mode, infinite=True),
         "D_union_memb": p.diff("union_memb", mode),
     }
     out = p.with_columns(cols).df.filter(F.col(YEAR) != first).select(ZONE, SECTOR, *cols, YEAR)
@@ -83,7 +83,7 @@ def difference_export(df: DataFrame, time_index: Mapping[int, int], first: int,
 
 
 def did_export(df: DataFrame, time_index: Mapping[int, int]) -> DataFrame:
-    """Levels panel with a time index and establishments per worker, finite rows only."""
+    """Levels panel with a time index and establishments per worker; rows where that is infinite go, 0/0 stays as NaN."""
     out = df.withColumnRenamed("est", "firm_count")
     out = out.withColumn("firm_count_per_worker", missing.ratio_inf("firm_count", "EMPL"))
     out = missing.drop_infinite(out, ["firm_count_per_worker"])

@@ -13,12 +13,16 @@ from ..plans.trade_panel import (
 )
 from ..session import materialise
 from .registry import LINES, MEMBERS, query, rounded, zones_sql
-from .shape import _SPLIT_SQL, _STOCK_SQL, _stocks, YEARS
+from .shape import _SPLIT_SQL, _STOCK_GRID, _stocks
 
 KEYS = "zone AS CZ_ID, sector AS IndustryClassification, year"
 S = "FURNITURE"
 
 
+#: Added before rounding ratios of short decimals, so that exact halves fall the same way in any engine.
+NUDGE = 1e-9
+
+
 @query(f"WITH {MEMBERS} SELECT cust, year, round(hhi_labor, 6) AS hhi FROM mp")
 def hhi_binned(t: Tables):
     """Concentration from raw lines: counted into size classes, then the class upper bounds."""
@@ -34,15 +38,14 @@ def labor_shares(t: Tables):
 
 
 @query(
-    f"""WITH {MEMBERS} SELECT cust, year, round(est / empl, 6) AS est_per_worker, round(ln(comp / empl), 6) AS wage,
-      round(ln(gdp / empl), 6) AS productivity FROM mp"""
+    f"""WITH {MEMBERS} SELECT cust, year, round(est / empl + {NUDGE}, 6) AS est_per_worker, round(comp / empl + {NUDGE}, 6) AS wage,
+      round(gdp / empl + {NUDGE}, 6) AS productivity FROM mp"""
 )
 def per_unit_ratios(t: Tables):
-    """Establishments per worker, log wage and log productivity."""
+    """Establishments per worker, wage and productivity."""
     p = member_panel(t).drop("est_per_worker")
     cols = metrics.per_unit({"est_per_worker": ("est", "EMPL"), "wage": ("COMP", "EMPL"), "productivity": ("GDP", "EMPL")})
-    logs = [missing.log(cols[n]).alias(n) for n in ("wage", "productivity")]
-    return rounded(p.select(MEMBER, YEAR, cols["est_per_worker"].alias("est_per_worker"), *logs))
+    return rounded(p.select(MEMBER, YEAR, *[(c + F.lit(NUDGE)).alias(n) for n, c in cols.items()]))
 
 
 @query(f"WITH {zones_sql()} SELECT {KEYS}, round(empl_share, 6) AS es, round(va_share, 6) AS vs FROM zp")
@@ -85,14 +88,14 @@ def import_exposure(t: Tables):
 
 
 @query(
-    f"""SELECT CASE WHEN p_type IN ('LARGE','MEDIUM','SMALL') THEN 'SIZED' ELSE p_type END AS grp, year,
-      round(avg(curr / nullif(hist, 0)), 6) AS capital_cost_index FROM ({_STOCK_SQL}) WHERE year BETWEEN 1995 AND 2001 GROUP BY 1, 2"""
+    f"""WITH {_STOCK_GRID} SELECT CASE WHEN p_type IN ('LARGE','MEDIUM','SMALL') THEN 'SIZED' ELSE p_type END AS grp, year,
+      round(avg(price_index), 6) AS capital_cost_index FROM cells GROUP BY 1, 2"""
 )
 def capital_cost_index(t: Tables):
     """Implicit price index from two wide stock tables, averaged in groups."""
-    hist, curr = _stocks(t)
+    hist, curr, years = _stocks(t)
     group = codes.recode("p_type", {"LARGE": "SIZED", "MEDIUM": "SIZED", "SMALL": "SIZED"})
-    return rounded(metrics.price_index(hist, curr, "p_type", YEARS, group, "grp"))
+    return rounded(metrics.price_index(hist, curr, "p_type", years, group, "grp"))
 
 
 @query(
@@ -185,7 +188,7 @@ def median_series(t: Tables):
 
 @query(
     f"""WITH {zones_sql()} SELECT e.zone AS CZ_ID, e.sector AS IndustryClassification,
-      round(e.labor_share - s.labor_share, 6) AS "D_PSI", round((e.empl - s.empl) / s.empl, 6) AS "D_EMPL",
+      round(e.labor_share - s.labor_share, 6) AS "D_PSI", round((e.empl - s.empl) / nullif(s.empl, 0), 6) AS "D_EMPL",
       round(e.empl_share - s.empl_share, 6) AS "D_EMPL_SHARE", round(ln(e.hhi_labor) - ln(s.hhi_labor), 6) AS "D_HHI_LABOR",
       round((e.est - s.est) / s.est, 6) AS "D_est", round(ln(e.unempl_rate) - ln(s.unempl_rate), 6) AS "D_unempl_rate",
       round(e.capital_cost_index - s.capital_cost_index, 6) AS "D_capital_cost_index", round(e.union_memb - s.union_memb, 9) AS "D_union_memb"
@@ -264,14 +267,14 @@ _Z1 = "(PARTITION BY zone ORDER BY year)"
       SELECT zone AS CZ_ID, year, round(ln(payroll_share) - lag(ln(payroll_share)) OVER {_Z1}, 6) AS "D_PSI",
         round(empl_share - lag(empl_share) OVER {_Z1}, 6) AS "D_EMPL_SHARE", round(est - lag(est) OVER {_Z1}, 2) AS "D_est",
         round(est / pop - lag(est / pop) OVER {_Z1}, 6) AS "D_est_per_capita", round(est / gdp * 1e6 - lag(est / gdp * 1e6) OVER {_Z1}, 6) AS "D_est_per_mile",
-        round(hhi_labor - lag(hhi_labor) OVER {_Z1}, 6) AS "D_HHI_labor", round(ln(gdp / empl), 6) AS productivity
+        round(hhi_labor - lag(hhi_labor) OVER {_Z1}, 6) AS "D_HHI_labor", round(gdp / empl + {NUDGE}, 6) AS productivity
       FROM w WHERE sector = '{S}' AND empl > 0 AND est > 0 AND payroll_share > 0 AND hhi_labor > 0"""
 )
 def sample_sector_differences(t: Tables):
     """One sector: changes of the payroll share and of establishments per worker, head and area."""
     base = trade_zone_panel(t).withColumn("LAND", F.col("GDP") / 1e6)
     out = samples.sector_differences(base, S, land="LAND").withColumns(
-        {"D_est": F.col("D_est").cast("double"), "productivity": missing.log("productivity")}
+        {"D_est": F.col("D_est").cast("double"), "productivity": F.col("productivity") + F.lit(NUDGE)}
     )
     names = ["D_PSI", "D_EMPL_SHARE", "D_est", "D_est_per_capita", "D_est_per_mile", "D_HHI_labor", "productivity"]
     return rounded(out.select(ZONE, YEAR, *names), 6, D_est=2)

@@ -10,7 +10,12 @@ from ..plans.trade_panel import MEMBER, QUANTITY_CLASSES, SUPER_SEGMENT, Tables,
 from ..session import materialise
 from .registry import LINES, query, rounded
 
-YEARS = [str(y) for y in range(1995, 2002)]
+
+
+def year_columns(dates, column: str) -> list[str]:
+    """Every year from the first to the last date of a table, as column names (reads two values)."""
+    low, high = dates.agg(F.year(F.min(column)), F.year(F.max(column))).first()
+    return [] if low is None else [str(y) for y in range(low, high + 1)]
 
 
 @query("SELECT l_orderkey AS order_id, l_partkey, l_suppkey, l_discount, l_returnflag FROM lineitem")
@@ -132,28 +137,24 @@ def row_sum_skipna(t: Tables):
 
 
 def _wide(t: Tables):
-    """Nation x segment rows with one column per order year; NULL for years without large orders."""
+    """Customer rows with one column per order year; NULL for years in which a customer ordered nothing."""
     o = t.orders.select(F.col("o_custkey").alias(MEMBER), order_year().alias(YEAR), "o_totalprice")
-    yearly = o.groupBy(MEMBER).agg(*[F.sum(F.when(F.col(YEAR) == int(y), F.col("o_totalprice"))).alias(y) for y in YEARS])
-    return yearly.join(members(t), MEMBER).groupBy(ZONE, SECTOR).agg(
-        *[F.sum(F.when(F.col(f"`{y}`") > 1000000, F.col(f"`{y}`"))).alias(y) for y in YEARS]
-    )
+    years = year_columns(t.orders, "o_orderdate")
+    return o.groupBy(MEMBER).agg(*[F.sum(F.when(F.col(YEAR) == int(y), F.col("o_totalprice"))).alias(y) for y in years])
 
 
-_WIDE_SQL = """yearly AS (SELECT o_custkey, year(o_orderdate) AS y, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2),
-cells AS (SELECT c_nationkey AS CZ_ID, c_mktsegment AS IndustryClassification, y, sum(v) AS v FROM yearly
-  JOIN customer ON o_custkey = c_custkey WHERE v > 1000000 GROUP BY 1, 2, 3),
-grid AS (SELECT DISTINCT c_nationkey AS CZ_ID, c_mktsegment AS IndustryClassification, y
-  FROM customer JOIN (SELECT DISTINCT o_custkey FROM orders) ON o_custkey = c_custkey CROSS JOIN range(1995, 2002) r(y))"""
+_WIDE_SQL = """cells AS (SELECT o_custkey AS cust, year(o_orderdate) AS y, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2),
+grid AS (SELECT DISTINCT cust, r.y FROM cells
+  CROSS JOIN range((SELECT min(y) FROM cells), (SELECT max(y) + 1 FROM cells)) r(y))"""
 
 
 @query(
-    f"""WITH {_WIDE_SQL} SELECT CZ_ID, IndustryClassification, CAST(y AS INTEGER) AS year, round(v, 2) AS total
-      FROM grid LEFT JOIN cells USING (CZ_ID, IndustryClassification, y)"""
+    f"""WITH {_WIDE_SQL} SELECT cust, CAST(y AS INTEGER) AS year, round(v, 2) AS total
+      FROM grid LEFT JOIN cells USING (cust, y)"""
 )
 def unpivot_years(t: Tables):
     """Year columns to rows; empty cells stay as NULL rows."""
-    return rounded(reshape.years_to_long(_wide(t), [ZONE, SECTOR], "total"), 2)
+    return rounded(reshape.years_to_long(_wide(t), [MEMBER], "total"), 2)
 
 
 @query(
@@ -177,20 +178,28 @@ def _stocks(t: Tables):
         F.sum(F.col("l_quantity") * F.col("p_retailprice")).alias("hist"), F.sum("l_extendedprice").alias("curr")
     )
     long = materialise(long)  # types x years; both wide tables read it
-    at = lambda c: [F.sum(F.when(F.col(YEAR) == int(y), F.col(c))).alias(y) for y in YEARS]
-    return long.groupBy("p_type").agg(*at("hist")), long.groupBy("p_type").agg(*at("curr"))
+    years = year_columns(t.lineitem, "l_shipdate")
+    at = lambda c: [F.sum(F.when(F.col(YEAR) == int(y), F.col(c))).alias(y) for y in years]
+    return long.groupBy("p_type").agg(*at("hist")), long.groupBy("p_type").agg(*at("curr")), years
 
 
 _STOCK_SQL = """SELECT p_type, CAST(year(l_shipdate) AS INTEGER) AS year, sum(l_quantity * p_retailprice) AS hist,
   sum(l_extendedprice) AS curr FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"""
 
 
-@query(f"SELECT p_type, year, round(curr / nullif(hist, 0), 6) AS price_index FROM ({_STOCK_SQL}) WHERE year BETWEEN 1995 AND 2001")
+#: Every type in every year from the first to the last, as the wide tables have them.
+_STOCK_GRID = f"""stocks AS ({_STOCK_SQL}),
+grid AS (SELECT DISTINCT p_type, CAST(y AS INTEGER) AS year FROM stocks
+  CROSS JOIN range((SELECT min(year) FROM stocks), (SELECT max(year) + 1 FROM stocks)) r(y)),
+cells AS (SELECT p_type, year, curr / nullif(hist, 0) AS price_index FROM grid LEFT JOIN stocks USING (p_type, year))"""
+
+
+@query(f"WITH {_STOCK_GRID} SELECT p_type, year, round(price_index, 6) AS price_index FROM cells")
 def pairwise_ratio(t: Tables):
     """Year columns of one table over the same-named columns of another."""
-    hist, curr = _stocks(t)
+    hist, curr, years = _stocks(t)
     both = joins.join_suffixed(hist, curr, ["p_type"], ("_hist", "_current"))
-    ratios = reshape.pairwise_ratio(both, ["p_type"], YEARS, "_current", "_hist")
+    ratios = reshape.pairwise_ratio(both, ["p_type"], years, "_current", "_hist")
     return rounded(reshape.years_to_long(ratios, ["p_type"], "price_index"))
 
 

@@ -7,9 +7,11 @@ scans is the number of layouts, not the number of files.
 
 from __future__ import annotations
 
+import csv
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from functools import reduce
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -28,9 +30,12 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def header_of(spark: SparkSession, path: str, skip: int = 0, sep: str = ",") -> list[str]:
-    """Column names in the first line after ``skip`` lines (reads only the head of one file)."""
+    """Column names in the first line after ``skip`` lines (reads only the head of one file).
+
+    The line is parsed as CSV, so a quoted name may hold the separator; empty names become X1, X2, ...
+    """
     lines = spark.read.text(path).take(skip + 1)
-    names = [p.strip().strip('"') for p in lines[skip]["value"].split(sep)]
+    names = [p.strip() for p in next(csv.reader([lines[skip]["value"]], delimiter=sep, skipinitialspace=True), [])]
     return [n if n else f"X{i + 1}" for i, n in enumerate(names)]
 
 
@@ -47,15 +52,27 @@ def read_after_preamble(
     return spark.read.option("sep", sep).schema(schema).csv(path).filter(keep)
 
 
+def _by_layout(spark: SparkSession, paths: Iterable[str], sep: str) -> Iterator[tuple[list[str], DataFrame]]:
+    """One scan, all columns as text, for the files of each distinct header, with their paths."""
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        layouts.setdefault(tuple(header_of(spark, path, 0, sep)), []).append(path)
+    for names, group in layouts.items():
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        raw = spark.read.option("header", True).option("sep", sep).option("enforceSchema", True).schema(schema).csv(group)
+        yield group, raw
+
+
 def read_matching(spark: SparkSession, folder: str, pattern: str, sep: str = ",") -> DataFrame:
-    """All files of a folder whose names match a glob, with the file name in ``source_file``."""
-    df = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("pathGlobFilter", pattern)
-        .csv(folder)
-    )
-    return df.select("*", F.col("_metadata.file_name").alias("source_file"))
+    """All files of a folder whose names match a glob, as text, with the file name in ``source_file``.
+
+    Columns are matched by the names in each file's own header; a column some files lack is NULL there.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path").collect()
+    paths = sorted(r["path"] for r in found)
+    if not paths:
+        raise FileNotFoundError(f"no file in {folder} matches {pattern}")
+    return stack(raw.select("*", F.col("_metadata.file_name").alias("source_file")) for _, raw in _by_layout(spark, paths, sep))
 
 
 def year_from_name(file_name: str | Column, pattern: str = r"(\d{4})", base: int = 0) -> Column:
@@ -96,20 +113,31 @@ def read_yearly(
     zero: Iterable[str] = (),
     sep: str = ",",
 ) -> DataFrame:
-    """One file per year, layouts drifting, as one frame with a ``year`` column."""
-    layouts: dict[tuple, dict[int, str]] = {}
+    """One file per year, layouts drifting, as one frame with a ``year`` column.
+
+    Years go by the full path, so files of one name in different folders stay apart.
+    """
+    years: dict[str, int] = {}
     for year, path in sorted(files.items()):
-        layouts.setdefault(tuple(header_of(spark, path, 0, sep)), {})[year] = path
+        # The path as Spark reports it for each row, which names one file in one folder.
+        seen = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+        if len(seen) != 1 or seen[0] in years:
+            raise ValueError(f"year {year}: {path} must be one file that no other year has")
+        years[seen[0]] = year
     frames = []
-    for names, group in layouts.items():
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        raw = spark.read.option("header", True).option("sep", sep).schema(schema).csv(list(group.values()))
-        by_name = {re.split(r"[/\\]", path)[-1]: year for year, path in group.items()}
-        raw = raw.withColumn("year", year_from_map(F.col("_metadata.file_name"), by_name))
-        frames.append(harmonise(raw, renames, numeric, zero))
+    for group, raw in _by_layout(spark, years, sep):
+        # Spark may report a path with one or three slashes after the scheme, and with escapes.
+        here = {spelling: years[p] for p in group for spelling in (_plain_path(p), quote(_plain_path(p)))}
+        place = F.regexp_replace("_metadata.file_path", "^file:/+", "/")
+        year = F.coalesce(year_from_map(place, here), F.raise_error(F.concat(F.lit("no year for "), place)).cast("int"))
+        frames.append(harmonise(raw.withColumn("year", year), renames, numeric, zero))
     return stack(frames)
 
 
+def _plain_path(path: str) -> str:
+    return re.sub("^file:/+", "/", path)
+
+
 def with_dimension(df: DataFrame, dimension: DataFrame, on: Mapping[str, str], take: Iterable[str]) -> DataFrame:
     """Look up attributes of a code or name in a dimension table; unmatched rows keep NULL."""
     dim = dimension.select(*[F.col(d).alias(f"__{d}") for d in on.values()], *take)

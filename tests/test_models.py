@@ -402,3 +402,56 @@ def test_model_table(spark, panel):
     assert got["w"]["fit_short_estimate"] is None
     close(got["x"]["fit_full_se"], math.sqrt(v[1, 1]))
     close(got["x"]["fit_short_estimate"], b.coefficient("x"))
+
+
+def test_many_entity_lengths(spark):
+    """More lengths than any fixed bound: one-way within and random effects against dummy regression."""
+    rng = np.random.default_rng(8)
+    parts = []
+    for i, n in enumerate(range(2, 1105, 1)):
+        x = rng.normal(size=n) + i % 5
+        parts.append(pd.DataFrame({"id": i, "t": np.arange(n), "x": x, "y": 0.7 * x + i % 7 + rng.normal(size=n)}))
+    d = pd.concat(parts)
+    p = Panel(spark.createDataFrame(d), "id", "t")
+    w = d[["x", "y"]] - d.groupby("id")[["x", "y"]].transform("mean")
+    close(pm.within(p, "y", ["x"]).fit.beta[0], (w.x @ w.y) / (w.x @ w.x), 1e-9)
+    re = pm.random_effects(p, "y", ["x"])
+    assert re.fit.extra["entities"] == 1103 and abs(re.fit.beta[1] - 0.7) < 0.01
+
+
+def test_two_way_needs_a_key(spark):
+    d = simulate(12, 6, 3, gaps=False)
+    twice = spark.createDataFrame(pd.concat([d, d.iloc[:5]]))
+    with pytest.raises(ValueError):
+        pm.within(Panel(twice, "id", "t"), "y", ["x"], effect="twoways")
+    with pytest.raises(ValueError):
+        gm.gmm(Panel(twice, "id", "t"), "y", ["x"])
+
+
+def test_fisher_has_no_invented_constant(spark):
+    rng = np.random.default_rng(2)
+    noise = pd.DataFrame({"id": 0, "t": range(40), "y": rng.normal(size=40) * 1e-3 + np.tile([1.0, -1.0], 20)})
+    short = pd.DataFrame({"id": 1, "t": range(2), "y": [1.0, 2.0]})
+    out = diagnostics.unit_root_fisher(Panel(spark.createDataFrame(pd.concat([noise, short])), "id", "t"), "y", 0)
+    assert out["not_identified"] == 1 and out["beyond_surface"] == 1
+    close(out["statistic"], -2 * math.log(diagnostics.adf_p_value(diagnostics.ADF_MIN)), 1e-9)
+    assert 0 < diagnostics.adf_p_value(-1e9) < 1e-28
+
+
+def test_mixture_depends_on_rows_only(spark):
+    from panelweave.models.mixture import mixture_classes
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(-3, 1, (150, 2)), rng.normal(2, 0.5, (90, 2))])
+    frame = spark.createDataFrame(pd.DataFrame({"k": range(240), "a": x[:, 0], "b": x[:, 1]}))
+    seen = []
+    for n in (1, 3, 8):
+        classed, scores = mixture_classes(frame.repartition(n), ["a", "b"], (1, 2))
+        seen.append({r["k"]: r["class"] for r in classed.collect()})
+        assert min(scores, key=lambda s: s[1])[0] == 2
+    assert seen[0] == seen[1] == seen[2]
+    assert sum(seen[0][i] == 0 for i in range(150)) > 145 and sum(seen[0][i] == 1 for i in range(150, 240)) > 85
+
+
+def test_normal_limit_of_t():
+    close(dist.t_two_sided(1.959964, 1e13), 0.05, 1e-6)

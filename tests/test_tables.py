@@ -2,12 +2,16 @@
 
 import math
 
+import numpy as np
+import pandas as pd
+
 import pytest
 from pyspark.sql import functions as F
 
 from panelweave.functions import codes, missing
 from panelweave.operators import aggregate, joins, metrics, reshape
 from panelweave.operators.panel import CALENDAR, Panel
+from panelweave.sources import readers
 
 
 def rows(df, *order):
@@ -196,3 +200,42 @@ def test_class_split_and_fan_out(spark):
     assert rows(reshape.split_by_class(df, ["z"], "k", ["prog", "stag"], ["e"]), "z") == [(1, 5.0, 0.0), (2, 0.0, 4.0)]
     geo = spark.createDataFrame([(1, "p"), (1, "q")], "z int, poly string")
     assert joins.fan_out(geo, df, ["z"], ["e"]).count() == 2
+
+
+def test_yearly_files_of_one_name(spark, tmp_path):
+    for year, value in ((2002, 1), (2003, 2)):
+        (tmp_path / f"{year} x").mkdir()
+        (tmp_path / f"{year} x" / "co.txt").write_text(f'FIPS,"Name, long",V\n0{year},a,{value}\n')
+    files = {y: str(tmp_path / f"{y} x" / "co.txt") for y in (2002, 2003)}
+    got = readers.read_yearly(spark, files, numeric=["v"])
+    assert sorted((r["year"], r["v"], r["name, long"]) for r in got.collect()) == [(2002, 1.0, "a"), (2003, 2.0, "a")]
+    with pytest.raises(ValueError):
+        readers.read_yearly(spark, {2002: files[2002], 2003: files[2002]})
+
+
+def test_matching_files_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "m1.csv").write_text("X7,X8\n1,2\n")
+    (tmp_path / "m2.csv").write_text("X8,X7,X9\n2,1,3\n")
+    (tmp_path / "other.csv").write_text("X7\n9\n")
+    got = readers.read_matching(spark, str(tmp_path), "m*.csv")
+    rows = {r["source_file"]: (r["X7"], r["X8"], r["X9"]) for r in got.collect()}
+    assert rows == {"m1.csv": ("1", "2", None), "m2.csv": ("1", "2", "3")}
+    with pytest.raises(FileNotFoundError):
+        readers.read_matching(spark, str(tmp_path), "none*.csv")
+
+
+def test_infinite_changes_leave_the_table(spark):
+    rows = [(z, "s", y, e) for z, y, e in [(1, 2000, 0.0), (1, 2001, 5.0), (2, 2000, 4.0), (2, 2001, 5.0), (3, 2001, 1.0)]]
+    p = Panel(spark.createDataFrame(rows, "z int, s string, year int, est double"), ["z", "s"], "year")
+    out = missing.drop_infinite(p.long_difference(2000, 2001, growths={"g": "est"}, logs={"l": "est"}, infinite=True))
+    assert {r["z"]: r["g"] for r in out.collect()} == {2: 0.25, 3: None}
+
+
+def test_quantile_bracket_that_misses_is_widened(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=4000)
+    frame = spark.createDataFrame(pd.DataFrame({"g": np.arange(4000) % 2, "x": x}))
+    # So coarse a sketch that its first brackets may miss.
+    got = {r["g"]: r["x"] for r in aggregate.quantiles(frame, ["g"], ["x"], [0.1, 0.5], accuracy=3).collect()}
+    for g in (0, 1):
+        assert np.allclose(got[g], np.quantile(x[g::2], [0.1, 0.5]))
