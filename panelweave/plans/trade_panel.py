@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import codes
-from ..operators import aggregate, joins, metrics
+from ..operators import aggregate, metrics
+from ..session import materialise
 from .regional_panel import SECTOR, YEAR, ZONE, zone_metrics, zone_panel
 
 # Quantity classes (closed intervals), and their upper bounds for concentration.
@@ -58,24 +59,21 @@ def lines(t: Tables) -> DataFrame:
     return t.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def capital_cost(t: Tables) -> DataFrame:
-    """Value of lines by segment and year at current prices over list prices.
+def member_panel(t: Tables, listed: bool = False) -> DataFrame:
+    """Customer x year panel. Unused measures are pruned from the aggregate by the optimizer.
 
-    Orders learn their segment before they meet the lines, so lines move once per large join and a
-    customer with very many orders is never joined at line level.
+    ``listed`` adds the value of the lines at list prices and, for the same lines, at current ones.
     """
-    orders = t.orders.select("o_orderkey", F.col("o_custkey").alias(MEMBER), order_year().alias(YEAR))
-    placed = orders.join(members(t).select(MEMBER, SECTOR), MEMBER).drop(MEMBER)
-    sold = t.lineitem.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
-    priced = sold.join(t.part.select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
-    return priced.groupBy(SECTOR, YEAR).agg(
-        (F.sum("l_extendedprice") / F.sum(F.col("l_quantity") * F.col("p_retailprice"))).alias("capital_cost_index")
-    )
-
-
-def member_panel(t: Tables) -> DataFrame:
-    """Customer x year panel. Unused measures are pruned from the aggregate by the optimizer."""
-    base = lines(t).groupBy(MEMBER, YEAR).agg(*value_measures())
+    rows, extra = lines(t), []
+    if listed:
+        parts = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
+        rows = rows.join(parts, "l_partkey", "left")
+        known = F.col("p_retailprice").isNotNull()
+        extra = [
+            F.sum(F.col("l_quantity") * F.col("p_retailprice")).alias("AT_LIST"),
+            F.sum(F.when(known, F.col("l_extendedprice"))).alias("AT_CURRENT"),
+        ]
+    base = rows.groupBy(MEMBER, YEAR).agg(*value_measures(), *extra)
     return base.withColumns(
         {
             "LABOR_SHARE": metrics.labor_share(),
@@ -102,13 +100,16 @@ def trade_zone_panel(t: Tables, merged: bool = False, capital: bool = False) ->
 
     Lines collapse to one row per customer and year before they meet the crosswalk, so a customer
     with very many lines is a handful of rows by the time of the join. ``capital`` adds the capital
-    cost index, which needs the part table.
+    cost index of the segment: current over list prices. Its sums come from the collapsed panel, which is
+    written out for that, so the lines are read and joined once.
     """
     coarse = codes.recode(SECTOR, SUPER_SEGMENT if merged else {})
-    base = member_panel(t).drop("LABOR_SHARE", "PAYROLL_SHARE", "est_per_worker", "HHI_labor")
+    base = member_panel(t, listed=capital).drop("LABOR_SHARE", "PAYROLL_SHARE", "est_per_worker", "HHI_labor")
     walk = members(t)
     if not capital:
         return zone_panel(base, walk, {MEMBER: MEMBER}, SUMS, MEANS[:3], coarse, CLASS_UPPER)
-    located = joins.enrich(base.join(walk, MEMBER), capital_cost(t), [SECTOR, YEAR])
+    totals = {"__current": F.sum("AT_CURRENT"), "__list": F.sum("AT_LIST")}
+    located = aggregate.attach_group(materialise(base.join(walk, MEMBER)), [SECTOR, YEAR], totals, few=True)
+    located = located.withColumn("capital_cost_index", F.col("__current") / F.col("__list"))
     rolled = aggregate.two_stage_roll_up(located, [YEAR, ZONE, SECTOR], {SECTOR: coarse}, SUMS, MEANS)
     return zone_metrics(rolled, CLASS_UPPER)

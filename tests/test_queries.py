@@ -13,10 +13,10 @@ sys.path.insert(0, str(ROOT / "tools"))
 
 import __spark_entry__ as contract  # noqa: E402
 from compare import compare, oracle  # noqa: E402
+from panelweave.queries import ORACLE, QUERIES  # noqa: E402
 from pyspark.sql import DataFrame  # noqa: E402
 
 FOLDER = os.environ.get("PANELWEAVE_TEST_DATA", "/root/testdata/sf0.01")
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +34,22 @@ def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
-LAZY = [n for n in QUERIES if n not in {"mixture_classes"} and not re.match("gmm|iv_|ols|fd$|within|random|hc1|cluster|coef|model|resid|reduced|durbin|unit", n)]
+def test_contract_registers_all():
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
+
+
+def test_capital_tables_read_the_lines_once(spark, monkeypatch):
+    from panelweave.plans import trade_panel
+
+    seen = []
+    monkeypatch.setattr(trade_panel, "materialise", lambda df: seen.append(df._jdf.queryExecution().toString()) or df.persist())
+    later = QUERIES["first_diff_export"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert len(seen) == 1 and later.count("InMemoryTableScan") >= 1
+    physical = seen[0].split("== Physical Plan ==")[1]
+    assert physical.count("lineitem.parquet") == physical.count("orders.parquet") == 1
+
+
+LAZY = [n for n in QUERIES if n not in {"mixture_classes"} and not re.match("gmm|iv_|ols|fd|within|random|hc1|cluster|coef|model|resid|reduced|durbin|unit", n)]
 
 
 @pytest.mark.parametrize("name", LAZY)
