@@ -16,7 +16,7 @@ HEADLINE = [
     "unpivot_years", "pairwise_ratio", "nway_key_join", "left_enrich", "two_stage_rollup", "group_median", "weighted_mean",
     "share_of_total", "calendar_lag", "long_diff", "hhi_binned", "zone_rollup", "import_exposure", "median_series",
     "ols", "grouped_ols", "within_oneway", "within_twoway_unbalanced", "random_effects", "iv_2sls", "gmm_diff_onestep",
-    "gmm_diff_twostep", "gmm_system", "hc1_se", "durbin_watson_panel", "unit_root_fisher", "model_table",
+    "gmm_diff_twostep", "gmm_system", "first_diff_export", "change_table", "ols_study", "iv_study", "hc1_se", "durbin_watson_panel", "unit_root_fisher", "model_table",
 ]
 
 

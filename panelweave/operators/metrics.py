@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions import codes, missing
+from ..functions import codes, distributions as dist, missing
+from ..session import ship_package
 from . import aggregate, joins, reshape
 from .panel import Panel
 
@@ -157,3 +160,28 @@ def linear_trend(
     rss = F.col("__syy") - F.col("slope") * F.col("__sxy")
     sigma = F.when(F.col("n") > 2, F.sqrt(missing.ratio(F.greatest(rss, F.lit(0.0)), F.col("n") - 2)))
     return line.withColumn("sigma", sigma).drop("__syy", "__sxy")
+
+
+def trend_band(line: DataFrame, x_limits: tuple[float, float], points: int = 80, level: float = 0.95) -> DataFrame:
+    """Fitted values of ``linear_trend`` lines on a grid, with the confidence band of the line.
+
+    One row per line and grid point: the line's keys, ``x``, ``fit``, ``lower``, ``upper``. Lines of fewer than three
+    points have no band.
+    """
+    ship_package(line.sparkSession)
+    keys = [c for c in line.columns if c not in ("slope", "intercept", "r2", "x_mean", "sxx", "n", "sigma")]
+    grid = np.linspace(x_limits[0], x_limits[1], points)
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(len(pdf)):
+                r = pdf.iloc[at]
+                fit = r["intercept"] + r["slope"] * grid
+                half = np.full(points, np.nan)
+                if r["n"] > 2:
+                    se = r["sigma"] * np.sqrt(1 / r["n"] + (grid - r["x_mean"]) ** 2 / r["sxx"])
+                    half = dist.t_quantile(0.5 + level / 2, float(r["n"] - 2)) * se
+                yield pd.DataFrame({**{k: [r[k]] * points for k in keys}, "x": grid, "fit": fit, "lower": fit - half, "upper": fit + half})
+
+    values = [T.StructField(n, T.DoubleType()) for n in ("x", "fit", "lower", "upper")]
+    return line.mapInPandas(spread, T.StructType([*line.select(*keys).schema.fields, *values]))

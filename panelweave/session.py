@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -31,6 +33,13 @@ def local_session(app: str = "panelweave", cores: str | int = "*", partitions: i
     )
 
 
+def _private_folder() -> str:
+    """A folder of this process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix="panelweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def _checkpoint_ready(spark: SparkSession) -> bool:
     """True once the context has a checkpoint folder that outlives executors.
 
@@ -46,7 +55,7 @@ def _checkpoint_ready(spark: SparkSession) -> bool:
         sc.setCheckpointDir(named)
         return True
     if sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="panelweave-"))
+        sc.setCheckpointDir(_private_folder())
         return True
     return False
 
@@ -71,7 +80,7 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_panelweave_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    target = os.path.join(tempfile.mkdtemp(prefix="panelweave-"), "panelweave.zip")
+    target = os.path.join(_private_folder(), "panelweave.zip")
     with zipfile.ZipFile(target, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, os.path.join("panelweave", f.relative_to(root)))

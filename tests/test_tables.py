@@ -239,3 +239,16 @@ def test_quantile_bracket_that_misses_is_widened(spark):
     got = {r["g"]: r["x"] for r in aggregate.quantiles(frame, ["g"], ["x"], [0.1, 0.5], accuracy=3).collect()}
     for g in (0, 1):
         assert np.allclose(got[g], np.quantile(x[g::2], [0.1, 0.5]))
+
+
+def test_trend_band(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=30)
+    y = 1 + 2 * x + rng.normal(size=30)
+    line = metrics.linear_trend(spark.createDataFrame(pd.DataFrame({"g": 1, "x": x, "y": y})), "x", "y", ["g"])
+    got = metrics.trend_band(line, (-1.0, 1.0), 3).orderBy("x").toPandas()
+    slope, start = np.polyfit(x, y, 1)
+    sigma = np.sqrt(((y - start - slope * x) ** 2).sum() / 28)
+    at = np.array([-1.0, 0.0, 1.0])
+    half = 2.048407 * sigma * np.sqrt(1 / 30 + (at - x.mean()) ** 2 / ((x - x.mean()) ** 2).sum())
+    assert np.allclose(got.fit, start + slope * at) and np.allclose(got.upper - got.fit, half, atol=1e-5) and np.allclose(got.fit - got.lower, half, atol=1e-5)
