@@ -363,11 +363,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, group
         raise ValueError("an anchor must be shorter than the passage, and the passage at most 4096 bytes")
     keyed = _keyed(docs, id_col, text_col)
     every = anchors(keyed, length, k)
-    often = every.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp")
+    # Written out, so that the join has a shuffle of its own on both sides and a frequent anchor's rows can be split.
+    often = materialise(every.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp"))
     repeated = materialise(every.join(often, "fp"))
     around = materialise(repeated.groupBy("fp", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_TEXT_KEY, "pos")).alias("first")))
     # Different surroundings of an anchor have to be compared, if one of them stands alone.
     mixed = around.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("fp")
+    mixed = materialise(mixed)
     wanted = around.join(mixed, "fp").select("fp", "n", "first.*")
     indexed = materialise(_index_groups(_segments(wanted, keyed, length, k), length, k, group))
     spans = indexed.filter("fp is null").select(*_TEXT_KEY, "start", "end")
