@@ -95,14 +95,35 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * (x @ self.weights + self.bias) + self.shift, -40, 40))))
 
 
-def fit_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, penalty: float, steps: int) -> tuple[np.ndarray, float]:
-    """Weights and bias for sparse rows, by accelerated gradient steps on the mean loss; a row's squares sum to 2 at most."""
+class Sparse:
+    """Feature rows one after the other: how many entries each has, their buckets and values."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes]]):
+        self.sizes = np.array([len(at) // 2 for at, _ in rows], np.int64)
+        self.columns = np.frombuffer(b"".join(at for at, _ in rows), "<u2").astype(np.int64)
+        self.values = np.frombuffer(b"".join(value for _, value in rows), "<f4").astype(np.float64)
+        self.filled = np.flatnonzero(self.sizes)
+        self.starts = (np.cumsum(self.sizes) - self.sizes)[self.filled]
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        """A row's entries times their weights, summed."""
+        out = np.zeros(len(self.sizes))
+        if len(self.filled):
+            out[self.filled] = np.add.reduceat(self.values * weights[self.columns], self.starts)
+        return out
+
+    def back(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """Per bucket, the entries times their row's number, summed."""
+        return np.bincount(self.columns, self.values * np.repeat(rows, self.sizes), width)
+
+
+def fit_logistic(x: Sparse, y: np.ndarray, width: int, penalty: float, steps: int) -> tuple[np.ndarray, float]:
+    """Weights and bias by accelerated gradient steps on the mean loss; a row's squares sum to 2 at most."""
     n, rate = len(y), 1 / (0.75 + penalty)
     weights, bias, ahead, ahead_bias = np.zeros(width), 0.0, np.zeros(width), 0.0
     for step in range(steps):
-        margin = np.bincount(rows, values * ahead[columns], n) + ahead_bias
-        error = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y) / n
-        new = ahead - rate * (np.bincount(columns, values * error[rows], width) + penalty * ahead)
+        error = (1 / (1 + np.exp(-np.clip(x.times(ahead) + ahead_bias, -40, 40))) - y) / n
+        new = ahead - rate * (x.back(error, width) + penalty * ahead)
         new_bias = ahead_bias - rate * error.sum()
         push = step / (step + 3)
         ahead, ahead_bias = new + push * (new - weights), new_bias + push * (new_bias - bias)
@@ -135,16 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_la
     held = np.arange(len(y)) % 4 == 3
     if len(y) < 8 or any(len(np.unique(y[part])) < 2 for part in (held, ~held)):
         return None
-    at = [np.frombuffer(r["at"], "<u2").astype(np.int64) for r in found]
-    value = [np.frombuffer(r["value"], "<f4").astype(np.float64) for r in found]
-
-    def sparse(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        own = np.flatnonzero(part)
-        return np.repeat(np.arange(len(own)), [len(at[i]) for i in own]), np.concatenate([at[i] for i in own]), np.concatenate([value[i] for i in own])
-
-    weights, bias = fit_logistic(*sparse(~held), y[~held], 2 * BUCKETS, 1e-5, 200)
-    rows, columns, values = sparse(held)
-    margin = np.bincount(rows, values * weights[columns], int(held.sum())) + bias
+    parts = [Sparse([(r["at"], r["value"]) for r, h in zip(found, held, strict=True) if h == side]) for side in (False, True)]
+    found.clear()
+    weights, bias = fit_logistic(parts[0], y[~held], 2 * BUCKETS, 1e-5, 200)
+    margin = parts[1].times(weights) + bias
     # Calibration: a logistic curve over the margin, with targets drawn in a little so that it stays finite.
     good, bad = (y[held] == 1).sum(), (y[held] != 1).sum()
     target = np.where(y[held] == 1, (good + 1) / (good + 2), 1 / (bad + 2))
