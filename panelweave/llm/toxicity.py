@@ -1,7 +1,7 @@
 """Toxicity from a learned lexicon, matched with Levenshtein automata, and scored by context.
 
 Words and stems that labelled rows single out form a trie. The trie is intersected with Levenshtein
-automata (one edit for terms of five letters or more; swapped neighbours are one edit)
+automata (one edit for words and stems of five letters or more; swapped neighbours are one edit)
 and the result is turned into a deterministic automaton state by state, as texts need it. Hits are then
 weighed by what stands around them: quoted hits and hits with other hits nearby are counted apart, and
 a small regression learns what each kind is worth.
@@ -45,8 +45,8 @@ def terms_of(word: str) -> list[str]:
 
 
 def edits_allowed(term: str) -> int:
-    """Edits that still count as the term. Stems have none: any tail may follow them anyway."""
-    return 1 if term.endswith("$") and len(term) > 5 else 0
+    """Edits that still count as the term: of the whole word, or of the letters of a stem, which any tail may follow."""
+    return 1 if len(term.removesuffix("$")) >= 5 else 0
 
 
 def share_at_least(one: int, zero: int) -> float:
@@ -60,7 +60,7 @@ def choose_terms(counts: dict[str, tuple[int, int]], base: float) -> dict[str, f
     """Weight (log odds against ``base``) of the terms that stand for label 1, given rows with label 1 and 0 per term.
 
     Of a stem and its continuations, the shortest that qualifies counts, made longer as long as one continuation
-    has most of its rows and is no less sure.
+    has most of its rows and is no less sure. Below a stem too short for edits, the shortest that allows them counts as well.
     """
     children: dict[str, list[str]] = {}
     for t in counts:
@@ -68,7 +68,8 @@ def choose_terms(counts: dict[str, tuple[int, int]], base: float) -> dict[str, f
     chosen: dict[str, float] = {}
     for term in sorted(counts, key=lambda t: (len(t), t)):
         sure = share_at_least(*counts[term])
-        if counts[term][0] < MIN_ROWS or sure < MIN_SHARE or any(term[:n] in chosen for n in range(1, len(term))):
+        covered = any(term[:n] in chosen and edits_allowed(term[:n]) >= edits_allowed(term) for n in range(1, len(term)))
+        if counts[term][0] < MIN_ROWS or sure < MIN_SHARE or covered:
             continue
         while True:
             longer = [t for t in children.get(term, []) if counts[t][0] >= 0.75 * counts[term][0] and share_at_least(*counts[t]) >= sure]
@@ -122,6 +123,7 @@ class Automaton:
         self.numbers: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.stems: list[str | None] = []
+        self.near: list[str | None] = []
         self._number(frozenset())
         self._number(self._closed({(0, 0, "")}))
 
@@ -131,7 +133,9 @@ class Automaton:
             n = self.numbers[states] = len(self.states)
             self.states.append(states)
             ends = self.trie.ends
-            self.stems.append(min((ends[i] for i, e, owed in states if not e and not owed and ends[i] and not ends[i].endswith("$")), default=None))
+            stems = [(e, ends[i]) for i, e, owed in states if not owed and ends[i] and not ends[i].endswith("$") and e <= edits_allowed(ends[i])]
+            self.stems.append(min((t for e, t in stems if not e), default=None))
+            self.near.append(min((t for e, t in stems if e), default=None))
         return n
 
     def _closed(self, states: set[tuple[int, int, str]]) -> frozenset:
@@ -164,21 +168,27 @@ class Automaton:
         return self._closed(new)
 
     def find(self, word: str) -> tuple[str, int] | None:
-        """The term with the fewest edits (then the first by name), and its edits; a stem wins as soon as the word has it."""
+        """The term with the fewest edits (then the first by name), and its edits; a stem wins as soon as the word has it.
+
+        A misspelt stem is a beginning of the word within the stem's edits; it counts unless the rest of the word shows a better term.
+        """
         if len(self.states) > self.limit:
             self._forget()
-        now, steps, stems = 1, self.steps, self.stems
+        now, steps, stems, near = 1, self.steps, self.stems, self.near
+        found: set[tuple[int, str]] = set()
         for c in word:
             key = now << 21 | ord(c)
             now = steps.get(key, -1)
             if now < 0:
                 now = steps[key] = self._number(self._step(self.states[key >> 21], c))
             if not now:
-                return None
+                break
             if stems[now]:
                 return stems[now], 0
+            if near[now]:
+                found.add((1, near[now]))
         ends = self.trie.ends
-        found = [(e, ends[n]) for n, e, owed in self.states[now] if not owed and ends[n] is not None and e <= edits_allowed(ends[n])]
+        found |= {(e, ends[n]) for n, e, owed in self.states[now] if not owed and ends[n] is not None and e <= edits_allowed(ends[n])}
         return min(found)[::-1] if found else None
 
 

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -159,6 +160,34 @@ def test_toxicity_edges(spark):
     assert scores[0] == scores[1] == scores[2] == scores[5] < 0.5 < scores[4] < scores[3]
 
 
+def test_misspelt_stems_equal_distances():
+    rng, terms = random.Random(4), ["abcab", "bacabd", "abcc$", "aabbcc$", "dd"]
+    automaton = toxicity.Automaton(terms, limit=50)
+    for _ in range(4000):
+        word = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 10)))
+        stems = [t for t in terms if not t.endswith("$") and word.startswith(t)]
+        near = set()
+        for t in terms:
+            tried = [word] if t.endswith("$") else [word[:n] for n in range(len(word) + 1)]
+            e = min(edits(x, t.removesuffix("$")) for x in tried)
+            near |= {(e, t)} if e <= (1 if len(t.removesuffix("$")) >= 5 else 0) else set()
+        assert automaton.find(word) == ((stems[0], 0) if stems else min(near)[::-1] if near else None), word
+
+
+def test_misspellings_of_terms_with_longer_forms(spark):
+    plain = ["tree", "lamp", "river", "stone", "cloud", "bread", "glass", "horse"]
+    toxic = ["idiot"] * 97 + ["idiots"] + ["unquestioningly", "unquestioninglyx"] * 30 + ["scum", "scumbag", "scummy"] * 30
+    rows = [(f"{plain[k % 8]} {w}", 1) for k, w in enumerate(toxic)] + [(f"{plain[k % 8]} {plain[k % 7]}", 0) for k in range(900)]
+    ids = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in zip(ids, rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in zip(ids, rows)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert "idiot" in model.terms and "scum" in model.terms
+    words = ["idoit", "idi0t", "idoits", "idiots", "unquestoiningly", "unquestionimgly", "scmubag", "idea", "river", "inquest"]
+    scored = toxicity.score(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), model)
+    assert [words[r["doc_id"]] for r in scored.filter("n_hits = 1").orderBy("doc_id").collect()] == words[:7]
+
+
 EVENT = "conv_id long, turn long, seq long, op string, role string, text string"
 
 
