@@ -28,6 +28,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 
+SEPARATORS = "+/_=.-"
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}-([0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
@@ -68,20 +69,38 @@ def harmless(run: str, known: frozenset[str]) -> bool:
     return all(re.fullmatch(r"[a-z]*|[A-Z]*|([A-Z]?[a-z]{2,}){1,6}|[0-9]+|[A-Za-z][a-z]+[0-9]{1,4}", p) for p in parts)
 
 
+def base_cuts(text: str, start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Base spans that end or start a part of the run; not those inside a longer random part, which is tested whole."""
+    cuts = []
+    for s, kind, e in base:
+        if s >= end or e <= start:
+            continue
+        a, b = s, e
+        while kind and a > start and text[a - 1] not in SEPARATORS:
+            a -= 1
+        while kind and b < end and text[b] not in SEPARATORS:
+            b += 1
+        if harmless(f"{text[a:s]}.{text[e:b]}", frozenset()):
+            cuts.append((s, e))
+    return cuts
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], encoding: tiktoken.Encoding, ratio: float, known: frozenset[str]) -> list[tuple[int, int, int]]:
-    """Runs outside the base spans whose characters per token are below ``ratio``."""
+    """Runs, without the base spans in them, whose characters per token are below ``ratio``."""
     found = []
     for m in RUN.finditer(text):
-        start, end = m.span()
-        while start < end and text[start] in "=.-/+_":
-            start += 1
-        while start < end and text[end - 1] in ".-/":
-            end -= 1
-        run = text[start:end]
-        if end - start < MIN_PART or harmless(run, known) or any(s < end and start < e for s, _, e in base):
-            continue
-        if len(run) < ratio * len(encoding.encode_ordinary(run)):
-            found.append((start, 3, end))
+        at = m.start()
+        for s, e in [*base_cuts(text, *m.span(), base), (m.end(), m.end())]:
+            start, end, at = at, s, max(at, e)
+            while start < end and text[start] in "=.-/+_":
+                start += 1
+            while start < end and text[end - 1] in ".-/":
+                end -= 1
+            run = text[start:end]
+            if end - start < MIN_PART or harmless(run, known):
+                continue
+            if len(run) < ratio * len(encoding.encode_ordinary(run)):
+                found.append((start, 3, end))
     return found
 
 
