@@ -30,6 +30,8 @@ MIN_ASSIGN, MIN_ACCESS = 12, 18
 
 SEPARATORS = "+/_=.-"
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
+PART = re.compile(r"[^+/_=.-]+")
+DIGEST = re.compile(r"[0-9a-fA-F]+")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}-([0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
 #: Characters per token below which a run counts as random. English prose has about 4, base64 about 1.4.
@@ -85,8 +87,64 @@ def base_cuts(text: str, start: int, end: int, base: list[tuple[int, int, int]])
     return cuts
 
 
+def is_dense(run: str, encoding: tiktoken.Encoding, ratio: float) -> bool:
+    return len(run) < ratio * len(encoding.encode_ordinary(run))
+
+
+def dense_parts(run: str, encoding: tiktoken.Encoding, ratio: float, known: frozenset[str]) -> list[tuple[int, int]]:
+    """Places of neighbouring parts, of ``MIN_PART`` characters or more, that are dense though the run as a whole is not.
+
+    From each part on, and up to each part, the fewest parts with enough characters are tested; those that share
+    parts are one place. Listed strings, digests and UUIDs are in none; readable parts at the ends are left out.
+    """
+    spared = [m.span() for m in UUID.finditer(run) if not (run[m.start() - 1 : m.start()] + run[m.end() : m.end() + 1]).strip(SEPARATORS)]
+    low = run.lower()
+    spared += [(at, at + len(k)) for k in known if k in low for at in range(len(low)) if low.startswith(k, at)]
+    groups: list[list[tuple[int, int]]] = [[]]
+    for a, b in (m.span() for m in PART.finditer(run)):
+        if any(s < b and a < e for s, e in spared) or DIGEST.fullmatch(run, a, b) and b - a in DIGEST_LENGTHS:
+            groups.append([])
+        else:
+            groups[-1].append((a, b))
+    found = []
+    for parts in groups:
+        plain = [harmless(run[a:b], known) for a, b in parts]
+
+        def dense(i: int, j: int, parts: list = parts, plain: list = plain) -> bool:
+            a, b = parts[i][0], parts[j][1]
+            return b - a >= MIN_PART and not all(plain[i : j + 1]) and is_dense(run[a:b], encoding, ratio)
+
+        tried, i, j = set(), 0, 0
+        for i in range(len(parts)):
+            while j < len(parts) and parts[j][1] - parts[i][0] < MIN_PART:
+                j += 1
+            if j < len(parts):
+                tried.add((i, j))
+        i = 0
+        for j in range(len(parts)):
+            while i < j and parts[j][1] - parts[i + 1][0] >= MIN_PART:
+                i += 1
+            tried.add((i, j))
+        def trimmed(i: int, j: int, plain: list = plain) -> tuple[int, int]:
+            while plain[i] and dense(i + 1, j):
+                i += 1
+            while plain[j] and dense(i, j - 1):
+                j -= 1
+            return i, j
+
+        places: list[tuple[int, int]] = []
+        for i, j in sorted(trimmed(*t) for t in tried if dense(*t)):
+            if places and i <= places[-1][1]:
+                places[-1] = places[-1][0], max(j, places[-1][1])
+            else:
+                places.append((i, j))
+        places = [trimmed(*t) if dense(*t) else t for t in places]
+        found += [(parts[i][0], parts[j][1]) for i, j in places]
+    return found
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], encoding: tiktoken.Encoding, ratio: float, known: frozenset[str]) -> list[tuple[int, int, int]]:
-    """Runs, without the base spans in them, whose characters per token are below ``ratio``."""
+    """Runs, without the base spans in them, whose characters per token are below ``ratio``, or else such parts of them."""
     found = []
     for m in RUN.finditer(text):
         at = m.start()
@@ -99,8 +157,10 @@ def random_spans(text: str, base: list[tuple[int, int, int]], encoding: tiktoken
             run = text[start:end]
             if end - start < MIN_PART or harmless(run, known):
                 continue
-            if len(run) < ratio * len(encoding.encode_ordinary(run)):
+            if is_dense(run, encoding, ratio):
                 found.append((start, 3, end))
+            else:
+                found += [(start + a, 3, start + b) for a, b in dense_parts(run, encoding, ratio, known)]
     return found
 
 

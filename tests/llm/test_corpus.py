@@ -74,6 +74,24 @@ def test_secret_beside_a_base_span():
     assert random_part_spans(f"sha-{hexes}.json and commit{hexes} secret={key}") == []
 
 
+def test_secret_behind_readable_parts():
+    rng, letters = random.Random(6), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    path = "hooks.example.com/services/production/notifications"
+    for first, last in (("client_credential_for_production_environment=", ""), (path + "/", ""), ("", "/" + path), (f"{path}/", f"/{path}")):
+        for _ in range(30):
+            key = "".join(rng.choice(letters) for _ in range(40))
+            (found,) = random_part_spans(f"x {first}{key}{last} y")
+            # Where the run is dense as a whole, the whole is the span.
+            assert found in ((2 + len(first), 42 + len(first)), (2, 42 + len(first) + len(last)))
+    cut = "wJalrXUtnFEMI7K9/MDENGbPxRfi+CYqQ2zT8vLs"
+    assert random_part_spans(f"{path}/{path}/{cut}") == [(2 * len(path) + 2, 2 * len(path) + 2 + len(cut))]
+    plain = f"{path}/123e4567-e89b-12d3-a456-426614174000/{path}/D41D8CD98F00B204E9800998ECF8427E/{path}/2023/11/04/report_17.csv"
+    assert random_part_spans(plain) == []
+    key = "wJalrXUtnFEMI7K9MDENGbPxRfiCYqQ2zT8vLs"
+    encoding = secret_scan.vocabulary(VOCABULARY, PATTERN)
+    assert secret_scan.random_spans(f"{path}/{path}/{key}", [], encoding, secret_scan.MAX_RATIO, frozenset([key.lower()])) == []
+
+
 def test_secret_scan_spans_on_given_documents(spark, folder):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     for r in QUERIES["op1_secret_scan"](spark, folder).collect():
