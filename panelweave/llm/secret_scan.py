@@ -2,16 +2,20 @@
 
 Words of a language cost few tokens per character under a byte pair vocabulary; random strings cost
 many. A long run of key characters with few characters per token is reported as ``random``, unless it
-is a known kind of harmless string: a digest, a UUID, a number, or a name made of words.
+is a known kind of harmless string: a digest, a UUID, a number, or a name made of words. Long parts of a
+name count as words only if their letters follow each other as they do in the vocabulary's words.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from string import ascii_lowercase
 
 import pyarrow as pa
 import tiktoken
@@ -37,6 +41,10 @@ UUID = re.compile(r"[0-9A-Fa-f]{8}-([0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
 #: Characters per token below which a run counts as random. English prose has about 4, base64 about 1.4.
 MAX_RATIO = 2.0
 MIN_PART = 20
+#: A part that can be a word: each of its forms has one way to match, so the time is linear.
+PLAIN = re.compile(r"[a-z]*|[A-Z]*|[0-9]+|[a-z]{2,}([A-Z][a-z]{2,}){0,5}|([A-Z][a-z]{2,}){1,6}|[A-Za-z][a-z]+[0-9]{1,4}")
+#: With so many letters or more a part must have usual letter pairs: bits a pair, on average. Words have 0 to 2, random letters -3.
+MIN_LETTERS, MIN_BITS = 12, -1.0
 
 
 @lru_cache(maxsize=2)
@@ -59,19 +67,38 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def harmless(run: str, known: frozenset[str]) -> bool:
+@lru_cache(maxsize=2)
+def letter_pairs(encoding: tiktoken.Encoding) -> dict[str, float]:
+    """Bits by which a pair of letters is more frequent inside the vocabulary's words than if all pairs were equally so."""
+    words = [w.lower().decode() for t in encoding.token_byte_values() if re.fullmatch(rb"[A-Za-z]{3,}", w := t.strip())]
+    counts = Counter(a + b for w in words for a, b in zip(w, w[1:]))
+    total, every = sum(counts.values()), [a + b for a in ascii_lowercase for b in ascii_lowercase]
+    return {p: math.log2((counts[p] + 1) * len(every) / (total + len(every))) for p in every}
+
+
+def reads_as_word(part: str, encoding: tiktoken.Encoding) -> bool:
+    """A number, letters of one case, or CamelCase of up to six; with many letters only if their pairs are usual ones."""
+    if not PLAIN.fullmatch(part):
+        return False
+    letters = part.rstrip("0123456789").lower()
+    if len(letters) < MIN_LETTERS:
+        return True
+    bits = letter_pairs(encoding)
+    return sum(bits[a + b] for a, b in zip(letters, letters[1:])) >= MIN_BITS * (len(letters) - 1)
+
+
+def harmless(run: str, known: frozenset[str], encoding: tiktoken.Encoding) -> bool:
     """Digests of usual lengths, UUIDs, numbers, listed strings, and names whose parts are words or numbers."""
     if run.lower() in known or UUID.fullmatch(run):
         return True
     plain = re.sub(r"[+/_=.-]", "", run)
     if re.fullmatch(r"[0-9]*", plain) or re.fullmatch(r"[0-9a-fA-F]+", run) and len(run) in DIGEST_LENGTHS:
         return True
-    # A secret mixes letters and digits, or lower and upper case, inside one part; a name doesn't.
-    parts = re.split(r"[+/_=.-]+", run)
-    return all(re.fullmatch(r"[a-z]*|[A-Z]*|([A-Z]?[a-z]{2,}){1,6}|[0-9]+|[A-Za-z][a-z]+[0-9]{1,4}", p) for p in parts)
+    # A secret mixes letters and digits, or lower and upper case, inside one part, or its letters follow each other at random; a name doesn't.
+    return all(reads_as_word(p, encoding) for p in re.split(r"[+/_=.-]+", run))
 
 
-def base_cuts(text: str, start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+def base_cuts(text: str, start: int, end: int, base: list[tuple[int, int, int]], encoding: tiktoken.Encoding) -> list[tuple[int, int]]:
     """Base spans that end or start a part of the run; not those inside a longer random part, which is tested whole."""
     cuts = []
     for s, kind, e in base:
@@ -82,7 +109,7 @@ def base_cuts(text: str, start: int, end: int, base: list[tuple[int, int, int]])
             a -= 1
         while kind and b < end and text[b] not in SEPARATORS:
             b += 1
-        if harmless(f"{text[a:s]}.{text[e:b]}", frozenset()):
+        if harmless(f"{text[a:s]}.{text[e:b]}", frozenset(), encoding):
             cuts.append((s, e))
     return cuts
 
@@ -108,7 +135,7 @@ def dense_parts(run: str, encoding: tiktoken.Encoding, ratio: float, known: froz
             groups[-1].append((a, b))
     found = []
     for parts in groups:
-        plain = [harmless(run[a:b], known) for a, b in parts]
+        plain = [harmless(run[a:b], known, encoding) for a, b in parts]
 
         def dense(i: int, j: int, parts: list = parts, plain: list = plain) -> bool:
             a, b = parts[i][0], parts[j][1]
@@ -148,14 +175,14 @@ def random_spans(text: str, base: list[tuple[int, int, int]], encoding: tiktoken
     found = []
     for m in RUN.finditer(text):
         at = m.start()
-        for s, e in [*base_cuts(text, *m.span(), base), (m.end(), m.end())]:
+        for s, e in [*base_cuts(text, *m.span(), base, encoding), (m.end(), m.end())]:
             start, end, at = at, s, max(at, e)
             while start < end and text[start] in "=.-/+_":
                 start += 1
             while start < end and text[end - 1] in ".-/":
                 end -= 1
             run = text[start:end]
-            if end - start < MIN_PART or harmless(run, known):
+            if end - start < MIN_PART or harmless(run, known, encoding):
                 continue
             if is_dense(run, encoding, ratio):
                 found.append((start, 3, end))

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -92,6 +93,27 @@ def test_secret_behind_readable_parts():
     assert secret_scan.random_spans(f"{path}/{path}/{key}", [], encoding, secret_scan.MAX_RATIO, frozenset([key.lower()])) == []
 
 
+def test_random_letters_of_one_case():
+    rng, lower = random.Random(7), "abcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rng.choice(lower) for _ in range(32)) for _ in range(200)]
+    for change in (str.lower, str.upper, lambda k: k + "1234"):
+        assert sum(random_part_spans(f"x {change(k)} y") != [] for k in keys) >= 180
+        assert sum(random_part_spans(f"hooks.example.com/services/production/{change(k)}") != [] for k in keys) >= 180
+    for name in ("averyveryverylongwordindeed", "donaudampfschifffahrtsgesellschaft", "CounterRevolutionariesOfTheNorth", "kubectl_cfg_mgr_svc_tmp_dbg", "antidisestablishmentarianism2024"):
+        assert random_part_spans(f"x {name} y") == []
+
+
+def test_plain_parts_take_linear_time():
+    forms = r"[a-z]*|[A-Z]*|([A-Z]?[a-z]{2,}){1,6}|[0-9]+|[A-Za-z][a-z]+[0-9]{1,4}"
+    rng = random.Random(8)
+    for _ in range(20_000):
+        part = "".join(rng.choice("aaabbAB1") for _ in range(rng.randrange(16)))
+        assert bool(secret_scan.PLAIN.fullmatch(part)) == bool(re.fullmatch(forms, part)), part
+    start = time.process_time()
+    assert not secret_scan.PLAIN.fullmatch("ab" * 5_000 + "12345")
+    assert time.process_time() - start < 5
+
+
 def test_secret_scan_spans_on_given_documents(spark, folder):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     for r in QUERIES["op1_secret_scan"](spark, folder).collect():
