@@ -57,8 +57,8 @@ def secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Pieces of token ids and their places in windows."""
-    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+    """Pieces with their token ids and their places in windows."""
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -14,9 +14,10 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from panelweave.llm import chat_format, quality, secret_scan, toxicity
+from panelweave.llm import chat_format, packing, quality, secret_scan, toxicity
 from panelweave.llm.queries import QUERIES
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -296,3 +297,15 @@ def test_pipeline(spark, folder):
         for name, stage in corpus_pipeline.STAGES:
             assert stage(spark, data, folder).count() <= max(1, data.count()) + 3
     assert corpus_pipeline.simhash_dedup(spark, odd, folder).count() == 2
+
+
+def test_pipeline_packs_token_ids(spark, folder):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    want = {r["doc_id"]: [*library.encode(r["text"] or "", add_special_tokens=False).ids, 2] for r in docs.collect()}
+    packed = corpus_pipeline.pack(spark, docs, folder).cache()
+    windows = {r["sequence_id"]: np.frombuffer(r["ids"], "<u4") for r in packing.sequences(packed).collect()}
+    got = {i: [] for i in want}
+    for r in sorted(packed.collect(), key=lambda r: r["start"]):
+        got[r["doc_id"]] += windows[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]].tolist()
+    assert got == want
