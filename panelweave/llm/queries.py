@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import bpe, chat_format, embeddings, packing, quality, repeats, secret_scan, simhash, spelling, token_counts, toxicity
+from panelweave.llm import bpe, chat_format, embeddings, packing, phrases, quality, repeats, secret_scan, simhash, spelling, token_counts, toxicity
 from panelweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,11 @@ def op4_repeats(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
+
+
+@query
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+ORACLE["op12_phrase_collocations"] = phrases.SQL
