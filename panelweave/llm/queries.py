@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import bpe, chat_format, embeddings, packing, phrases, quality, repeats, secret_scan, simhash, spelling, token_counts, toxicity
+from panelweave.llm import bpe, chat_format, embeddings, language_model, packing, phrases, quality, repeats, secret_scan, simhash, spelling, token_counts, toxicity
 from panelweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,8 @@ def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE["op12_phrase_collocations"] = phrases.SQL
+
+
+@query
+def op11_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score(table(spark, folder, "documents"))
