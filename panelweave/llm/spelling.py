@@ -175,8 +175,9 @@ class SortedList:
             start = bounds[child]
             code = self.codes[start, i]
             x, y, own = x[parent], y[parent], q[parent]
-            y = np.minimum(y + (code != self.codes[own, i - 1]) if i else np.int8(2), x + 1).astype(np.int8)
-            x = np.where(i < r[parent], x + (code != self.codes[own, i]), 2).astype(np.int8)
+            # Two stands for all larger values.
+            y = np.minimum(np.minimum(y + (code != self.codes[own, i - 1]), x + 1) if i else x + 1, 2).astype(np.int8)
+            x = np.where(i < r[parent], np.minimum(x + (code != self.codes[own, i]), 2), 2).astype(np.int8)
             keep = (code != 0) & ((x <= 1) | (y <= 1))
             q, lo, hi, x, y = own[keep], start[keep], bounds[child[keep] + 1], x[keep], y[keep]
 
