@@ -16,7 +16,7 @@ FOLDER = "/root/testdata/sf0.01"
 
 
 def test_names():
-    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
     assert len(corpus_pipeline.STAGES) == 5 and set(ORACLE) <= set(QUERIES)
 
 
