@@ -1,8 +1,9 @@
 """Values of repeated tokens, looked up per batch of texts instead of per token.
 
 Texts within the first 256 code points are cut into tokens with NumPy, the tokens of a batch are
-hashed and made unique, and only unique tokens meet the Python memo. Other texts, and very long ones,
-take a function that handles one text.
+hashed and made unique, and only unique tokens meet the Python memo. A hash only proposes: each token is
+compared with the one that stands for it, character by character. Other texts, and very long ones, take a
+function that handles one text.
 """
 
 from __future__ import annotations
@@ -37,17 +38,24 @@ def lower_table() -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _hashing() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Two random byte tables, and the powers of an odd base and of its inverse."""
-    rng = np.random.default_rng(20240611)
-    one, two = rng.integers(1, 2**63, 256, np.uint64), rng.integers(1, 2**63, 256, np.uint64)
+def _hashing() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random byte table, and the powers of an odd base and of its inverse."""
+    table = np.random.default_rng(20240611).integers(1, 2**63, 256, np.uint64)
     base = 0x9E3779B97F4A7C15
     powers = []
     for b in (base, pow(base, -1, 2**64)):
         factors = np.full(BATCH + 2, b, np.uint64)
         factors[0] = 1
         powers.append(np.cumprod(factors, dtype=np.uint64))
-    return one, two, *powers
+    return table, *powers
+
+
+def _same_characters(codes: np.ndarray, starts: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> bool:
+    """Whether each token equals the other one of its size that begins at ``others``."""
+    moved = np.flatnonzero(starts != others)
+    starts, others, sizes = starts[moved], others[moved], sizes[moved]
+    at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.array_equal(codes[np.repeat(starts, sizes) + at], codes[np.repeat(others, sizes) + at])
 
 
 def contractions(codes: np.ndarray, new: np.ndarray, at: np.ndarray) -> None:
@@ -101,8 +109,8 @@ class TokenValues:
 
     def __init__(self, cut: Callable, value: Callable[[str], object], one: Callable[[str], list], lower: bool, limit: int = 200_000):
         self.cut, self.value, self.one, self.lower, self.limit = cut, value, one, lower, limit
-        self.young: dict[int, tuple[int, object]] = {}
-        self.old: dict[int, tuple[int, object]] = {}
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
 
     def of(self, texts: list[str], alone: Callable[[str], bool] = lambda text: False) -> Iterator[list]:
         """A list of values for each text, in order. Texts for which ``alone`` holds go to ``one``."""
@@ -141,26 +149,26 @@ class TokenValues:
         cls[breaks] = BREAK
         starts, ends = self.cut(codes, cls)
         joined = codes.tobytes().decode("latin-1")
-        one, two, powers, inverse = _hashing()
-        sums, plain = np.zeros(len(codes) + 1, np.uint64), np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(one[codes] * powers[: len(codes)], out=sums[1:])
-        np.cumsum(two[codes], out=plain[1:])
-        keys, checks = (sums[ends] - sums[starts]) * inverse[starts], plain[ends] - plain[starts]
+        table, powers, inverse = _hashing()
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(table[codes] * powers[: len(codes)], out=sums[1:])
+        sizes = ends - starts
+        keys = (sums[ends] - sums[starts]) * inverse[starts]
         unique, first, place = np.unique(keys, return_index=True, return_inverse=True)
-        if not np.array_equal(checks[first][place], checks):
-            # Two tokens with one hash: practically never, but then each text goes alone.
+        stands = first[place]
+        if not (np.array_equal(sizes[stands], sizes) and _same_characters(codes, starts, starts[stands], sizes)):
+            # Two tokens with one hash: each text goes alone.
             return [self.one(t.decode("latin-1")) for t in texts]
         values = np.empty(len(unique), object)
-        for i, (key, check, a, b) in enumerate(zip(unique.tolist(), checks[first].tolist(), starts[first].tolist(), ends[first].tolist(), strict=True)):
-            found = self.young.get(key)
-            if found is None or found[0] != check:
-                found = self.old.get(key)
-                if found is None or found[0] != check:
-                    found = (check, self.value(joined[a:b]))
-                if len(self.young) >= self.limit:
-                    self.old, self.young = self.young, {}
-                self.young[key] = found
-            values[i] = found[1]
+        for i, (a, b) in enumerate(zip(starts[first].tolist(), ends[first].tolist(), strict=True)):
+            token = joined[a:b]
+            if token in self.young:
+                values[i] = self.young[token]
+                continue
+            values[i] = self.old[token] if token in self.old else self.value(token)
+            if len(self.young) >= self.limit:
+                self.old, self.young = self.young, {}
+            self.young[token] = values[i]
         ordered = values[place].tolist()
         cuts = np.searchsorted(starts, breaks).tolist()
         return [ordered[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
