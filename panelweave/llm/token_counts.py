@@ -29,7 +29,7 @@ _CUT = ("'r", "'v", "'l")
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
 _PLAIN = re.compile(rf" ?[{_L}]+| ?[{_N}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: A run of white space before a word. Cut at its end it is one pre-token, though its last character goes to the word.
-_CUT_RUN = re.compile(f"[{SPACE}]{{2,}}(?=[^{SPACE}])")
+_CUT_RUN = re.compile(f"[{SPACE}]{{2,}}")
 
 
 class PrefixCounter:
@@ -40,7 +40,10 @@ class PrefixCounter:
         if self.bpe.drops_space or self.bpe.library.normalizer is not None or self.bpe.suffix:
             raise ValueError("prefix counts need a tokenizer that keeps every character of the text")
         self.vocab = self.bpe.vocab
-        self.longest = max(map(len, self.vocab))
+        # Length of the longest token that ends with each symbol.
+        self.longest: dict[str, int] = {}
+        for token in self.vocab:
+            self.longest[token[-1:]] = max(len(token), self.longest.get(token[-1:], 0))
         self.follows = Bounded(self._follows, 1_000_000)
         self.part = Bounded(self._part)
         self.chunk = Bounded(self._chunk)
@@ -55,8 +58,9 @@ class PrefixCounter:
     def _word(self, word: str) -> list[int]:
         """Counts at each byte prefix of a pre-token in byte symbols."""
         last, count, get, follows, longest = [0], [0], self.vocab.get, self.follows, self.longest
-        for end in range(1, len(word) + 1):
-            for start in range(end - longest if end > longest else 0, end):
+        for end, symbol in enumerate(word, 1):
+            reach = longest.get(symbol, 0)
+            for start in range(end - reach if end > reach else 0, end):
                 token = get(word[start:end])
                 if token is not None and follows[last[start] << 32 | token]:
                     last.append(token + 1)
@@ -127,6 +131,8 @@ class PrefixCounter:
         for text, changes in zip(texts, self.tokens.of(texts, alone), strict=True):
             counts = np.frombuffer(b"".join(changes), np.int16).cumsum(dtype=np.int64)
             for m in _CUT_RUN.finditer(text):
+                if m.end() == len(text):
+                    break
                 counts[m.end() - 1] = (counts[m.start() - 1] if m.start() else 0) + self.part[m[0]][-1]
             yield counts
 
