@@ -12,9 +12,11 @@ import base64
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import accumulate
 from string import ascii_lowercase
 
 import pyarrow as pa
@@ -98,18 +100,23 @@ def harmless(run: str, known: frozenset[str], encoding: tiktoken.Encoding) -> bo
     return all(reads_as_word(p, encoding) for p in re.split(r"[+/_=.-]+", run))
 
 
+def _word_places(text: str, start: int, end: int) -> bool:
+    """Whether the place can read as a word or a number; the text is not copied for it."""
+    return PLAIN.fullmatch(text, start, end) is not None
+
+
 def base_cuts(text: str, start: int, end: int, base: list[tuple[int, int, int]], encoding: tiktoken.Encoding) -> list[tuple[int, int]]:
     """Base spans that end or start a part of the run; not those inside a longer random part, which is tested whole."""
     cuts = []
     for s, kind, e in base:
-        if s >= end or e <= start:
+        if e <= start:
             continue
         a, b = s, e
         while kind and a > start and text[a - 1] not in SEPARATORS:
             a -= 1
         while kind and b < end and text[b] not in SEPARATORS:
             b += 1
-        if harmless(f"{text[a:s]}.{text[e:b]}", frozenset(), encoding):
+        if _word_places(text, a, s) and _word_places(text, e, b) and harmless(f"{text[a:s]}.{text[e:b]}", frozenset(), encoding):
             cuts.append((s, e))
     return cuts
 
@@ -127,9 +134,11 @@ def dense_parts(run: str, encoding: tiktoken.Encoding, ratio: float, known: froz
     spared = [m.span() for m in UUID.finditer(run) if not (run[m.start() - 1 : m.start()] + run[m.end() : m.end() + 1]).strip(SEPARATORS)]
     low = run.lower()
     spared += [(at, at + len(k)) for k in known if k in low for at in range(len(low)) if low.startswith(k, at)]
+    spared.sort()
+    starts, over = [s for s, _ in spared], list(accumulate((e for _, e in spared), max))
     groups: list[list[tuple[int, int]]] = [[]]
     for a, b in (m.span() for m in PART.finditer(run)):
-        if any(s < b and a < e for s, e in spared) or DIGEST.fullmatch(run, a, b) and b - a in DIGEST_LENGTHS:
+        if bisect_right(over, a) < bisect_left(starts, b) or DIGEST.fullmatch(run, a, b) and b - a in DIGEST_LENGTHS:
             groups.append([])
         else:
             groups[-1].append((a, b))
@@ -173,9 +182,12 @@ def dense_parts(run: str, encoding: tiktoken.Encoding, ratio: float, known: froz
 def random_spans(text: str, base: list[tuple[int, int, int]], encoding: tiktoken.Encoding, ratio: float, known: frozenset[str]) -> list[tuple[int, int, int]]:
     """Runs, without the base spans in them, whose characters per token are below ``ratio``, or else such parts of them."""
     found = []
+    # Spans that may touch a run begin before it ends, and from the first on that is not over before it begins.
+    starts, over = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     for m in RUN.finditer(text):
         at = m.start()
-        for s, e in [*base_cuts(text, *m.span(), base, encoding), (m.end(), m.end())]:
+        near = base[bisect_right(over, at) : bisect_left(starts, m.end())]
+        for s, e in [*base_cuts(text, *m.span(), near, encoding), (m.end(), m.end())]:
             start, end, at = at, s, max(at, e)
             while start < end and text[start] in "=.-/+_":
                 start += 1
