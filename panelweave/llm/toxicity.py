@@ -9,7 +9,9 @@ a small regression learns what each kind is worth.
 
 from __future__ import annotations
 
+import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -193,16 +195,24 @@ class Automaton:
 
 
 def quoted(text: str, places: list[tuple[int, int]]) -> list[bool]:
-    """Whether each place lies between quotation marks of its line."""
+    """Whether each place lies between quotation marks of its line. All marks of the text are found once."""
+    breaks, straight, opening, closing = ([m.start() for m in re.finditer(f"[{c}]", text)] for c in ("\n", '"', "“„«", "”»"))
     out = []
     for start, end in places:
-        line = text.rfind("\n", 0, start) + 1
-        left, stop = text[line:start], text.find("\n", end)
-        right = text[end : stop if stop >= 0 else len(text)]
+        k = bisect_left(breaks, start)
+        line, stop = breaks[k - 1] + 1 if k else 0, breaks[bisect_left(breaks, end)] if breaks and breaks[-1] >= end else len(text)
+
+        def last(marks: list[int], line: int = line, start: int = start) -> int:
+            i = bisect_left(marks, start)
+            return marks[i - 1] if i and marks[i - 1] >= line else -1
+
+        def follows(marks: list[int], end: int = end, stop: int = stop) -> bool:
+            i = bisect_left(marks, end)
+            return i < len(marks) and marks[i] < stop
+
         # An odd number of straight marks before, with one after; or an opening mark not closed yet.
-        straight = left.count('"') % 2 == 1 and '"' in right
-        opened = max(left.rfind(m) for m in "“„«") > max(left.rfind(m) for m in "”»") and any(m in right for m in "”»")
-        out.append(straight or opened)
+        odd = (bisect_left(straight, start) - bisect_left(straight, line)) % 2 == 1
+        out.append(odd and follows(straight) or last(opening) > last(closing) and follows(closing))
     return out
 
 
