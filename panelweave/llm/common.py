@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -16,13 +16,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def struct_of(names: Sequence[str]) -> Column:
+    """A struct of columns whose names may hold dots and backticks."""
+    return F.struct(*(F.col(f"`{n.replace('`', '``')}`") for n in names))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Only the two columns an operator reads, as ``doc_id`` and ``text``; a null text counts as empty.
 
     Columns named in ``carry`` come along untouched in a struct ``row``, out of the way of other names.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text, *([F.struct(*carry).alias("row")] if carry else []))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text, *([struct_of(carry).alias("row")] if carry else []))
 
 
 def with_row(schema: str, read: DataFrame, *extra: str) -> StructType:

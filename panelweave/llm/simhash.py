@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelweave.llm.common import batch_of, beside, id_and_text, map_arrow, with_row
+from panelweave.llm.common import batch_of, beside, id_and_text, map_arrow, struct_of, with_row
 from panelweave.llm.components import connected, local_components
 from panelweave.session import materialise
 
@@ -205,7 +205,7 @@ def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: i
     # Plain keys without nulls, so that the join and the choice among repeated rows use one shuffle.
     last = F.lit(2**63 - 1)
     keys = [F.coalesce(F.col(id_col).cast("long"), last).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_text")]
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), *keys)
+    keyed = docs.select(struct_of(docs.columns).alias("_row"), *keys)
     read = docs.select(F.struct(*keys).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
