@@ -207,8 +207,8 @@ class RandomFit:
         t = missing.col(n)
         return 1.0 - F.sqrt(F.lit(self.sigma2_e) / (t * F.lit(self.sigma2_u) + F.lit(self.sigma2_e)))
 
-    def transformed_residuals(self, panel: Panel) -> DataFrame:
-        """Residuals of the quasi-demeaned regression."""
+    def transformed(self, panel: Panel) -> tuple[DataFrame, list[str]]:
+        """Rows of the quasi-demeaned regression: ``residual`` and the regressors, whose names are returned; the first is the constant's."""
         from ..operators.aggregate import attach_group
 
         y, x = self.fit.y, self.fit.terms[1:]
@@ -219,7 +219,13 @@ class RandomFit:
         e = q(y) - F.lit(float(self.fit.beta[0])) * (1.0 - F.col("__th"))
         for c, b in zip(x, self.fit.beta[1:]):
             e = e - F.lit(float(b)) * q(c)
-        return rows.select(*panel.entity, panel.time, e.alias("residual"))
+        names = [f"__q_{i}" for i in range(len(x) + 1)]
+        regressors = [(1.0 - F.col("__th")).alias(names[0]), *[q(c).alias(n) for c, n in zip(x, names[1:])]]
+        return rows.select(*panel.entity, panel.time, e.alias("residual"), *regressors), names
+
+    def transformed_residuals(self, panel: Panel) -> DataFrame:
+        """Residuals of the quasi-demeaned regression."""
+        return self.transformed(panel)[0].select(*panel.entity, panel.time, "residual")
 
 
 def random_effects(panel: Panel, y: str, x: Sequence[str]) -> RandomFit:
