@@ -441,7 +441,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, la
     cut = cut.withColumns({"left": F.expr("slice(ids, 1, k)"), "right": F.expr("slice(ids, k + 1, size(ids) - k)")})
     cut = cut.join(counts.select(F.col("ids").alias("left"), F.col("n").alias("l")), "left")
     cut = cut.join(counts.select(F.col("ids").alias("right"), F.col("n").alias("r")), "right")
-    first = cut.withColumn("id", F.col("ids")[0]).join(small_side(words.select("id", "grp")), "id").join(totals, "grp")
+    first = cut.withColumn("id", F.col("ids")[0]).join(small_side(words.select("id", "grp")), "id").join(small_side(totals), "grp")
     parts = first.withColumns({"product": _exact("a") * _exact("total"), "over": _exact("l") * _exact("r")})
     scored = parts.withColumn("score", F.expr(f"CAST(({SCALE} * product) DIV over AS BIGINT)"))
     worst = scored.groupBy("grp", "ids", "a", "total").agg(F.min(F.struct("score", "k", "l", "r")).alias("worst"))
