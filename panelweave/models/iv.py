@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ..functions import distributions as dist
+from ..functions import distributions as dist, missing
 from ..operators.panel import CALENDAR, Panel
-from .linear import INTERCEPT, Fit, inverse, least_squares, with_intercept
+from .linear import INTERCEPT, Fit, inverse, ols, singular, with_intercept
 from .moments import Moments, moments
-from .panel_models import TWOWAYS, check_effect, differenced, entity_moments, pool, remove_time_effects
+from .panel_models import TWOWAYS, check_effect, differenced, entity_moments, pool, remove_time_effects, sizes
+from .triangular import independent, projected, triangular
 
 
 def _rss(m: Moments, y: str, x: Sequence[str]) -> float:
@@ -108,9 +109,53 @@ def diagnostics(
     return out
 
 
+def _of_rank(
+    frame: DataFrame,
+    m: Moments,
+    y: str,
+    endog: Sequence[str],
+    exog: Sequence[str],
+    instruments: Sequence[str],
+    intercept: bool = True,
+    lost_df: int = 0,
+    model: str = "2sls",
+    column: Callable[[str], str] = lambda c: f"`{c}`",
+    size: Callable[[Sequence[str]], np.ndarray] | None = None,
+) -> Fit:
+    """``two_stage`` without the instruments and regressors that earlier ones explain.
+
+    ``frame`` holds the rows behind ``m`` under the names ``column`` gives; it is read only where the moments
+    are singular. ``size`` gives the columns' lengths before effects were taken out.
+    """
+    x, z = [*endog, *exog], [*exog, *instruments]
+    raw = size(z) ** 2 if size else None
+    if not singular(m, z, raw):
+        szz, szx = inverse(m.block(z, z)), m.block(z, x)
+        if np.all(np.isfinite(inverse(szx.T @ szz @ szx))):
+            return two_stage(m, y, endog, exog, instruments, intercept, lost_df, model)
+    c = int(intercept)
+    r = triangular(frame, [column(n) for n in [*z, *endog]], intercept)
+    lengths = np.linalg.norm(r, axis=0)
+    if size:
+        lengths[c:] = size([*z, *endog])
+    width = c + len(z)
+    kept_z = independent(r[:, :width], lengths[:width])
+    fitted = projected(r, kept_z, range(width, width + len(endog)))
+    stage = np.column_stack([r[:, :c], fitted, r[:, c : c + len(exog)]])
+    order = [*range(c), *range(width, width + len(endog)), *range(c, c + len(exog))]
+    kept_x = independent(stage, lengths[order])
+    named = [x[j - c] for j in kept_x if j >= c]
+    keep_z = [z[j - c] for j in kept_z if j >= c]
+    some = [e for e in endog if e in named]
+    others = [e for e in exog if e in named]
+    fit = two_stage(m, y, some, others, [n for n in keep_z if n not in exog], intercept, lost_df, model)
+    return fit.with_aliased([*([INTERCEPT] if intercept else []), *x])
+
+
 def iv(df: DataFrame, y: str, endog: Sequence[str], exog: Sequence[str], instruments: Sequence[str]) -> Fit:
-    """Cross-section 2SLS with intercept."""
-    return two_stage(moments(df, [y, *endog, *exog, *instruments]), y, endog, exog, instruments)
+    """Cross-section 2SLS with intercept. Aliased regressors have NaN, aliased instruments take no part."""
+    names = [y, *endog, *exog, *instruments]
+    return _of_rank(missing.finite_cases(df, names), moments(df, names), y, endog, exog, instruments)
 
 
 def iv_within(
@@ -123,12 +168,17 @@ def iv_within(
 ) -> Fit:
     """2SLS on within-transformed variables."""
     names = [y, *endog, *exog, *instruments]
-    free = 0
+    free, given = 0, panel
     if check_effect(effect) == TWOWAYS:
         panel, free = remove_time_effects(panel, names)
-    pm = pool(entity_moments(panel, names), names)
-    return two_stage(
-        pm.within_moments(), y, endog, exog, instruments, False, pm.entities + free, f"2sls_within_{effect}"
+    pm = pool(entity_moments(panel, names), names, ["n"])
+    m = pm.within_moments()
+    total = dict(zip(names, np.diag(pm.between["n"])[1:] + np.diag(m.cross)))
+    rows = panel.on(missing.finite_cases(panel.df, names)).demean([*endog, *exog, *instruments])
+    before = sizes if free else None
+    size = (lambda cs: before(given, cs, names)) if before else (lambda cs: np.sqrt([total[c] for c in cs]))
+    return _of_rank(
+        rows, m, y, endog, exog, instruments, False, pm.entities + free, f"2sls_within_{effect}", lambda c: f"`{c}_w`", size
     )
 
 
@@ -142,12 +192,13 @@ def iv_first_difference(
 ) -> Fit:
     """2SLS on first differences, intercept kept."""
     names = [y, *endog, *exog, *instruments]
-    m = moments(differenced(panel, names, lag_mode), names)
-    return two_stage(m, y, endog, exog, instruments, model="2sls_fd")
+    rows = differenced(panel, names, lag_mode)
+    m = moments(rows, names)
+    return _of_rank(missing.finite_cases(rows, names), m, y, endog, exog, instruments, model="2sls_fd")
 
 
 def reduced_form(df: DataFrame, y: str, x: Sequence[str]) -> Fit:
     """Instrument relevance: plain regression on the instruments."""
-    fit = least_squares(moments(df, [y, *x]), y, list(x))
+    fit = ols(df, y, x)
     fit.model = "reduced_form"
     return fit

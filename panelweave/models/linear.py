@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,7 @@ from ..operators import aggregate
 from ..operators.joins import small_side
 from ..session import materialise, ship_package
 from .moments import Moments, group, moment_sql, moments, number, pairs, symmetric
+from .triangular import TOLERANCE, independent, triangular
 
 INTERCEPT = "(Intercept)"
 TIDY = "term string, estimate double, std_error double, statistic double, p_value double"
@@ -58,6 +59,11 @@ class Fit:
     def std_error(self) -> np.ndarray:
         return np.sqrt(np.maximum(np.diag(self.vcov), 0.0))
 
+    @property
+    def kept(self) -> np.ndarray:
+        """Which terms are estimated; aliased ones have NaN for coefficient and error."""
+        return ~np.isnan(self.beta)
+
     def p_values(self, stat: np.ndarray) -> list[float]:
         if self.normal:
             return [dist.normal_two_sided(s) for s in stat]
@@ -67,8 +73,10 @@ class Fit:
         se = self.std_error if vcov is None else np.sqrt(np.maximum(np.diag(vcov), 0.0))
         with np.errstate(divide="ignore", invalid="ignore"):
             stat = self.beta / se
-        p = self.p_values(stat)
-        return [(t, float(b), float(s), float(z), float(q)) for t, b, s, z, q in zip(self.terms, self.beta, se, stat, p)]
+        out = []
+        for t, b, s, z in zip(self.terms, self.beta, se, stat):
+            out.append((t, None, None, None, None) if np.isnan(b) else (t, float(b), float(s), float(z), float(self.p_values([z])[0])))
+        return out
 
     def tidy(self, spark: SparkSession, vcov: np.ndarray | None = None) -> DataFrame:
         """Coefficient table, optionally with another covariance matrix."""
@@ -78,6 +86,8 @@ class Fit:
         return float(self.beta[self.terms.index(term)])
 
     def summary(self) -> dict:
+        if not self.kept.all() and self.kept.any():
+            return self.without_aliased().summary()
         k = len(self.terms) - (1 if self.intercept else 0)
         r2 = 1.0 - self.rss / self.tss if self.tss else float("nan")
         total_df = self.nobs - 1
@@ -96,16 +106,42 @@ class Fit:
             "f_p_value": dist.f_upper(f, k, self.df_resid),
         }
 
+    def without_aliased(self) -> "Fit":
+        at = np.flatnonzero(self.kept)
+        return replace(self, terms=[self.terms[i] for i in at], beta=self.beta[at], vcov=self.vcov[np.ix_(at, at)])
+
+    def with_aliased(self, terms: Sequence[str]) -> "Fit":
+        """The same fit over more terms, those not estimated being aliased."""
+        return replace(self, terms=list(terms), beta=spread(self.beta, self.terms, terms), vcov=spread(self.vcov, self.terms, terms))
+
     def fitted_sql(self) -> str:
         """Fitted value as an expression over the model columns (pooled models)."""
         return " + ".join(
-            number(b) if t == INTERCEPT else f"{number(b)} * `{t}`" for t, b in zip(self.terms, self.beta)
+            number(b) if t == INTERCEPT else f"{number(b)} * `{t}`" for t, b in zip(self.terms, self.beta) if not np.isnan(b)
         )
 
     def with_residuals(self, df: DataFrame, name: str = "residual") -> DataFrame:
         return df.withColumn(name, F.expr(f"`{self.y}` - ({self.fitted_sql()})"))
 
 
+def spread(values: np.ndarray, names: Sequence[str], over: Sequence[str]) -> np.ndarray:
+    """A vector or matrix over ``names`` as one over ``over``, NaN where that has more."""
+    at = [list(over).index(n) for n in names]
+    out = np.full((len(over),) * values.ndim, np.nan)
+    out[np.ix_(*[at] * values.ndim)] = values
+    return out
+
+
+def singular(m: Moments, x: Sequence[str], raw: np.ndarray | None = None) -> bool:
+    """Whether some regressors may be aliased: no inverse, or a column that the constant (or the entities) all but explains.
+
+    ``raw`` are the columns' sums of squares before centring.
+    """
+    cross = m.block(x, x)
+    raw = np.diag(cross) + m.n * m.mean[m.at(x)] ** 2 if raw is None else raw
+    return bool(np.any(np.diag(cross) <= TOLERANCE**2 * raw)) or not np.all(np.isfinite(inverse(cross)))
+
+
 def with_intercept(m: Moments, x: Sequence[str], y: str, slopes: np.ndarray, vs: np.ndarray, sigma2: float):
     """Prepend the intercept to slopes estimated on centred moments."""
     mx, my = m.mean[m.at(x)], m.mean[m.at([y])][0]
@@ -128,8 +164,20 @@ def least_squares(m: Moments, y: str, x: Sequence[str], model: str = "ols") -> F
 
 
 def ols(df: DataFrame, y: str, x: Sequence[str]) -> Fit:
-    """Pooled least squares with intercept and listwise deletion; one aggregate."""
-    return least_squares(moments(df, [y, *x]), y, list(x))
+    """Pooled least squares with intercept and listwise deletion; one aggregate.
+
+    Regressors that the constant and earlier regressors explain are aliased: their coefficient is NaN (NULL
+    in tables) and the others are those of the regression without them. Only then the rows are read again.
+    """
+    return _least_squares_of_rank(df, moments(df, [y, *x]), y, list(x))
+
+
+def _least_squares_of_rank(df: DataFrame, m: Moments, y: str, x: list[str]) -> Fit:
+    if not m.n or not x or not singular(m, x):
+        return least_squares(m, y, x)
+    r = triangular(missing.finite_cases(df, [y, *x]), [f"`{c}`" for c in x], intercept=True)
+    kept = [x[j - 1] for j in independent(r) if j]
+    return least_squares(m, y, kept).with_aliased([INTERCEPT, *x])
 
 
 def residual_quantiles(df: DataFrame, residual: str = "residual") -> DataFrame:
@@ -149,12 +197,13 @@ def _meat_sql(residual: str, centred: Sequence[str]) -> list[str]:
 
 def hc1(df: DataFrame, fit: Fit, m: Moments) -> np.ndarray:
     """White covariance scaled by n / (n - k): a second aggregate of squared residual products."""
-    x = [t for t in fit.terms if t != INTERCEPT]
-    kept = missing.finite_cases(df, [fit.y, *x])
+    every = [t for t in fit.terms if t != INTERCEPT]
+    x = [t for t, k in zip(fit.terms, fit.kept) if k and t != INTERCEPT]
+    kept = missing.finite_cases(df, [fit.y, *every])
     centred = [f"(`{c}` - {number(v)})" for c, v in zip(x, m.mean[m.at(x)])]
     p = len(x) + 1
     row = group(kept, (), _meat_sql(f"(`{fit.y}` - ({fit.fitted_sql()}))", centred)).first().asDict()
-    return sandwich(symmetric(row, p, "g_"), m, x, m.n / (m.n - p))
+    return spread(sandwich(symmetric(row, p, "g_"), m, x, m.n / (m.n - p)), [INTERCEPT, *x], fit.terms)
 
 
 def sandwich(meat: np.ndarray, m: Moments, x: Sequence[str], scale: float) -> np.ndarray:
@@ -178,7 +227,7 @@ def ols_robust(df: DataFrame, y: str, x: Sequence[str], rescan: bool = False) ->
     frame = missing.finite_cases(df, [y, *x]).select(y, *x)
     frame = frame if rescan else materialise(frame)
     m = moments(frame, [y, *x])
-    fit = least_squares(m, y, list(x))
+    fit = _least_squares_of_rank(frame, m, y, list(x))
     return fit, hc1(frame, fit, m)
 
 
@@ -194,6 +243,22 @@ def _per_row(solve: Callable[[dict], list[dict]], names: list[str]):
     return run
 
 
+def _by_elimination(m: Moments, y: str, x: list[str]) -> Fit:
+    """Least squares on moments alone; regressors are taken in order, those already explained are aliased."""
+    if not singular(m, x):
+        return least_squares(m, y, x)
+    raw = np.diag(m.block(x, x)) + m.n * m.mean[m.at(x)] ** 2
+    kept: list[str] = []
+    for c, size in zip(x, raw):
+        own = m.block([c], [c])[0, 0]
+        cov = m.block(kept, [c])[:, 0]
+        # What earlier regressors leave of it; sums of products have half the digits.
+        left = own - (cov @ inverse(m.block(kept, kept)) @ cov if kept else 0.0)
+        if left > max(TOLERANCE**2 * size, 1e-11 * own):
+            kept.append(c)
+    return least_squares(m, y, kept).with_aliased([INTERCEPT, *x])
+
+
 def grouped_ols(
     df: DataFrame,
     by: Sequence[str],
@@ -207,7 +272,8 @@ def grouped_ols(
 
     Moments of all groups come from one aggregate. Solving works on one row per group, distributed
     by Spark, so neither rows of a group nor the groups are gathered in one place. With ``robust``
-    the coefficients are joined back for the HC1 aggregate. Groups with too few rows give no rows.
+    the coefficients are joined back for the HC1 aggregate. Groups with too few rows give no rows. A regressor
+    that earlier ones explain inside a group is aliased there: its row has the term only.
     """
     x, by = list(x), list(by)
     ship_package(df.sparkSession)
@@ -223,10 +289,8 @@ def grouped_ols(
         b_names = [f"b_{i}" for i in range(k)]
 
         def slopes(rec):
-            fit = least_squares(Moments.of_row(names, rec), y, x)
-            if not np.all(np.isfinite(fit.beta)):
-                return []
-            return [{**rec, **dict(zip(b_names, fit.beta))}]
+            fit = _by_elimination(Moments.of_row(names, rec), y, x)
+            return [{**rec, **dict(zip(b_names, np.nan_to_num(fit.beta)))}]
 
         wide = T.StructType(table.schema.fields + [T.StructField(b, T.DoubleType()) for b in b_names])
         solved = table.mapInPandas(_per_row(slopes, [f.name for f in wide.fields]), wide)
@@ -240,10 +304,13 @@ def grouped_ols(
 
     def solve(rec):
         m = Moments.of_row(names, rec)
-        fit = least_squares(m, y, x)
-        if not np.all(np.isfinite(fit.beta)):
-            return []
-        v = sandwich(symmetric(rec, k, "g_"), m, x, m.n / (m.n - k)) if robust else None
+        fit = _by_elimination(m, y, x)
+        v = None
+        if robust:
+            at = [i for i, kept in enumerate(fit.kept) if kept]
+            own = [fit.terms[i] for i in at]
+            v = sandwich(symmetric(rec, k, "g_")[np.ix_(at, at)], m, own[1:], m.n / (m.n - len(own)))
+            v = spread(v, own, fit.terms)
         out = []
         for term, est, se, stat, p in fit.rows(v):
             out.append(
@@ -253,7 +320,7 @@ def grouped_ols(
                     "estimate": est,
                     "std_error": se,
                     "statistic": stat,
-                    "p_value": p if digits is None else round(p, digits),
+                    "p_value": p if digits is None or p is None else round(p, digits),
                     "nobs": m.n,
                 }
             )

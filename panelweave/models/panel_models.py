@@ -8,7 +8,7 @@ random-effects weights, and cluster scores, which equal s_xy - s_xx b for each e
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import missing
 from ..operators.panel import CALENDAR, Panel
 from ..session import materialise
-from .linear import INTERCEPT, Fit, inverse, least_squares
+from .linear import INTERCEPT, Fit, inverse, ols, singular, spread
 from .moments import Moments, group, moment_sql, moments, number, pairs, symmetric
+from .triangular import independent, triangular
 
 INDIVIDUAL, TWOWAYS = "individual", "twoways"
 
@@ -71,7 +72,7 @@ def differenced(panel: Panel, columns: Sequence[str], lag_mode: str = CALENDAR)
 
 def first_difference(panel: Panel, y: str, x: Sequence[str], lag_mode: str = CALENDAR) -> Fit:
     """Least squares on first differences, intercept kept."""
-    fit = least_squares(moments(differenced(panel, [y, *x], lag_mode), [y, *x]), y, list(x))
+    fit = ols(differenced(panel, [y, *x], lag_mode), y, x)
     fit.model = "fd"
     return fit
 
@@ -136,7 +137,7 @@ def remove_time_effects(panel: Panel, columns: Sequence[str]) -> tuple[Panel, in
 
 @dataclass
 class WithinFit:
-    """A within fit with the entity moments it came from."""
+    """A within fit with the entity moments it came from; ``names`` are the outcome and the regressors estimated."""
 
     fit: Fit
     entities: DataFrame
@@ -150,7 +151,7 @@ class WithinFit:
         by n / (n - k) with k the slopes; ``none`` does not scale.
         """
         k = len(self.names) - 1
-        beta = self.fit.beta
+        beta = self.fit.without_aliased().beta
         score = []
         for i in range(1, k + 1):
             terms = [f"{number(b)} * s_{min(i, j)}_{max(i, j)}" for j, b in enumerate(beta, 1)]
@@ -159,7 +160,8 @@ class WithinFit:
         row = self.entities.selectExpr(*score).selectExpr(*meat).first().asDict()
         bread = self.fit.extra["bread"]
         n = self.fit.nobs
-        return (n / (n - k) if scale == "hc1" else 1.0) * bread @ symmetric(row, k, "g_") @ bread
+        v = (n / (n - k) if scale == "hc1" else 1.0) * bread @ symmetric(row, k, "g_") @ bread
+        return spread(v, self.names[1:], self.fit.terms)
 
     def residuals(self) -> DataFrame:
         """Rows with the within residual."""
@@ -167,20 +169,53 @@ class WithinFit:
         kept = self.panel.on(missing.finite_cases(self.panel.df, self.names))
         rows = kept.demean(self.names)
         e = F.col(f"{y}_w")
-        for c, b in zip(x, self.fit.beta):
+        for c, b in zip(x, self.fit.without_aliased().beta):
             e = e - F.lit(float(b)) * F.col(f"{c}_w")
         return rows.select(*self.panel.entity, self.panel.time, e.alias("residual"))
 
 
 def within(panel: Panel, y: str, x: Sequence[str], effect: str = INDIVIDUAL) -> WithinFit:
-    """Fixed-effects regression; ``twoways`` adds period effects, exact on unbalanced panels."""
+    """Fixed-effects regression; ``twoways`` adds period effects, exact on unbalanced panels.
+
+    Regressors that the effects and earlier regressors explain are aliased: the fit is the one without
+    them, and their coefficients are NaN.
+    """
     check_effect(effect)
     names = [y, *x]
     free = 0
+    given = panel
     if effect == TWOWAYS:
         panel, free = remove_time_effects(panel, names)
     entities = entity_moments(panel, names)
-    pm = pool(entities, names)
+    pm = pool(entities, names, ["n"])
+    m = pm.within_moments()
+    raw = np.diag(pm.between["n"])[2:] + np.diag(m.block(x, x))
+    if x and pm.nobs and singular(m, x, raw):
+        kept = _net_of_effects(given, panel, list(x), names)
+        if len(kept) < len(x):
+            # The rows stay those that are complete in all columns asked for.
+            rest = panel.on(missing.finite_cases(panel.df, names))
+            found = _within(rest, y, kept, effect, free, entity_moments(rest, [y, *kept]))
+            return replace(found, fit=found.fit.with_aliased(x))
+    return _within(panel, y, list(x), effect, free, entities, pm)
+
+
+def _net_of_effects(given: Panel, panel: Panel, x: list[str], names: Sequence[str]) -> list[str]:
+    """Regressors that neither the effects nor earlier regressors explain, compared with their own sizes before the effects went."""
+    kept = panel.on(missing.finite_cases(panel.df, names))
+    r = triangular(kept.demean(x), [f"`{c}_w`" for c in x])
+    return [x[j] for j in independent(r, sizes(given, x, names))]
+
+
+def sizes(given: Panel, x: Sequence[str], names: Sequence[str]) -> np.ndarray:
+    """Lengths of columns over the rows complete in ``names``."""
+    row = missing.finite_cases(given.df, names).selectExpr(*[f"sqrt(sum(`{c}` * `{c}`))" for c in x]).first()
+    return np.array(row, dtype=float)
+
+
+def _within(panel: Panel, y: str, x: list[str], effect: str, free: int, entities: DataFrame, pm: PanelMoments | None = None) -> "WithinFit":
+    names = [y, *x]
+    pm = pm or pool(entities, names)
     m = pm.within_moments()
     sxx, sxy, syy = m.block(x, x), m.block(x, [y])[:, 0], m.block([y], [y])[0, 0]
     inv = inverse(sxx)
