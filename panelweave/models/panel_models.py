@@ -16,11 +16,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import missing
 from ..operators.panel import CALENDAR, Panel
 from ..session import materialise
+from . import two_way
 from .linear import INTERCEPT, Fit, inverse, ols, singular, spread
 from .moments import Moments, group, moment_sql, moments, number, pairs, symmetric
 from .triangular import independent, triangular
 
 INDIVIDUAL, TWOWAYS = "individual", "twoways"
+#: Periods up to which the normal equations of period effects are formed, one row and column per period.
+DENSE_PERIODS = 400
 
 
 def check_effect(effect: str) -> str:
@@ -125,10 +128,17 @@ def _net_of_time(panel: Panel, column: str, times: list, effects: Sequence[float
 
 def remove_time_effects(panel: Panel, columns: Sequence[str]) -> tuple[Panel, int]:
     """Panel whose columns are net of period effects; entity-demeaning it completes the two-way
-    transform. Returns it with the number of free period effects."""
+    transform. Returns it with the number of free period effects.
+
+    Up to ``DENSE_PERIODS`` periods the normal equations are solved as they are, with more by
+    conjugate gradients."""
+    columns = list(dict.fromkeys(columns))
     kept = materialise(missing.finite_cases(panel.df, columns).select(*panel.entity, panel.time, *columns))
     # Two rows of one entity and period would count as one presence but two rows.
     base = panel.on(kept).check()
+    if kept.select(panel.time).distinct().count() > DENSE_PERIODS:
+        effects = two_way.graph_effects(base, columns)
+        return base.on(materialise(two_way.net_of_effects(kept, panel.time, columns, effects))), effects.periods - 1
     times, effects = time_effects(base, columns)
     net = [_net_of_time(panel, c, times, effects[:, j]) for j, c in enumerate(columns)]
     keys = [f"`{c}`" for c in (*panel.entity, panel.time)]
