@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import distributions as dist, missing
 from ..operators import aggregate
+from ..operators.grouped import Grouped, apply_grouped
 from ..operators.joins import small_side
 from ..session import materialise, ship_package
 from .moments import Moments, group, moment_sql, moments, number, pairs, symmetric
@@ -333,3 +334,38 @@ def grouped_ols(
         + [T.StructField("nobs", T.LongType())]
     )
     return table.mapInPandas(_per_row(solve, [f.name for f in schema.fields]), schema)
+
+
+def grouped_by_triangle(df: DataFrame, by: Sequence[str], y: str, x: Sequence[str]) -> DataFrame:
+    """One regression per group from a triangle per group, so rank is found without squaring the condition number.
+
+    One pass over the rows, whatever the sizes of the groups. Aliased regressors have NULL. Groups with no more
+    rows than coefficients give no rows.
+    """
+    x, p = list(x), len(x) + 2
+
+    def add(state: tuple[int, np.ndarray], columns) -> tuple[int, np.ndarray]:
+        z = np.column_stack([np.ones(len(columns[y])), *[columns[c] for c in x], columns[y]])
+        return state[0] + len(z), np.linalg.qr(np.vstack([state[1], z]), mode="r")
+
+    def merge(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[int, np.ndarray]:
+        return a[0] + b[0], np.linalg.qr(np.vstack([a[1], b[1]]), mode="r")
+
+    def finish(state: tuple[int, np.ndarray]) -> list[tuple]:
+        n, r = state[0], np.vstack([state[1], np.zeros((p, p))])
+        kept = independent(r[:, :-1])
+        if n <= len(kept):
+            return []
+        q, t = np.linalg.qr(r[:, kept])
+        beta = np.linalg.solve(t, q.T @ r[:, -1])
+        rss = float(((r[:, -1] - r[:, kept] @ beta) ** 2).sum())
+        inv = np.linalg.inv(t)
+        terms = [INTERCEPT, *x]
+        mean = r[:, 0] @ r[:, -1] / (r[:, 0] @ r[:, 0])
+        tss = float(((r[:, -1] - mean * r[:, 0]) ** 2).sum())
+        fit = Fit("ols", y, [terms[i] for i in kept], beta, rss / (n - len(kept)) * inv @ inv.T, n, n - len(kept), rss, tss)
+        return [(*row, n) for row in fit.with_aliased(terms).rows()]
+
+    frame = missing.finite_cases(df, [y, *x]).select(*by, *[F.col(c).cast("double").alias(c) for c in [y, *x]])
+    function = Grouped(lambda: (0, np.zeros((0, p))), add, merge, finish)
+    return apply_grouped(frame, by, [y, *x], function, TIDY + ", nobs long")
