@@ -226,7 +226,8 @@ def durbin_watson_test(panel: Panel, y: str, x: Sequence[str], across_entities:
         q = 2.0 * (3 * s.n - 4) - 2 * np.trace(s.bend[1:, 1:] @ inv) + np.trace(first @ first)
         mean = p / (s.n - k)
         var = 2.0 / ((s.n - k) * (s.n - k + 2)) * (q - p * mean)
-        return {"statistic": stat, "p_value": dist.normal_cdf((stat - mean) / math.sqrt(var)), "mean": mean, "variance": var}
+        p_value = dist.normal_cdf((stat - mean) / math.sqrt(var))
+        return {"statistic": stat, "p_value": p_value, "mean": float(mean), "variance": float(var)}
     e = F.col("residual")
     lagged = rows.with_columns({"__d": e - rows.row_lag("residual")}).df
     row = lagged.agg(F.sum(F.col("__d") * F.col("__d")), F.sum(e * e)).first()

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLE, QUERIES
 
-for _name in ("sources", "shape", "joining", "aggregates", "windows", "measures", "estimators", "inference", "study"):
+for _name in ("sources", "shape", "joining", "aggregates", "windows", "measures", "estimators", "inference", "study", "extended"):
     import_module(f"{__name__}.{_name}")
 
 __all__ = ["QUERIES", "ORACLE"]
