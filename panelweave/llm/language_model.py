@@ -11,16 +11,17 @@ meet their counts in a join.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import Bounded, id_and_text, map_arrow
+from panelweave.llm.common import id_and_text, map_arrow
 from panelweave.llm.vocabulary import word_counts
 from panelweave.session import materialise
 
@@ -32,8 +33,10 @@ STATES, ROUNDS, OWN_SYMBOLS, SHARED_SYMBOLS, LAST_LETTERS = 8, 8, 16_384, 4096,
 TABLE, TABLE_BYTES = 1 << 17, 64
 #: Training cuts texts into sequences of this many symbols; scores do not.
 SEQUENCE = 256
-#: Symbols that a task takes through a recursion at once.
-BATCH = 1 << 20
+#: Symbols that a task takes through a recursion at once, when training and when scoring.
+TRAIN_BATCH, BATCH = 3 << 16, 1 << 20
+#: Bytes of text that a task cuts into words at once, and words it keeps the numbers of.
+PART, SEEN = 4 << 20, 1 << 20
 END = 0
 
 
@@ -88,51 +91,53 @@ def _by_position(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, n
     return flat, starts, order
 
 
-def log_likelihood(chain: Chain, sequences: list[np.ndarray]) -> np.ndarray:
+def log_likelihood(model: Chain, sequences: list[np.ndarray]) -> np.ndarray:
     """Natural log of the probability of each whole sequence: forward recursion, scaled to sum one at each step."""
     flat, starts, order = _by_position(sequences)
+    table, step_back = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.step.T)
     out = np.zeros(len(sequences))
-    state = np.repeat(chain.start[None, :], len(sequences), axis=0)
-    for at, to in zip(starts.tolist(), starts[1:].tolist(), strict=False):
-        n = to - at
-        state = state[:n] * chain.emit[flat[at:to]]
-        scale = state.sum(axis=1)
+    state = np.repeat(model.start[:, None], len(sequences), axis=1)
+    for symbols in np.split(flat, starts[1:-1]):
+        n = len(symbols)
+        state = state[:, :n] * np.take(table, symbols, axis=1)
+        scale = state.sum(axis=0)
         out[:n] += np.log(scale)
-        state = (state / scale[:, None]) @ chain.step
+        state /= scale
+        state = step_back @ state
     back = np.empty(len(sequences))
     back[order] = out
     return back
 
 
-def expected_counts(chain: Chain, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def expected_counts(model: Chain, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch: expected first states, steps and symbols, and the log probability of all sequences."""
     flat, starts, _ = _by_position(sequences)
-    states = len(chain.start)
-    emit = chain.emit[flat]
-    forward, scales = np.empty((len(flat), states)), np.empty(len(flat))
-    state = chain.start[None, :]
-    for at, to in zip(starts.tolist(), starts[1:].tolist(), strict=False):
-        state = (state if at == 0 else state[: to - at] @ chain.step) * emit[at:to]
-        scale = state.sum(axis=1)
-        state = state / scale[:, None]
-        forward[at:to], scales[at:to] = state, scale
+    states = len(model.start)
+    table, step_back = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.step.T)
+    forward, emits, total, state = [], [], 0.0, None
+    # One row per state: all sequences take a step at once.
+    for symbols in np.split(flat, starts[1:-1]):
+        emit = np.take(table, symbols, axis=1)
+        state = emit * model.start[:, None] if state is None else (step_back @ state[:, : len(symbols)]) * emit
+        scale = 1 / state.sum(axis=0)
+        state *= scale
+        emit *= scale
+        total -= float(np.log(scale).sum())
+        forward.append(state)
+        emits.append(emit)
     # Backward values are scaled like the forward ones, so that products are posteriors.
-    posterior, steps = np.empty((len(flat), states)), np.zeros((states, states))
-    after = None
-    for i in range(len(starts) - 2, -1, -1):
-        at, to = starts[i], starts[i + 1]
-        if after is None:
-            back = np.ones((to - at, states))
-        else:
-            moved = after.shape[0]
-            steps += forward[at : at + moved].T @ after
-            back = np.ones((to - at, states))
-            back[:moved] = after @ chain.step.T
-        posterior[at:to] = forward[at:to] * back
-        after = emit[at:to] * back / scales[at:to, None]
-    steps *= chain.step
-    symbols = np.stack([np.bincount(flat, posterior[:, s], len(chain.emit)) for s in range(states)], axis=1)
-    return posterior[: starts[1]].sum(axis=0), steps, symbols, float(np.log(scales).sum())
+    steps, after = np.zeros((states, states)), emits.pop()
+    for own in forward[-2::-1]:
+        emit, n = emits.pop(), after.shape[1]
+        back, part = model.step @ after, own[:, :n]
+        steps += part @ after.T
+        part *= back
+        emit[:, :n] *= back
+        after = emit
+    steps *= model.step
+    posterior = np.concatenate(forward, axis=1)
+    seen = np.stack([np.bincount(flat, posterior[s], len(model.emit)) for s in range(states)], axis=1)
+    return forward[0].sum(axis=1), steps, seen, total
 
 
 def improved(start: np.ndarray, step: np.ndarray, symbols: np.ndarray, frequency: np.ndarray) -> Chain:
@@ -167,12 +172,12 @@ class Words:
 def training_counts(docs: DataFrame) -> DataFrame:
     """``word``, ``n`` over the training rows of ``doc_id``, ``text``; the empty word stands for the end of a text."""
 
-    def counts_of(b: pa.RecordBatch):
+    def training(b: pa.RecordBatch):
         for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             if not held_out(i):
-                yield "", len(text), [*Counter(words_of(text)).items(), (b"", 1)]
+                yield "", len(text), [*words_of(text), b""]
 
-    return word_counts(docs, counts_of).select("word", "n")
+    return word_counts(docs, training).select("word", "n")
 
 
 def learn_words(counts: DataFrame, own: int = OWN_SYMBOLS, table: int = TABLE) -> Words:
@@ -201,36 +206,80 @@ def learn_words(counts: DataFrame, own: int = OWN_SYMBOLS, table: int = TABLE) -
     return Words(known, int(totals["texts"] or 0), int(totals["n"] or 0), int(totals["v"]), frequency, np.maximum(mass, 0) + ADDED)
 
 
+class _Seen(dict):
+    """Numbers of the words a task has met, with the symbol, count (-1: not in the table) and log count of each."""
+
+    def __init__(self, table: dict[bytes, tuple[int, int]], own: int):
+        super().__init__()
+        self.table, self.own = table, own
+        self.words: list[bytes] = []
+        self.symbol, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self.words)
+        self.words.append(word)
+        return at
+
+    def look_up(self) -> None:
+        """Symbols and counts of the words met since the last time."""
+        new = [self.table.get(w) or (shared_symbol(w, self.own), -1) for w in self.words[len(self.symbol) :]]
+        more = np.array(new, np.int64).reshape(-1, 2)
+        self.symbol, self.count = np.concatenate([self.symbol, more[:, 0]]), np.concatenate([self.count, more[:, 1]])
+
+
+def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``PART`` bytes of text each."""
+    ends = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, "right")))
+        yield b.slice(at, to - at)
+        at = to
+
+
+def _binary(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Stretches of ``flat``, up to each of ``ends``, as binary values."""
+    offsets = np.concatenate([[0], ends * flat.itemsize])
+    kind, place = (pa.binary(), np.int32) if offsets[-1] < 2**31 else (pa.large_binary(), np.int64)
+    return pa.Array.from_buffers(kind, len(ends), [None, pa.py_buffer(offsets.astype(place).tobytes()), pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+
+
 def encode(docs: DataFrame, words: Words, own: int = OWN_SYMBOLS) -> DataFrame:
     """Per row of ``key``, ``doc_id``, ``text``: its symbols, what the table says of its words, and its other words with counts."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
-
     kind = _kind(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
-        table = words.table
-        symbol = Bounded(lambda w: table[w][0] if w in table else shared_symbol(w, own))
         end = float(np.log10(words.texts + ADDED))
         # Only symbols of several words have shares.
         of_symbol = np.log10(words.share)
         of_symbol[: 1 + own] = 0
-        for b in batches:
-            out: list[tuple] = []
-            for text in b.column("text").to_pylist():
-                found = words_of(text)
-                ids = np.fromiter(map(symbol.__getitem__, found), np.int64, len(found))
-                seen = Counter(found)
-                other = {w: n for w, n in seen.items() if w not in table}
-                known = [(*table[w], n) for w, n in seen.items() if w in table]
-                of, count, n = np.array(known, np.int64).reshape(-1, 3).T
-                logs = n * np.log10(count + ADDED)
-                share = logs[of > own].sum() - of_symbol[ids].sum()
-                out.append((np.append(ids, END).astype(kind).tobytes(), len(found) + 1, int(n.sum()) + (words.texts > 0), float(logs.sum()) + end, float(share), [w.decode() for w in other], list(other.values())))
-            columns = list(zip(*out, strict=True)) or [()] * len(types)
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
-
-    types = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+        seen = _Seen(words.table, own)
+        for b in (part for whole in batches for part in _parts(whole)):
+            found = [words_of(t) for t in b.column("text").to_pylist()]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter(map(seen.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
+            seen.look_up()
+            text, symbol, count = np.repeat(np.arange(len(found)), sizes), seen.symbol[ids], seen.count[ids]
+            known = count >= 0
+            logs = np.where(known, np.log10(np.maximum(count, 0) + ADDED), 0.0)
+            share = np.where(symbol > own, logs, 0.0) - of_symbol[symbol]
+            per_text = lambda values: np.bincount(text, values, len(found))  # noqa: B023, E731
+            symbols = np.insert(symbol, np.cumsum(sizes), END).astype(kind)
+            # Words the table lacks, once per text.
+            pairs, times = np.unique(text[~known] * len(seen.words) + ids[~known], return_counts=True)
+            of_text, word = np.divmod(pairs, max(1, len(seen.words)))
+            cuts = np.searchsorted(of_text, np.arange(len(found) + 1)).astype(np.int32)
+            others = pa.array([seen.words[i] for i in word.tolist()], pa.binary()).cast(pa.string())
+            columns = [
+                b.column("key"), b.column("doc_id"), _binary(symbols, np.cumsum(sizes + 1)), pa.array(sizes + 1), pa.array(per_text(known).astype(np.int64) + (words.texts > 0)),
+                pa.array(per_text(logs) + end), pa.array(per_text(share)), pa.ListArray.from_arrays(cuts, others), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int64))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            if len(seen.words) > SEEN:
+                seen = _Seen(words.table, own)
+
     names = ["key", "doc_id", "symbols", "n_tokens", "n_known", "table_log", "share_log", "others", "other_counts"]
     return map_arrow(docs, run, "key long, doc_id long, symbols binary, n_tokens long, n_known long, table_log double, share_log double, others array<string>, other_counts array<long>")
 
@@ -243,28 +292,28 @@ def _sequences(column: pa.Array, own: int) -> list[np.ndarray]:
     return [np.frombuffer(s.as_buffer(), _kind(own)).astype(np.int64) for s in column]
 
 
-def _batched(sequences: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+def _batched(sequences: Iterator[np.ndarray], most: int) -> Iterator[list[np.ndarray]]:
     held, size = [], 0
     for s in sequences:
         held.append(s)
         size += len(s)
-        if size >= BATCH:
+        if size >= most:
             yield held
             held, size = [], 0
     if held:
         yield held
 
 
-def baum_welch(rows: DataFrame, chain: Chain, frequency: np.ndarray, own: int = OWN_SYMBOLS) -> tuple[Chain, float]:
+def baum_welch(rows: DataFrame, model: Chain, frequency: np.ndarray, own: int = OWN_SYMBOLS) -> tuple[Chain, float]:
     """One round over the training rows (``doc_id``, ``symbols``): the next chain, and the log probability under this one.
 
     Each task adds up expected counts of its own rows; sums per symbol come back, one row per symbol.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(chain)
-    states, size = len(chain.start), len(frequency)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    states, size = len(model.start), len(frequency)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain = shared.value
+        model = shared.value
         start, step, symbols, total = np.zeros(states), np.zeros((states, states)), np.zeros((size, states)), 0.0
 
         def cut() -> Iterator[np.ndarray]:
@@ -273,8 +322,8 @@ def baum_welch(rows: DataFrame, chain: Chain, frequency: np.ndarray, own: int =
                     if not held_out(i):
                         yield from (s[a : a + SEQUENCE] for a in range(0, len(s), SEQUENCE))
 
-        for part in _batched(cut()):
-            one, two, three, log = expected_counts(chain, part)
+        for part in _batched(cut(), TRAIN_BATCH):
+            one, two, three, log = expected_counts(model, part)
             start, step, symbols, total = start + one, step + two, symbols + three, total + log
         # Rows: symbols, then first states, then steps by state left, then the log probability.
         at = np.flatnonzero(symbols.any(axis=1))
@@ -301,18 +350,18 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, own: int
     counts = materialise(training_counts(read))
     words = learn_words(counts, own, table)
     rows = materialise(encode(read.withColumn("key", F.monotonically_increasing_id()), words, own))
-    chain = first_guess(words.frequency, states)
+    model = first_guess(words.frequency, states)
     for _ in range(rounds if words.tokens else 0):
-        chain, _ = baum_welch(rows, chain, words.frequency, own)
-    return _scored(rows, counts, words, chain, own)
+        model, _ = baum_welch(rows, model, words.frequency, own)
+    return _scored(rows, counts, words, model, own)
 
 
-def _scored(rows: DataFrame, counts: DataFrame, words: Words, chain: Chain, own: int) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(chain)
+def _scored(rows: DataFrame, counts: DataFrame, words: Words, model: Chain, own: int) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            logs = [log_likelihood(shared.value, part) for part in _batched(iter(_sequences(b.column("symbols"), own)))]
+            logs = [log_likelihood(shared.value, part) for part in _batched(iter(_sequences(b.column("symbols"), own)), BATCH)]
             keep = [b.column(c) for c in ("key", "doc_id", "n_tokens", "n_known", "table_log", "share_log")]
             out = pa.array([held_out(i) for i in b.column("doc_id").to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays([*keep, out, pa.array(np.concatenate([*logs, np.zeros(0)]) / np.log(10))], names=["key", "doc_id", "n_tokens", "n_known", "table_log", "share_log", "held_out", "chain_log"])

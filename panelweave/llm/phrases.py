@@ -12,7 +12,6 @@ size says where that may be so, and its false alarms only cost counting.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -223,14 +222,11 @@ def _langs_and_texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame
 def language_words(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """``grp`` (the language), ``word``, ``n`` over all texts."""
 
-    def counts_of(b: pa.RecordBatch):
+    def words_of(b: pa.RecordBatch):
         for lang, text in zip(b.column("grp").to_pylist(), b.column("text").to_pylist(), strict=True):
-            own = Counter(tokens(text))
-            own.pop(b"", None)
-            own.pop(b"\n", None)
-            yield lang, len(text), own.items()
+            yield lang, len(text), tokens(text)
 
-    return word_counts(_langs_and_texts(docs, lang_col, text_col), counts_of)
+    return word_counts(_langs_and_texts(docs, lang_col, text_col), words_of, skip=(b"", b"\n"))
 
 
 def numbered(words: DataFrame) -> DataFrame:

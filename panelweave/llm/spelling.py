@@ -41,28 +41,32 @@ SCAN_ROWS, SCAN_BYTES = 40_000, 32 << 20
 BLOCK = 4096
 
 
-def runs(doc_id: int | None, text: str) -> Iterator[tuple[str, int]]:
+def runs(doc_id: int | None, text: str) -> Counter:
     """Runs of letters of a text in lower case with their counts; some lose one code point, by a hash of id and run."""
     seed = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+    found: Counter = Counter()
     for run, n in Counter(RUN.findall(text.encode().lower().decode())).items():
         if len(run) >= MIN_LENGTH:
-            h = zlib.crc32(run.encode(), seed)
+            word = run.encode()
+            h = zlib.crc32(word, seed)
             if h % DROP_EVERY == 0:
                 at = h % len(run)
                 run = run[:at] + run[at + 1 :]
                 if len(run) < MIN_LENGTH:
                     continue
-            yield run, n
+                word = run.encode()
+            found[word] += n
+    return found
 
 
 def vocabulary(docs: DataFrame, min_count: int = MIN_COUNT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``word``, ``n``: words of at least 5 code points that occur at least ``min_count`` times in all texts together."""
 
-    def counts_of(b: pa.RecordBatch):
+    def words_of(b: pa.RecordBatch):
         for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            yield "", len(text), ((w.encode(), n) for w, n in runs(i, text))
+            yield "", len(text), runs(i, text)
 
-    return word_counts(id_and_text(docs, id_col, text_col), counts_of).filter(F.col("n") >= min_count).select("word", "n")
+    return word_counts(id_and_text(docs, id_col, text_col), words_of).filter(F.col("n") >= min_count).select("word", "n")
 
 
 def _keyed(words: DataFrame) -> DataFrame:
