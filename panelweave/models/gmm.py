@@ -21,11 +21,14 @@ from pyspark.sql import DataFrame
 from ..functions import distributions as dist
 from ..operators.panel import Panel
 from ..session import materialise
+from .gmm_blocks import BlockSystem, Layout
 from .linear import Fit
 from .moments import gram, group, number
 from .panel_models import INDIVIDUAL, TWOWAYS, check_effect, periods_of
 
 Term = str | tuple[str, int]
+#: Instruments up to which rows have a column for each.
+DENSE_COLUMNS = 300
 
 
 def _term(t: Term) -> tuple[str, int]:
@@ -102,11 +105,11 @@ def _build(
     effect: str,
     full: bool,
     ar_orders: Sequence[int],
-) -> _System:
+    times: list[int],
+    blocks: bool = False,
+) -> _System | BlockSystem:
     a, b = gmm_lags
-    times = periods_of(panel)
-    first, last = min(times), max(times)
-    b = min(b, last - first)
+    first = times[0]
     keys = [f"`{c}`" for c in (*panel.entity, panel.time)]
     t = f"`{panel.time}`"
     s = _System(panel.df, panel, [], [], [], system)
@@ -137,6 +140,18 @@ def _build(
     rows = rows.selectExpr("*", f"{exists([*dcols.values(), *ivd])} AS in_d", f"{exists([*lcols.values(), *ivl])} AS in_l")
 
     # 3. Instruments. Missing lags count as zero.
+    if blocks:
+        dummies = [p for p in times if p >= first + (1 if system else 2)] if effect == TWOWAYS else []
+        layout = Layout(times, (a, b), system, len(ivs), len(reg), dummies)
+        listed = lambda flag, cols: f"CASE WHEN {flag} THEN CAST(array({', '.join(f'coalesce({c}, 0D)' for c in cols)}) AS array<double>) END"
+        out = {"zd": listed("in_d", [v(y, k) for k in range(a, b + 1)]), "od": listed("in_d", ivd), "xd": listed("in_d", dcols.values())}
+        if system:
+            out |= {"zl": listed("in_l", [f"{v(y, a - 1)} - {v(y, a)}"]), "ol": listed("in_l", ivl), "xl": listed("in_l", lcols.values())}
+        ahead = [f"first({c}) {s.over('1 FOLLOWING AND 1 FOLLOWING')} AS next_{c}" for c in ("zd", "od")]
+        rows = rows.selectExpr(*keys, *[f"{c} AS {n}" for n, c in out.items()]).selectExpr("*", *ahead)
+        made = BlockSystem(materialise(rows), panel, layout)
+        made.terms = [*s.terms, *[f"period_{p}" for p in dummies]]
+        return made
     where = lambda c, flag: f"CASE WHEN {flag} THEN coalesce({c}, 0D) ELSE 0D END"
     zd: list[str] = []
     zl: list[str] = []
@@ -245,11 +260,7 @@ def _ar_tests(
     g = gram(per_entity, (["1D", *[f"c_{o}" for o in orders]], right))
     out = []
     for i, o in enumerate(orders):
-        a = g[0, n + i * k : n + (i + 1) * k]
-        zc = g[i + 1, n + n * k :]
-        var = g[i + 1, i] - 2.0 * a @ (gain @ zc) + a @ vcov @ a
-        stat = float(g[0, i] / np.sqrt(var)) if var > 0 else float("nan")
-        out.append((f"ar{o}", stat, float("nan"), dist.normal_two_sided(stat)))
+        out.append(_ar_row(o, g[0, i], g[i + 1, i], g[0, n + i * k : n + (i + 1) * k], g[i + 1, n + n * k :], gain, vcov))
     return out
 
 
@@ -266,6 +277,7 @@ def gmm(
     robust: bool = True,
     first_step: str = "full",
     ar_orders: Sequence[int] = (1, 2),
+    dense_columns: int = DENSE_COLUMNS,
 ) -> GmmFit:
     """Dynamic panel GMM of y on its first calendar lag and ``x``.
 
@@ -276,6 +288,8 @@ def gmm(
     collapse: one instrument per lag instead of one per lag and period.
     robust: Windmeijer's corrected covariance in two steps, the sandwich in one step.
     first_step: weight of the system first step, "full" or "block" (no cross-equation part).
+    dense_columns: instruments up to which each is a column of the rows. With one per lag and period
+        there can be many more; then rows keep the few that are not zero at their period.
     """
     check_effect(effect)
     panel.check()
@@ -288,10 +302,16 @@ def gmm(
     system = transformation == "ld"
     ivs = list(x) if instruments is None else list(instruments)
     full = first_step == "full"
-    s = _build(panel, y, list(x), gmm_lags, ivs, system, collapse, effect, full, ar_orders)
-    zx, zy, nobs = _cross(s)
+    times = periods_of(panel)
+    gmm_lags = (gmm_lags[0], min(gmm_lags[1], times[-1] - times[0]))
+    wide = len(ivs) + len(times) * (system + (effect == TWOWAYS) + (0 if collapse else gmm_lags[1] - gmm_lags[0] + 1))
+    # Instruments per lag and period are blocks by nature; collapsed ones fill their columns.
+    blocks = not collapse and wide > dense_columns
+    s = _build(panel, y, list(x), gmm_lags, ivs, system, collapse, effect, full, ar_orders, times, blocks)
+    m: _Dense | _Blocks = _Blocks(s, full) if blocks else _Dense(s, full)
+    zx, zy, nobs, first_weight = m.first_stage()
     used = np.abs(zx).sum(axis=1) + np.abs(zy) > 0
-    w1, _ = _pinv(_first_weight(s, full))
+    w1, _ = _pinv(first_weight)
 
     def estimate(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         bread, _ = _pinv(zx.T @ weight @ zx)
@@ -299,38 +319,27 @@ def gmm(
         return gain @ zy, bread, gain
 
     b1, bread1, gain1 = estimate(w1)
-    k, l = len(s.terms), len(s.zd)
+    k = len(s.terms)
     windmeijer = steps == 2 and robust
-    entities = _scores(s, s.rows, b1, with_x=windmeijer)
-    u = [f"u_{j}" for j in range(l)]
-    right = u + ([f"x_{i}_{j}" for i in range(k) for j in range(l)] if windmeijer else [])
-    g = gram(entities, ([*u, "1D"], [*right, "CAST(n_eq > 0 AS DOUBLE)"]))
-    n_entities = int(round(g[-1, -1]))
-    g = g[:-1, :-1]
-    omega = g[:, :l]
+    omega, n_entities = m.score_gram(b1, windmeijer)
     v1 = gain1 @ omega @ gain1.T
     w2, rank = _pinv(omega)
     if steps == 1:
         beta, gain = b1, gain1
-        classical = v1 if robust else bread1 * _one_step_variance(s, b1, nobs, k)
+        classical = v1 if robust else bread1 * m.one_step_variance(b1, nobs, k)
         vcov = classical
     else:
         beta, classical, gain = estimate(w2)
         vcov = classical
         if robust:
-            moment = zy - zx @ beta
-            d = np.zeros((k, k))
-            for i in range(k):
-                cross = g[:, l * (i + 1) : l * (i + 2)]
-                slope = -(cross + cross.T)
-                d[:, i] = -(gain @ slope @ w2 @ moment)
+            d = gain @ m.slopes_times(b1, w2 @ (zy - zx @ beta))
             vcov = classical + d @ classical + classical @ d.T + d @ v1 @ d.T
     moment = zy - zx @ beta
     fit = Fit(f"gmm_{transformation}_{steps}step", y, s.terms, beta, vcov, nobs, nobs - k, float("nan"), float("nan"), normal=True, intercept=False)
     out = GmmFit(fit, b1, v1, classical, n_entities, int(used.sum()), rank)
     j, over = float(moment @ w2 @ moment), int(used.sum()) - k
     out.tests.append(("sargan", j, float(over), dist.chi2_upper(j, over)))
-    out.tests += _ar_tests(s, ar_orders, beta, gain, vcov)
+    out.tests += m.ar_tests(ar_orders, beta, gain, vcov)
     # The lag and the regressors come first; a regressor may bear any name.
     slopes = list(range(1 + len(x)))
     periods = [i for i in range(k) if i not in slopes]
@@ -342,6 +351,68 @@ def gmm(
     return out
 
 
+def _ar_row(order: int, total: float, squares: float, a: np.ndarray, zc: np.ndarray, gain: np.ndarray, vcov: np.ndarray) -> tuple[str, float, float, float]:
+    var = squares - 2.0 * a @ (gain @ zc) + a @ vcov @ a
+    stat = float(total / np.sqrt(var)) if var > 0 else float("nan")
+    return f"ar{order}", stat, float("nan"), dist.normal_two_sided(stat)
+
+
+class _Dense:
+    """Moments of a system whose instruments are columns."""
+
+    def __init__(self, s: _System, full: bool):
+        self.s, self.full = s, full
+
+    def first_stage(self) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+        return *_cross(self.s), _first_weight(self.s, self.full)
+
+    def score_gram(self, beta: np.ndarray, with_x: bool) -> tuple[np.ndarray, int]:
+        """Products of entity scores and the number of entities; with ``with_x`` also those with the regressors' scores."""
+        k, l = len(self.s.terms), len(self.s.zd)
+        entities = _scores(self.s, self.s.rows, beta, with_x=with_x)
+        u = [f"u_{j}" for j in range(l)]
+        right = u + ([f"x_{i}_{j}" for i in range(k) for j in range(l)] if with_x else [])
+        g = gram(entities, ([*u, "1D"], [*right, "CAST(n_eq > 0 AS DOUBLE)"]))
+        self.g = g[:-1, :-1]
+        return self.g[:, :l], int(round(g[-1, -1]))
+
+    def slopes_times(self, beta: np.ndarray, v: np.ndarray) -> np.ndarray:
+        l = len(self.s.zd)
+        parts = [self.g[:, l * (i + 1) : l * (i + 2)] for i in range(len(self.s.terms))]
+        return np.stack([(p + p.T) @ v for p in parts], axis=1)
+
+    def one_step_variance(self, beta: np.ndarray, nobs: int, k: int) -> float:
+        return _one_step_variance(self.s, beta, nobs, k)
+
+    def ar_tests(self, orders, beta, gain, vcov):
+        return _ar_tests(self.s, orders, beta, gain, vcov)
+
+
+class _Blocks:
+    """The same moments where rows keep only the instruments of their period."""
+
+    def __init__(self, s: BlockSystem, full: bool):
+        self.s, self.full = s, full
+
+    def first_stage(self) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+        return self.s.first_stage(self.full)
+
+    def score_gram(self, beta: np.ndarray, with_x: bool) -> tuple[np.ndarray, int]:
+        omega, n, self.squares = self.s.score_gram(beta)
+        return omega, n
+
+    def slopes_times(self, beta: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return self.s.slopes_times(beta, v)
+
+    def one_step_variance(self, beta: np.ndarray, nobs: int, k: int) -> float:
+        return (self.squares[0] / 2.0 + self.squares[1]) / max(nobs - k, 1)
+
+    def ar_tests(self, orders, beta, gain, vcov):
+        if not orders:
+            return []
+        return [_ar_row(o, *row, gain, vcov) for o, row in zip(orders, self.s.serial(orders, beta))]
+
+
 def _one_step_variance(s: _System, beta: np.ndarray, nobs: int, k: int) -> float:
     """Error variance for the classical one-step covariance; differenced errors carry it twice."""
     squares = [f"sum(power({_residual(y, x, beta)}, 2))" for _, y, x in s.equations()]
