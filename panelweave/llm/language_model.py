@@ -13,7 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,8 @@ TABLE, TABLE_BYTES = 1 << 17, 64
 SEQUENCE = 256
 #: Symbols that a task takes through a recursion at once, when training and when scoring.
 TRAIN_BATCH, BATCH = 3 << 16, 1 << 20
-#: Bytes of text that a task cuts into words at once, and words it keeps the numbers of.
-PART, SEEN = 4 << 20, 1 << 20
+#: Bytes of text that a task cuts into words at once.
+PART = 4 << 20
 END = 0
 
 
@@ -175,7 +175,8 @@ def training_counts(docs: DataFrame) -> DataFrame:
     def training(b: pa.RecordBatch):
         for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             if not held_out(i):
-                yield "", len(text), [*words_of(text), b""]
+                yield "", len(text), words_of(text)
+                yield "", 0, {b"": 1}
 
     return word_counts(docs, training).select("word", "n")
 
@@ -206,27 +207,6 @@ def learn_words(counts: DataFrame, own: int = OWN_SYMBOLS, table: int = TABLE) -
     return Words(known, int(totals["texts"] or 0), int(totals["n"] or 0), int(totals["v"]), frequency, np.maximum(mass, 0) + ADDED)
 
 
-class _Seen(dict):
-    """Numbers of the words a task has met, with the symbol, count (-1: not in the table) and log count of each."""
-
-    def __init__(self, table: dict[bytes, tuple[int, int]], own: int):
-        super().__init__()
-        self.table, self.own = table, own
-        self.words: list[bytes] = []
-        self.symbol, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self.words)
-        self.words.append(word)
-        return at
-
-    def look_up(self) -> None:
-        """Symbols and counts of the words met since the last time."""
-        new = [self.table.get(w) or (shared_symbol(w, self.own), -1) for w in self.words[len(self.symbol) :]]
-        more = np.array(new, np.int64).reshape(-1, 2)
-        self.symbol, self.count = np.concatenate([self.symbol, more[:, 0]]), np.concatenate([self.count, more[:, 1]])
-
-
 def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``PART`` bytes of text each."""
     ends = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -255,30 +235,34 @@ def encode(docs: DataFrame, words: Words, own: int = OWN_SYMBOLS) -> DataFrame:
         # Only symbols of several words have shares.
         of_symbol = np.log10(words.share)
         of_symbol[: 1 + own] = 0
-        seen = _Seen(words.table, own)
+        number = {w: i for i, w in enumerate(words.table)}
+        symbol_of, count_of = np.array([*words.table.values(), (0, 0)], np.int64).T
+        log_of = np.log10(count_of + ADDED)
         for b in (part for whole in batches for part in _parts(whole)):
             found = [words_of(t) for t in b.column("text").to_pylist()]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter(map(seen.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
-            seen.look_up()
-            text, symbol, count = np.repeat(np.arange(len(found)), sizes), seen.symbol[ids], seen.count[ids]
-            known = count >= 0
-            logs = np.where(known, np.log10(np.maximum(count, 0) + ADDED), 0.0)
+            flat = list(chain.from_iterable(found))
+            ids = np.fromiter(map(number.get, flat, repeat(-1)), np.int64, len(flat))
+            text, symbol, known, logs = np.repeat(np.arange(len(found)), sizes), symbol_of[ids], ids >= 0, log_of[ids]
+            # Words the table lacks, numbered within the part.
+            missing = np.flatnonzero(~known)
+            others: dict[bytes, int] = {}
+            other = np.fromiter((others.setdefault(flat[i], len(others)) for i in missing.tolist()), np.int64, len(missing))
+            logs[missing] = 0
+            symbol[missing] = np.fromiter((shared_symbol(w, own) for w in others), np.int64, len(others))[other]
             share = np.where(symbol > own, logs, 0.0) - of_symbol[symbol]
             per_text = lambda values: np.bincount(text, values, len(found))  # noqa: B023, E731
             symbols = np.insert(symbol, np.cumsum(sizes), END).astype(kind)
-            # Words the table lacks, once per text.
-            pairs, times = np.unique(text[~known] * len(seen.words) + ids[~known], return_counts=True)
-            of_text, word = np.divmod(pairs, max(1, len(seen.words)))
+            # Once per text, with their counts there.
+            pairs, times = np.unique(text[missing] * max(1, len(others)) + other, return_counts=True)
+            of_text, word = np.divmod(pairs, max(1, len(others)))
             cuts = np.searchsorted(of_text, np.arange(len(found) + 1)).astype(np.int32)
-            others = pa.array([seen.words[i] for i in word.tolist()], pa.binary()).cast(pa.string())
+            spelled = pa.array(list(others), pa.binary()).cast(pa.string()).take(pa.array(word))
             columns = [
                 b.column("key"), b.column("doc_id"), _binary(symbols, np.cumsum(sizes + 1)), pa.array(sizes + 1), pa.array(per_text(known).astype(np.int64) + (words.texts > 0)),
-                pa.array(per_text(logs) + end), pa.array(per_text(share)), pa.ListArray.from_arrays(cuts, others), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int64))),
+                pa.array(per_text(logs) + end), pa.array(per_text(share)), pa.ListArray.from_arrays(cuts, spelled), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int64))),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
-            if len(seen.words) > SEEN:
-                seen = _Seen(words.table, own)
 
     names = ["key", "doc_id", "symbols", "n_tokens", "n_known", "table_log", "share_log", "others", "other_counts"]
     return map_arrow(docs, run, "key long, doc_id long, symbols binary, n_tokens long, n_known long, table_log double, share_log double, others array<string>, other_counts array<long>")
