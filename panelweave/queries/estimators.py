@@ -8,6 +8,7 @@ from ..plans import samples
 from ..plans.regional_panel import SECTOR, YEAR, ZONE
 from ..plans.trade_panel import MEMBER, Tables, member_panel, trade_zone_panel
 from ..session import materialise
+from .gmm_sql import RESULT as GMM_RESULT, gmm_ctes
 from .registry import MEMBERS, ols2_sql, query, rounded, zones_sql
 
 Y, X1, X2 = "LABOR_SHARE", "HHI_labor", "unempl_rate"
@@ -291,28 +292,28 @@ def gmm_diff_twostep(t: Tables):
     return coefficients(t, ab(t, 2, robust=False).fit)
 
 
-@query()
+@query(f"WITH RECURSIVE {MEMBERS}, {gmm_ctes(Y, [X1, X2], (2, 3), [X2, Z1, Z2], collapse=False)} {GMM_RESULT}")
 def gmm_diff_block(t: Tables):
     """Two steps, one instrument per period and lag, external instruments in place of a regressor."""
     p = customers(t, Y, X1, X2, Z1, Z2)
     return coefficients(t, gm.gmm(p, Y, [X1, X2], (2, 3), [X2, Z1, Z2], steps=2, collapse=False).fit)
 
 
-@query()
+@query(f"WITH RECURSIVE {MEMBERS}, {gmm_ctes(X1, [Z1, Z2], (3, 4))} {GMM_RESULT}")
 def gmm_concentration(t: Tables):
     """Two-step equation for concentration with lags 3 to 4, collapsed."""
     p = customers(t, X1, Z1, Z2)
     return coefficients(t, gm.gmm(p, X1, [Z1, Z2], (3, 4), steps=2).fit)
 
 
-@query()
+@query(f"WITH RECURSIVE {MEMBERS}, {gmm_ctes(Y, [(X1, 1), (X2, 1)], (3, 20), system=True)} {GMM_RESULT}")
 def gmm_system(t: Tables):
     """Two-step system GMM with lagged regressors, collapsed instruments from lag 3."""
     p = customers(t, Y, X1, X2)
     return coefficients(t, gm.gmm(p, Y, [(X1, 1), (X2, 1)], (3, 20), transformation="ld", steps=2).fit)
 
 
-@query()
+@query(f"WITH RECURSIVE {MEMBERS}, {gmm_ctes(X1, [], (2, 11), system=True, steps=1, collapse=False, twoways=True)} {GMM_RESULT}")
 def gmm_persistence(t: Tables):
     """One-step system GMM with period effects, one instrument per period and lag."""
     p = customers(t, X1)

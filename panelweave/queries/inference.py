@@ -10,6 +10,7 @@ from ..plans.trade_panel import MEMBER, Tables, member_panel
 from .estimators import (
     GMM_SQL, RANDOM_SQL, RESULT, X1, X2, Y, Z1, Z2, _CAL1, ab, calendar_differences, coefficients, customers, demeaned, iv_sql,
 )
+from .gmm_sql import gmm_ctes, test_rows
 from .registry import MEMBERS, ols2_sql, query, rounded
 
 STAT = "statistic string, value double"
@@ -138,12 +139,12 @@ def gmm_windmeijer(t: Tables):
     return coefficients(t, ab(t, 2).fit)
 
 
-@query()
+@query(f"WITH RECURSIVE {MEMBERS}, {gmm_ctes(Y, [X1, X2], (2, 4), system=True)}, {test_rows(3)}")
 def gmm_summary(t: Tables):
     """All tests of a two-step system fit."""
     p = customers(t, Y, X1, X2)
     fit = gm.gmm(p, Y, [X1, X2], (2, 4), transformation="ld", steps=2)
-    return rounded(fit.tests_frame(t.spark))
+    return rounded(fit.tests_frame(t.spark), 6, statistic=3)
 
 
 @query(
