@@ -185,13 +185,6 @@ def adf_by_entity(t: Tables):
     return rounded(out.select(MEMBER, "nobs", "adf"), 4)
 
 
-@query()
-def unit_root_fisher(t: Tables):
-    """Maddala-Wu panel unit-root test with lag orders up to four."""
-    out = diagnostics.unit_root_fisher(Panel(member_panel(t), MEMBER, YEAR), Y)
-    return statistics(t, out.items(), 4)
-
-
 def _table_sql() -> str:
     parts = []
     for name, ctes in (

@@ -164,21 +164,52 @@ def _surface(c: Sequence[float]) -> str:
     return " + ".join(f"({v!r}) * s" + "*s" * (i - 1) if i else f"({v!r})" for i, v in enumerate(c))
 
 
-#: Normal tail by Simpson's rule from |z| on; its logarithm keeps its digits far out.
-_FISHER = f"""l AS (SELECT cust, {Y} - lag({Y}) OVER c AS dy, lag({Y}) OVER c AS y1 FROM mp WINDOW c AS (PARTITION BY cust ORDER BY year)),
+_DICKEY = f"""l AS (SELECT cust, {Y} - lag({Y}) OVER c AS dy, lag({Y}) OVER c AS y1 FROM mp WINDOW c AS (PARTITION BY cust ORDER BY year)),
   s AS (SELECT cust, count(*) AS n, regr_sxx(dy, y1) AS sxx, regr_sxy(dy, y1) AS sxy, regr_syy(dy, y1) AS syy FROM l WHERE dy IS NOT NULL GROUP BY 1 HAVING count(*) > 2),
-  r AS (SELECT cust, sxy/sxx / sqrt((syy - sxy*sxy/sxx)/(n - 2)/sxx) AS t FROM s WHERE sxx > 0 AND syy - sxy*sxy/sxx > 1e-12*syy),
-  z AS (SELECT cust, t, CASE WHEN s <= {ADF_SWITCH} THEN {_surface(ADF_LOWER)} ELSE {_surface(ADF_UPPER)} END AS z
+  r AS (SELECT cust, sxy/sxx / sqrt((syy - sxy*sxy/sxx)/(n - 2)/sxx) AS t FROM s WHERE sxx > 0 AND syy - sxy*sxy/sxx > 1e-12*syy)"""
+
+
+def _chosen_lags(orders: Sequence[int]) -> str:
+    """CTE r: the statistic of the lag order with the least Schwarz criterion per observation."""
+    lags = ", ".join(f"lag(dy, {k}) OVER c AS d{k}" for k in range(1, max(orders) + 1))
+    out = [
+        f"l0 AS (SELECT cust, year, {Y} - lag({Y}) OVER c AS dy, lag({Y}) OVER c AS y1 FROM mp WINDOW c AS (PARTITION BY cust ORDER BY year))",
+        f"l AS (SELECT *, {lags} FROM l0 WINDOW c AS (PARTITION BY cust ORDER BY year))",
+    ]
+    parts = []
+    for p in orders:
+        cols = ["dy", "y1", *[f"d{k}" for k in range(1, p + 1)]]
+        size = len(cols)
+        cells = ", ".join(f"regr_sxy({cols[j]}, {cols[i]}) AS {_at(i, j)}" for i in range(size) for j in range(i, size))
+        solid = " AND ".join(f"{_at(i, i)} > 0" for i in range(1, size))
+        apart = f" AND 1 - {_at(1, 2)} * {_at(1, 2)} / ({_at(1, 1)} * {_at(2, 2)}) > 1e-10" if p == 1 else ""
+        out.append(f"c{p} AS (SELECT cust, count(*)::DOUBLE AS n, {cells}, regr_sxy(dy, dy) AS tss FROM l WHERE {cols[-1] if p else 'dy'} IS NOT NULL GROUP BY cust HAVING count(*) > {p + 2})")
+        out.append(f"e{p} AS (SELECT * FROM c{p} WHERE {solid}{apart})")
+        out.append(sweep(f"e{p}", size, range(1, size), f"o{p}"))
+        parts.append(
+            f"SELECT cust, {p} AS lags, (n * ln(a_0_0 / n) + {p + 2} * ln(n)) / n AS sic, a_0_1 / sqrt(a_0_0 / (n - {p + 2}) * -a_1_1) AS t FROM o{p} WHERE a_0_0 > 1e-12 * tss"
+        )
+    out.append("every AS (" + " UNION ALL ".join(parts) + ")")
+    out.append("r AS (SELECT cust, t FROM every QUALIFY row_number() OVER (PARTITION BY cust ORDER BY sic, lags) = 1)")
+    return ", ".join(out)
+
+
+#: Normal tail by Simpson's rule from |z| on; its logarithm keeps its digits far out.
+_FISHER = f"""z AS (SELECT cust, t, CASE WHEN s <= {ADF_SWITCH} THEN {_surface(ADF_LOWER)} ELSE {_surface(ADF_UPPER)} END AS z
     FROM (SELECT *, greatest(t, {ADF_MIN}) AS s FROM r)),
   tails AS (SELECT cust, t, z, sum((CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
       * exp(-0.5 * power(abs(z) + i * 0.005, 2))) * 0.005 / 3 / sqrt(2 * pi()) AS tail
     FROM z CROSS JOIN range(0, 2001) g(i) GROUP BY 1, 2, 3),
   p AS (SELECT t, CASE WHEN t > {ADF_MAX} THEN 1.0 WHEN z < 0 THEN tail ELSE 1 - tail END AS p FROM tails),
-  f AS (SELECT sum(-2 * ln(p)) AS statistic, count(*) AS n, count(*) FILTER (WHERE t < {ADF_MIN}) AS beyond FROM p)"""
+  f AS (SELECT sum(-2 * ln(p)) AS statistic, count(*) AS n, count(*) FILTER (WHERE t < {ADF_MIN}) AS beyond FROM p),
+  -- Upper tail of chi-square in the square root of the variable, where the density is smooth.
+  g AS (SELECT any_value(h) / 3 * sum(CASE WHEN i = 0 OR i = 8000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+      * exp((2 * n - 1) * ln(x + i * h) - (x + i * h) * (x + i * h) / 2 - lgamma(n) - (n - 1) * ln(2))) AS p_value
+    FROM (SELECT n::DOUBLE AS n, sqrt(statistic) AS x, (greatest(sqrt(statistic), sqrt(2 * n)) + 8 - sqrt(statistic)) / 8000 AS h FROM f) CROSS JOIN range(0, 8001) q(i))"""
 
 
 @query(
-    f"""WITH {MEMBERS}, {_FISHER}
+    f"""WITH {MEMBERS}, {_DICKEY}, {_FISHER}
       SELECT u.statistic, round(u.value, 4) AS value FROM f CROSS JOIN LATERAL (VALUES ('statistic', f.statistic), ('df', 2.0 * n),
         ('entities', CAST(n AS DOUBLE)), ('beyond_surface', CAST(beyond AS DOUBLE)),
         ('not_identified', CAST((SELECT count(DISTINCT cust) FROM mp) - n AS DOUBLE))) u(statistic, value)"""
@@ -187,3 +218,15 @@ def unit_root_fisher_dickey(t: Tables):
     """Panel unit-root test without lagged differences."""
     out = diagnostics.unit_root_fisher(Panel(member_panel(t), MEMBER, YEAR), Y, pmax=0)
     return statistics(t, [(k, float(v)) for k, v in out.items() if k != "p_value"], 4)
+
+
+@query(
+    f"""WITH {MEMBERS}, {_chosen_lags((0, 1, 2))}, {_FISHER}
+      SELECT u.statistic, round(u.value, 4) AS value FROM f CROSS JOIN g CROSS JOIN LATERAL (VALUES ('statistic', f.statistic), ('df', 2.0 * n), ('p_value', p_value),
+        ('entities', CAST(n AS DOUBLE)), ('beyond_surface', CAST(beyond AS DOUBLE)),
+        ('not_identified', CAST((SELECT count(DISTINCT cust) FROM mp) - n AS DOUBLE))) u(statistic, value)"""
+)
+def unit_root_fisher(t: Tables):
+    """Maddala-Wu panel unit-root test with lag orders up to four; seven periods identify orders up to one."""
+    out = diagnostics.unit_root_fisher(Panel(member_panel(t), MEMBER, YEAR), Y)
+    return statistics(t, out.items(), 4)
