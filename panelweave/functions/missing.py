@@ -94,7 +94,7 @@ def drop_infinite(df: DataFrame, columns: Iterable[str] | None = None) -> DataFr
 
 def complete_cases(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Keep rows without NULL or NaN in the columns."""
-    return df.dropna(how="any", subset=list(columns) if columns is not None else None)
+    return df.dropna(how="any", subset=[f"`{c}`" for c in (columns if columns is not None else df.columns)])
 
 
 def finite_cases(df: DataFrame, columns: Iterable[str]) -> DataFrame:

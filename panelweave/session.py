@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -60,6 +61,13 @@ def _checkpoint_ready(spark: SparkSession) -> bool:
     return False
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, beside the checkpoints."""
+    if not _checkpoint_ready(spark):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once so that several passes over it do not repeat the work behind it.
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import csv
 import re
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from fnmatch import fnmatchcase
 from functools import reduce
 from urllib.parse import quote
 
@@ -35,7 +36,11 @@ def header_of(spark: SparkSession, path: str, skip: int = 0, sep: str = ",") ->
     The line is parsed as CSV, so a quoted name may hold the separator; empty names become X1, X2, ...
     """
     lines = spark.read.text(path).take(skip + 1)
-    names = [p.strip() for p in next(csv.reader([lines[skip]["value"]], delimiter=sep, skipinitialspace=True), [])]
+    return _names(lines[skip]["value"], sep)
+
+
+def _names(line: str, sep: str) -> list[str]:
+    names = [p.strip() for p in next(csv.reader([line], delimiter=sep, skipinitialspace=True), [])]
     return [n if n else f"X{i + 1}" for i, n in enumerate(names)]
 
 
@@ -52,11 +57,30 @@ def read_after_preamble(
     return spark.read.option("sep", sep).schema(schema).csv(path).filter(keep)
 
 
+def headers(spark: SparkSession, paths: Sequence[str], sep: str = ",") -> dict[str, list[str]]:
+    """Column names of many files by path, in one job; files without a line are left out.
+
+    The first record of a file lies in its first block, which one task reads in order, so the aggregate keeps
+    one line per file and nothing else is moved.
+    """
+    lines = spark.read.text(list(paths)).filter("_metadata.file_block_start = 0")
+    first = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.first("value").alias("value")).collect()
+    found = {r["path"]: _names(r["value"], sep) for r in first}
+    # Spark may report a path with one or three slashes after the scheme, and with escapes.
+    plain = {_plain_path(p): names for p, names in found.items()}
+    out = {}
+    for path in paths:
+        names = plain.get(_plain_path(path)) or plain.get(quote(_plain_path(path)))
+        if names is not None:
+            out[path] = names
+    return out
+
+
 def _by_layout(spark: SparkSession, paths: Iterable[str], sep: str) -> Iterator[tuple[list[str], DataFrame]]:
     """One scan, all columns as text, for the files of each distinct header, with their paths."""
     layouts: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        layouts.setdefault(tuple(header_of(spark, path, 0, sep)), []).append(path)
+    for path, names in headers(spark, list(paths), sep).items():
+        layouts.setdefault(tuple(names), []).append(path)
     for names, group in layouts.items():
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
         raw = spark.read.option("header", True).option("sep", sep).option("enforceSchema", True).schema(schema).csv(group)
@@ -72,6 +96,7 @@ def read_matching(spark: SparkSession, folder: str, pattern: str, sep: str = ","
     paths = sorted(r["path"] for r in found)
     if not paths:
         raise FileNotFoundError(f"no file in {folder} matches {pattern}")
+    # Listing, headers, then one scan per layout: the number of jobs does not depend on the number of files.
     return stack(raw.select("*", F.col("_metadata.file_name").alias("source_file")) for _, raw in _by_layout(spark, paths, sep))
 
 
@@ -117,10 +142,12 @@ def read_yearly(
 
     Years go by the full path, so files of one name in different folders stay apart.
     """
+    # Paths as Spark reports them for each row, from one listing; a pattern has the files it matches.
+    listed = [r["path"] for r in spark.read.format("binaryFile").load(list(dict.fromkeys(files.values()))).select("path").collect()]
     years: dict[str, int] = {}
     for year, path in sorted(files.items()):
-        # The path as Spark reports it for each row, which names one file in one folder.
-        seen = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+        pattern = _qualified(spark, path)
+        seen = [p for p in listed if fnmatchcase(_plain_path(p), pattern) or _plain_path(p) == pattern]
         if len(seen) != 1 or seen[0] in years:
             raise ValueError(f"year {year}: {path} must be one file that no other year has")
         years[seen[0]] = year
@@ -138,6 +165,13 @@ def _plain_path(path: str) -> str:
     return re.sub("^file:/+", "/", path)
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme and folder, as a listing has it; no file is looked at."""
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = made.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return _plain_path(system.makeQualified(made).toString())
+
+
 def with_dimension(df: DataFrame, dimension: DataFrame, on: Mapping[str, str], take: Iterable[str]) -> DataFrame:
     """Look up attributes of a code or name in a dimension table; unmatched rows keep NULL."""
     dim = dimension.select(*[F.col(d).alias(f"__{d}") for d in on.values()], *take)

@@ -252,3 +252,25 @@ def test_trend_band(spark):
     at = np.array([-1.0, 0.0, 1.0])
     half = 2.048407 * sigma * np.sqrt(1 / 30 + (at - x.mean()) ** 2 / ((x - x.mean()) ** 2).sum())
     assert np.allclose(got.fit, start + slope * at) and np.allclose(got.upper - got.fit, half, atol=1e-5) and np.allclose(got.fit - got.lower, half, atol=1e-5)
+
+
+def test_headers_of_many_files_take_as_many_jobs_as_those_of_few(spark, tmp_path):
+    def write(folder, n):
+        folder.mkdir()
+        for i in range(n):
+            names, row = ("a,b", f"{i},x") if i % 2 else ("B, A", f"y,{i}")
+            (folder / f"f {i}.csv").write_text(f"{names}\n{row}\n" * 1)
+        (folder / "empty.csv").write_text("")
+
+    jobs = []
+    for n in (20, 600):
+        write(tmp_path / str(n), n)
+        spark.sparkContext.setJobGroup(f"files{n}", "headers")
+        got = readers.read_matching(spark, str(tmp_path / str(n)), "*.csv")
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"files{n}")))
+        assert {c.lower() for c in got.columns} == {"a", "b", "source_file"}
+        assert got.count() == n
+        found = readers.headers(spark, [f"{tmp_path}/{n}/f {i}.csv" for i in range(4)] + [f"{tmp_path}/{n}/empty.csv"])
+        assert [v for _, v in sorted(found.items())] == [["B", "A"], ["a", "b"], ["B", "A"], ["a", "b"]]
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[0] == jobs[1] <= 4
