@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.common import Bounded, batch_of, id_and_text, map_arrow, rows_of
 from panelweave.llm.segments import TokenValues, space_words
+from panelweave.session import materialise
 
 #: Labelled rows to learn from, at most: those with the smallest hashes of their ids.
 MAX_LABELLED = 8192
@@ -312,12 +313,13 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labe
     """Lexicon and coefficients from at most ``max_labelled`` labelled rows that are not held out.
 
     Terms are counted in the tasks; only those with enough rows of label 1 come to the driver. Without both labels the lexicon is empty and every score is
-    the share of label 1 (0 without any rows).
+    the share of label 1 (0 without any rows). An id labelled more than once has its larger label; all documents of an id count.
     """
     chosen = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("double").alias("_y")).filter("_id is not null and _y in (0, 1)")
-    chosen = chosen.filter(~held_out("_id")).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
-    # At most max_labelled ids are broadcast.
+    chosen = chosen.filter(~held_out("_id")).groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
+    # At most max_labelled ids are broadcast; their texts are found once for all passes below.
     rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y")
+    rows = materialise(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [("term", pa.string()), ("one", pa.int64()), ("zero", pa.int64())]

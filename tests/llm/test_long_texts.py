@@ -116,3 +116,14 @@ def test_column_names_with_dots(spark):
     assert id_and_text(docs, carry=["a.b", "c`d"]).select("row.*").columns == ["a.b", "c`d"]
     found = secret_scan.scan(docs, VOCABULARY, PATTERN, mask="*", carry=["a.b"])
     assert found.count() == 3 and quality.judge(docs, None, carry=["a.b"]).count() == 3
+
+
+def test_repeated_labels_and_an_empty_table(spark):
+    rows = [(i, ("vile scum " if i % 2 else "fine words ") + f"number{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(i, 0) for i in range(200)], "doc_id long, toxic int")
+    models = [toxicity.learn(docs, labels.repartition(n)) for n in (1, 7)]
+    once = toxicity.learn(docs, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int"))
+    assert models[0].weights == models[1].weights == once.weights and models[0].coefficients == pytest.approx(once.coefficients)
+    assert toxicity.score(docs.filter("false"), once).count() == 0
+    assert toxicity.score(docs, toxicity.learn(docs.filter("false"), labels)).filter("predicted = 1").count() == 0
