@@ -174,14 +174,14 @@ def trend_band(line: DataFrame, x_limits: tuple[float, float], points: int = 80,
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(len(pdf)):
-                r = pdf.iloc[at]
-                fit = r["intercept"] + r["slope"] * grid
-                half = np.full(points, np.nan)
-                if r["n"] > 2:
-                    se = r["sigma"] * np.sqrt(1 / r["n"] + (grid - r["x_mean"]) ** 2 / r["sxx"])
-                    half = dist.t_quantile(0.5 + level / 2, float(r["n"] - 2)) * se
-                yield pd.DataFrame({**{k: [r[k]] * points for k in keys}, "x": grid, "fit": fit, "lower": fit - half, "upper": fit + half})
+            slope, intercept, n, mean, sxx, sigma = (pdf[c].to_numpy(float)[:, None] for c in ("slope", "intercept", "n", "x_mean", "sxx", "sigma"))
+            fit = intercept + slope * grid
+            quantile = {k: dist.t_quantile(0.5 + level / 2, k - 2) if k > 2 else np.nan for k in np.unique(n).tolist()}
+            width = np.array([quantile[k] for k in n[:, 0].tolist()])[:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                half = width * sigma * np.sqrt(1 / n + (grid - mean) ** 2 / sxx)
+            out = pdf[keys].loc[pdf.index.repeat(points)].reset_index(drop=True)
+            yield out.assign(x=np.tile(grid, len(pdf)), fit=fit.ravel(), lower=(fit - half).ravel(), upper=(fit + half).ravel())
 
     values = [T.StructField(n, T.DoubleType()) for n in ("x", "fit", "lower", "upper")]
     return line.mapInPandas(spread, T.StructType([*line.select(*keys).schema.fields, *values]))

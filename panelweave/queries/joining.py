@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ..operators import aggregate, joins
 from ..plans.regional_panel import YEAR, ZONE
 from ..plans.trade_panel import MEMBER, Tables, lines, members, order_year
+from ..session import scratch_folder
+from ..sources.sinks import write_keyed
 from .registry import query, rounded
 
 @query(
@@ -97,3 +99,35 @@ def dedup_fanout_join(t: Tables):
     repeated = aggregate.attach_group(c, ["nation", "segment"], {"seg_total": F.round(F.sum("c_acctbal"), 2)})
     geo = t.nation.select(F.col("n_nationkey").alias("nation"), "n_name")
     return joins.fan_out(geo, repeated, ["nation", "segment"], ["seg_total"])
+
+
+#: Buckets of the tables that ``keyed_tables_join`` lays out.
+BUCKETS = 8
+
+
+def keyed_measures(t: Tables) -> list:
+    """Five measure tables on (customer, year), laid out by that key."""
+    key = [MEMBER, YEAR]
+    o = t.orders.select(F.col("o_custkey").alias(MEMBER), order_year().alias(YEAR), "o_totalprice", "o_orderstatus")
+    rows = lines(t).select(*key, "l_extendedprice", "l_quantity", "l_discount")
+    frames = {
+        "ordered": o.groupBy(*key).agg(F.sum("o_totalprice").alias("ordered")),
+        "open": o.groupBy(*key).agg(F.count_if(F.col("o_orderstatus") == "O").alias("n_open")),
+        "value": rows.groupBy(*key).agg(F.sum("l_extendedprice").alias("value")),
+        "quantity": rows.groupBy(*key).agg(F.sum("l_quantity").alias("quantity")),
+        "discount": rows.groupBy(*key).agg(F.max("l_discount").alias("most_off")),
+    }
+    folder = scratch_folder(t.spark)
+    name = folder.rsplit("-", 1)[1]
+    return [write_keyed(df, f"panelweave_{k}_{name}", key, BUCKETS, f"{folder}/{k}") for k, df in frames.items()]
+
+
+@query(
+    """WITH o AS (SELECT o_custkey AS cust, CAST(year(o_orderdate) AS INTEGER) AS year, sum(o_totalprice) AS ordered, count(*) FILTER (o_orderstatus = 'O') AS n_open FROM orders GROUP BY 1, 2),
+      l AS (SELECT o_custkey AS cust, CAST(year(o_orderdate) AS INTEGER) AS year, sum(l_extendedprice) AS value, sum(l_quantity) AS quantity, max(l_discount) AS most_off
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
+      SELECT cust, year, round(ordered, 2) AS ordered, n_open, round(value, 2) AS value, round(quantity, 2) AS quantity, round(most_off, 2) AS most_off FROM o JOIN l USING (cust, year)"""
+)
+def keyed_tables_join(t: Tables):
+    """Five tables laid out by one key and joined on it without any shuffle."""
+    return rounded(joins.join_all(keyed_measures(t), [MEMBER, YEAR]), 2)
