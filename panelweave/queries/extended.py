@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..models import iv as ivm, linear, panel_models as pm, serial
+from ..models.mixture_families import mixture_families as fit_families
 from ..operators.grouped import Grouped, apply_grouped
 from ..operators.panel import Panel
 from ..plans.regional_panel import YEAR
@@ -179,3 +180,38 @@ def grouped_by_triangle(t: Tables):
     """Regressions of groups from one triangle per group."""
     out = linear.grouped_by_triangle(t.lineitem, ["l_returnflag"], "l_extendedprice", ["l_quantity", "l_discount"])
     return rounded(out.select("l_returnflag", "term", "estimate", "std_error", "nobs"), 5)
+
+
+# Mixtures --------------------------------------------------------------------------------------
+
+_ROUNDS = 12
+_EM = f"""f0 AS (SELECT cust, avg({Y}) AS a, avg(ln({X1})) AS b FROM mp GROUP BY 1),
+f AS (SELECT cust, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS z1, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS z2 FROM f0 WHERE a IS NOT NULL AND b IS NOT NULL),
+em(i, fam, k, c, w, m1, m2, v1, v2) AS (
+  SELECT 0, fam, k, c, 1.0::DOUBLE / k, 1.5::DOUBLE * ((2*c + 1.0::DOUBLE)/k - 1), 1.5::DOUBLE * ((2*c + 1.0::DOUBLE)/k - 1), 1::DOUBLE, 1::DOUBLE
+  FROM (VALUES ('EII'), ('VII'), ('EEI'), ('VVI')) g(fam), range(1, 4) h(k), range(0, 3) q(c) WHERE c < k
+  UNION ALL
+  SELECT i + 1, fam, k, c, nk / sum(nk) OVER m, m1, m2,
+    CASE fam WHEN 'EII' THEN (sum(nk*s1) OVER m + sum(nk*s2) OVER m) / (2 * sum(nk) OVER m) WHEN 'VII' THEN (s1 + s2)/2 WHEN 'EEI' THEN sum(nk*s1) OVER m / sum(nk) OVER m ELSE s1 END,
+    CASE fam WHEN 'EII' THEN (sum(nk*s1) OVER m + sum(nk*s2) OVER m) / (2 * sum(nk) OVER m) WHEN 'VII' THEN (s1 + s2)/2 WHEN 'EEI' THEN sum(nk*s2) OVER m / sum(nk) OVER m ELSE s2 END
+  FROM (SELECT i, fam, k, c, sum(r) AS nk, sum(r*z1)/sum(r) AS m1, sum(r*z2)/sum(r) AS m2, sum(r*z1*z1)/sum(r) - (sum(r*z1)/sum(r))*(sum(r*z1)/sum(r)) AS s1,
+      sum(r*z2*z2)/sum(r) - (sum(r*z2)/sum(r))*(sum(r*z2)/sum(r)) AS s2
+    FROM (SELECT *, e / sum(e) OVER (PARTITION BY fam, k, cust) AS r
+      FROM (SELECT i, fam, k, c, cust, z1, z2, w * exp(-((z1 - m1)*(z1 - m1)/v1 + (z2 - m2)*(z2 - m2)/v2)/2) / (2*pi()*sqrt(v1*v2)) AS e FROM em, f WHERE i < {_ROUNDS}))
+    GROUP BY i, fam, k, c) WINDOW m AS (PARTITION BY fam, k)),
+li AS (SELECT fam, k, sum(ln(p)) AS l, count(*) AS n FROM (SELECT fam, k, cust, sum(w * exp(-((z1 - m1)*(z1 - m1)/v1 + (z2 - m2)*(z2 - m2)/v2)/2) / (2*pi()*sqrt(v1*v2))) AS p
+    FROM em, f WHERE i = {_ROUNDS} GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+
+@query(
+    f"""WITH RECURSIVE {MEMBERS}, {_EM}
+      SELECT CAST(k AS INTEGER) AS classes, fam AS family, round(l, 4) AS likelihood,
+        round(-2*l + (k - 1 + 2*k + CASE fam WHEN 'EII' THEN 1 WHEN 'VII' THEN k WHEN 'EEI' THEN 2 ELSE 2*k END) * ln(n), 4) AS bic FROM li"""
+)
+def mixture_bic(t: Tables):
+    """Customers by mixtures of four covariance families and up to three classes, all fitted in the same passes."""
+    p = member_panel(t).groupBy(MEMBER).agg(F.avg(Y).alias("a"), F.avg(F.log(X1)).alias("b"))
+    classed, models = fit_families(p, ["a", "b"], (1, 2, 3), ("EII", "VII", "EEI", "VVI"), tol=0.0, max_iter=_ROUNDS)
+    n = classed.count()
+    rows = [(m.k, m.family, m.likelihood, m.bic(n)) for m in models]
+    return rounded(t.spark.createDataFrame(rows, "classes int, family string, likelihood double, bic double"), 4)
