@@ -194,7 +194,9 @@ def _partners(words: list[bytes], n: np.ndarray, rows: SortedList) -> pa.RecordB
     # Words of one length find each other twice; of two lengths the shorter one finds the longer.
     word, other = np.concatenate([q, v[longer]]), np.concatenate([v, q[longer]])
     rank = np.empty(len(words), np.int64)
-    rank[np.argsort(np.array(words or [b""], dtype=bytes)[: len(words)], kind="stable")] = np.arange(len(words))
+    short = max(map(len, words), default=0) <= 256
+    # Long words are not laid out side by side.
+    rank[np.argsort(np.array(words, dtype=bytes), kind="stable") if words and short else sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
     order = np.lexsort((rank[other], -n[other], word))
     word, other = word[order], other[order]
     first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
