@@ -17,6 +17,7 @@ from urllib.parse import quote
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import codes, missing
+from .sheets import read_sheet
 
 
 def read_csv(spark: SparkSession, path, schema: T.StructType | str | None = None, sep: str = ",") -> DataFrame:
@@ -26,7 +27,9 @@ def read_csv(spark: SparkSession, path, schema: T.StructType | str | None = None
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A spreadsheet export or lookup table kept as CSV or Parquet."""
+    """A lookup table kept as a spreadsheet (its first sheet), CSV or Parquet."""
+    if str(path).endswith(".xlsx"):
+        return read_sheet(spark, path)
     return spark.read.parquet(path) if str(path).endswith(".parquet") else read_csv(spark, path)
 
 
