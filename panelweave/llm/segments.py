@@ -53,9 +53,12 @@ def _hashing() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _same_characters(codes: np.ndarray, starts: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> bool:
     """Whether each token equals the other one of its size that begins at ``others``."""
     moved = np.flatnonzero(starts != others)
-    starts, others, sizes = starts[moved], others[moved], sizes[moved]
-    at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return np.array_equal(codes[np.repeat(starts, sizes) + at], codes[np.repeat(others, sizes) + at])
+    first, shift, sizes = starts[moved].astype(np.int32), (others - starts)[moved].astype(np.int32), sizes[moved].astype(np.int32)
+    at = np.repeat(first - (np.cumsum(sizes, dtype=np.int32) - sizes), sizes)
+    at += np.arange(len(at), dtype=np.int32)
+    own = codes[at]
+    at += np.repeat(shift, sizes)
+    return np.array_equal(own, codes[at])
 
 
 def contractions(codes: np.ndarray, new: np.ndarray, at: np.ndarray) -> None:
