@@ -1,7 +1,10 @@
 """Two-way effects by conjugate gradients, against the direct solve and dummies."""
 
+import re
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from panelweave.models import panel_models as pm, two_way
@@ -55,3 +58,54 @@ def test_constant_columns_need_no_search(spark):
     _, panel = panel_of(spark, 20, 8, 3, 1)
     flat = panel.on(panel.df.selectExpr("id", "t", "1.5D AS x"))
     assert two_way.graph_effects(flat, ["x"]).products == 0
+
+
+def test_products_move_no_rows(spark, monkeypatch):
+    """Rows meet by entity once; a product exchanges sums by place only."""
+    _, panel = panel_of(spark, 200, 60, 4, 7, True)
+    plans, to_arrow = [], type(panel.df).toArrow
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return to_arrow(df)
+
+    monkeypatch.setattr(type(panel.df), "toArrow", planned)
+    found = two_way.graph_effects(panel, ["x", "y"])
+    assert found.products > 3
+    for plan in plans[-found.products :]:
+        assert re.findall(r"Exchange (\w+\(\w+)", plan) == ["hashpartitioning(place"], plan
+        assert "Window" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 100])
+def test_lists_hold_whole_entities(size):
+    lengths = [3, 1, 7, 1, 1, 4]
+    at = np.concatenate([np.arange(1, n + 1) for n in lengths]).astype(np.int32)
+    place = np.arange(len(at), dtype=np.int32)[::-1]
+    rows = pa.table({"__place": place, "__at": at})
+    out = list(two_way._by_entity(iter(rows.to_batches(max_chunksize=size))))
+    assert np.concatenate([b.column("place").flatten() for b in out]).tolist() == place.tolist()
+    assert np.concatenate([b.column("length").flatten() for b in out]).tolist() == lengths
+    assert all(len(b.column("place").flatten()) == sum(b.column("length").flatten().to_pylist()) for b in out)
+    assert list(two_way._by_entity(iter([]))) == []
+
+
+def test_small_batches_and_a_null_entity(spark):
+    d, panel = panel_of(spark, 50, 30, 6, 9, True)
+    d["id"] = d.id.where(d.id != 7).astype("Int64")
+    rows = [(None if r.id is pd.NA else int(r.id), int(r.t), float(r.x), float(r.y)) for r in d.itertuples()]
+    missing = panel.on(spark.createDataFrame(rows, "id long, t long, x double, y double").repartition(3))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        found = two_way.graph_effects(missing, ["x", "y"]).frame.toPandas().set_index("t")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = two_way.graph_effects(panel, ["x", "y"]).frame.toPandas().set_index("t")
+    for c in ("e_0", "e_1"):
+        np.testing.assert_allclose(found[c] - found[c].mean(), (want[c] - want[c].mean()).loc[found.index], atol=1e-8)
+
+
+def test_a_null_period_is_refused(spark):
+    df = spark.createDataFrame([(1, 1, 2.0), (1, 2, 1.0), (2, 1, 4.0), (2, None, 5.0)], "id long, t long, x double")
+    with pytest.raises(ValueError):
+        two_way.graph_effects(Panel(df, "id", "t"), ["x"])
